@@ -28,29 +28,39 @@ def box(prefix: str = "") -> dict[str, Column]:
     return {side: F.col(f"{prefix}{side}").cast("double") for side in "xywh"}
 
 
+def overlap(a: tuple[float, float, float, float], b: tuple[float, float, float, float]) -> float:
+    """Intersection over union of two plain boxes."""
+    wide = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
+    high = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    union = a[2] * a[3] + b[2] * b[3] - wide * high
+    return wide * high / union if union > 0 else 0.0
+
+
 def suppressed(hits: DataFrame, group: str, threshold: float = 0.5, k: int | None = 5) -> DataFrame:
     """Hits (group, number, score, x, y, w, h) that survive greedy suppression, with their rank.
 
     The best score first, ties by number; a hit goes if it overlaps a kept one by ``threshold`` or more;
-    of the kept the first k stay. Sequential in a group, so each group is one pandas frame.
+    of the kept the first k stay. The hits of a group come sorted and are held against those kept so
+    far, so a task streams over its groups and remembers k boxes.
     """
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "number"], ascending=[False, True], kind="stable")
-        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
-        left, kept = np.ones(len(pdf), dtype=bool), []
-        for i in range(len(pdf)):
-            if left[i]:
-                kept.append(i)
-                wide = np.clip(np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x), 0, None)
-                high = np.clip(np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y), 0, None)
-                union = w[i] * h[i] + w * h - wide * high
-                left &= np.divide(wide * high, union, out=np.zeros(len(pdf)), where=union > 0) < threshold
-        out = pdf.iloc[kept[:k]].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return hits.groupBy(group).applyInPandas(keep, T.StructType([*hits.schema.fields, T.StructField("rank", T.IntegerType())]))
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: object = None
+        kept: list[tuple[float, float, float, float]] = []
+        for part in parts:
+            chosen, ranks = [], []
+            for i, (of, *place) in enumerate(zip(part[group], *(part[c].astype(float) for c in "xywh"), strict=True)):
+                if of != current:
+                    current, kept = of, []
+                if (k is None or len(kept) < k) and all(overlap(tuple(place), other) < threshold for other in kept):
+                    kept.append(tuple(place))
+                    chosen.append(i)
+                    ranks.append(len(kept))
+            yield part.iloc[chosen].assign(rank=ranks)
+
+    schema = T.StructType([*hits.schema.fields, T.StructField("rank", T.IntegerType())])
+    dealt = hits.where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, F.desc("score"), "number")
+    return dealt.mapInPandas(keep, schema)
 
 
 def labelled_views(boxes: DataFrame, drawing: str, number: str = "number") -> DataFrame:

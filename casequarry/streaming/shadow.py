@@ -14,7 +14,8 @@ def read(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -
 
 def windowed(events: DataFrame, time: str, key: str, value: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and sum of a value by key and tumbling window; rows later than ``late`` are left out."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), key)
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    grouped = timed.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), key)
     sums = grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total")
 
