@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings of words that are features beside the words.
+PREFIXES = (4, 6)
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,9 @@ class Settings:
     #: Where the leak starts.
     leak: float = 0.005
     rate: float = 0.6
-    #: L1 penalty, in documents: evidence below it gives no weight.
-    penalty: float = 0.2
+    #: L1 penalty at max_docs documents: evidence below it gives no weight. It goes with the root of their
+    #: number, as the chance evidence of a word does.
+    penalty: float = 0.4
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,11 @@ class Model:
     leak: float
 
 
+def features(word: str) -> tuple[str, ...]:
+    """A lower-case word, and its beginnings, which the forms of a word share."""
+    return (word, *("^" + word[:n] for n in PREFIXES if len(word) >= n))
+
+
 def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
@@ -60,17 +68,22 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
         return Model({}, -20.0, 0.0)
     seen: Counter[str] = Counter()
     for text in texts:
-        seen.update(set(WORD.findall(text.lower())))
+        seen.update({f for word in set(WORD.findall(text.lower())) for f in features(word)})
     names = sorted(word for word, n in seen.items() if n >= settings.min_docs)
-    at = {word: i for i, word in enumerate(names)}
+    at = {name: i for i, name in enumerate(names)}
+    of_word: dict[str, list[int]] = {}
     doc_of, sentence_of, feature_of = [], [], []
     n_sentences = 0
     for doc, text in enumerate(texts):
         for sentence in sentences(text.lower()):
-            features = {at[w] for w in WORD.findall(sentence) if w in at}
-            if features:
-                sentence_of.append(np.full(len(features), n_sentences, dtype=np.int32))
-                feature_of.append(np.fromiter(features, dtype=np.int32, count=len(features)))
+            found: set[int] = set()
+            for word in WORD.findall(sentence):
+                if word not in of_word:
+                    of_word[word] = [at[f] for f in features(word) if f in at]
+                found.update(of_word[word])
+            if found:
+                sentence_of.append(np.full(len(found), n_sentences, dtype=np.int32))
+                feature_of.append(np.fromiter(found, dtype=np.int32, count=len(found)))
                 doc_of.append(doc)
                 n_sentences += 1
     if not n_sentences:
@@ -79,6 +92,7 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     truth = np.array(labels, dtype=bool)
     base = float(truth.mean())
     weights, bias, leak = np.zeros(len(names)), math.log(base / max(1.0, n_sentences / len(texts))), math.log(settings.leak / (1 - settings.leak))
+    penalty = settings.penalty * math.sqrt(len(texts) / settings.max_docs)
     past, past_bias, past_leak = np.full(len(names), 1e-8), 1e-8, 1e-8
     for _ in range(settings.rounds):
         z = bias + np.bincount(row, weights[column], n_sentences)
@@ -91,7 +105,7 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
         past += gradient**2
         step = settings.rate / np.sqrt(past)
         moved = weights - step * gradient
-        weights = np.sign(moved) * np.maximum(np.abs(moved) - step * settings.penalty, 0)
+        weights = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         total, total_leak = float(slope.sum()), float(pull.sum()) * leak_p
         past_bias, past_leak = past_bias + total**2, past_leak + total_leak**2
         bias -= settings.rate * total / math.sqrt(past_bias)
@@ -124,28 +138,41 @@ def sample(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()
     return texts, labels
 
 
+class Scorer:
+    """Scores texts with a model; remembers the features with a weight of the words it has met."""
+
+    MOST = 200_000
+
+    def __init__(self, model: Model):
+        self._model = model
+        self._met: dict[str, tuple[str, ...]] = {}
+
+    def _weighed(self, word: str) -> tuple[str, ...]:
+        if len(self._met) >= self.MOST:
+            self._met.clear()
+        found = self._met[word] = tuple(f for f in features(word) if f in self._model.weights)
+        return found
+
+    def __call__(self, text: str | None) -> tuple[float, int, float]:
+        """Document score, and number (from 0, or -1) and score of the sentence that offends most."""
+        model, met, weigh = self._model, self._met, self._weighed
+        best, worst, log_clean = -math.inf, -1, math.log1p(-model.leak)
+        idle = math.log1p(math.exp(model.bias))
+        for i, sentence in enumerate(sentences((text or "").lower())):
+            words = WORD.findall(sentence)
+            found = {f for word in words for f in (met[word] if word in met else weigh(word))}
+            if found:
+                z = model.bias + sum(model.weights[f] for f in found)
+                log_clean -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
+                if z > best:
+                    best, worst = z, i
+            elif words:
+                log_clean -= idle
+        return 1 - math.exp(log_clean), worst, 1 / (1 + math.exp(-best)) if worst >= 0 else 0.0
+
+
 def score_text(text: str | None, model: Model) -> tuple[float, int, float]:
-    """Document score, and number (from 0, or -1) and score of the sentence that offends most."""
-    weight, known = model.weights.get, model.weights.keys()
-    words = WORD.findall((text or "").lower())
-    quiet = math.log1p(-model.leak)
-    idle = -math.log1p(math.exp(model.bias))  # log(1 - p) of a sentence without a known word
-    if known.isdisjoint(words):
-        return 1 - math.exp(quiet + idle * _with_words(text or "")), -1, 0.0
-    best, worst, log_clean, n = -math.inf, -1, quiet, 0
-    for i, sentence in enumerate(sentences((text or "").lower())):
-        words = WORD.findall(sentence)
-        if words:
-            z = model.bias + sum(weight(w, 0.0) for w in set(words))
-            log_clean -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-            if z > best:
-                best, worst = z, i
-            n += 1
-    return 1 - math.exp(log_clean), worst, 1 / (1 + math.exp(-best)) if worst >= 0 else 0.0
-
-
-def _with_words(text: str) -> int:
-    return sum(1 for s in sentences(text) if WORD.search(s))
+    return Scorer(model)(text)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,9 +186,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("score double, worst_sentence int, worst_score double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        scorer = Scorer(shared.value)
         for part in texts:
-            yield pd.DataFrame([score_text(t, known) for t in part], columns=["score", "worst_sentence", "worst_score"])
+            yield pd.DataFrame([scorer(t) for t in part], columns=["score", "worst_sentence", "worst_score"])
 
     new = {name: F.col(f"__toxicity.{name}") for name in ("score", "worst_sentence", "worst_score")}
     return docs.withColumn("__toxicity", scored(F.col("text"))).withColumns(new).drop("__toxicity")
