@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
@@ -60,42 +60,68 @@ def fused(image: Column | None, text: Column | None, image_weight: float = 0.4,
     return out
 
 
-def blocks(df: DataFrame, key: str, vector: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of (key long, vector) packed, as they are scanned, into matrices of up to ``rows`` rows."""
+def _pack(rows: int):
+    """Rows of (id, image vector or null, text vector or null) as blocks of matrices."""
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for start in range(0, len(part), rows):
                 piece = part.iloc[start : start + rows]
-                matrix = np.stack([np.asarray(v, dtype=np.float64) for v in piece[vector]])
-                yield pd.DataFrame({"ids": [piece[key].to_numpy(np.int64).tobytes()], "dims": [matrix.shape[1]], "matrix": [matrix.tobytes()]})
+                out: dict[str, list] = {"ids": [piece["id"].to_numpy(np.int64).tobytes()]}
+                for channel in ("image", "text"):
+                    known = [v is not None for v in piece[channel]]
+                    dims = max((len(v) for v in piece[channel] if v is not None), default=0)
+                    matrix = np.zeros((len(piece), dims))
+                    for i, v in enumerate(piece[channel]):
+                        if v is not None:
+                            matrix[i, : len(v)] = v
+                    out |= {f"{channel}_known": [np.array(known).tobytes()], channel: [matrix.tobytes()]}
+                yield pd.DataFrame(out)
 
-    known = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
-    return known.mapInPandas(pack, "ids binary, dims int, matrix binary")
+    return pack
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
-    """The k best clamped inner products of every query with all other rows: exact, block by block.
+_BLOCK = "ids binary, image_known binary, image binary, text_known binary, text binary"
 
-    Returns query_id, match_id, score (rounded); ties to the smaller id. Each pair of blocks is one
-    matrix product and keeps k rows a query, so what is shuffled is k rows a query and block.
+
+def blocks(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of (id long, image, text) packed, as they are scanned, into matrices of up to ``rows`` rows."""
+    return df.where("id IS NOT NULL").select("id", "image", "text").mapInPandas(_pack(rows), _BLOCK)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, image_weight: float = 0.4, text_weight: float = 0.6, digits: int | None = None, itself: bool = False) -> DataFrame:
+    """The k best fused scores over 0 of every query with all rows: exact, block by block.
+
+    Both frames have id, image and text (arrays or null). Returns query_id, match_id, score, rank; ties
+    to the smaller id; a row is no match of its own id unless ``itself``. The weights are those of the
+    channels that the query has, and a row that lacks one scores 0 there. A pair of blocks is two
+    matrix products and keeps k rows a query, so what is shuffled is k rows a query and block; the query
+    blocks are broadcast only if Spark finds them under its threshold.
     """
-    left = blocks(queries, key, vector).selectExpr("ids AS q_ids", "dims AS q_dims", "matrix AS q_matrix")
-    pairs = blocks(rows, key, vector).crossJoin(left)
+    asked = blocks(queries).selectExpr("ids AS q_ids", *[f"{c} AS q_{c}" for c in ("image_known", "image", "text_known", "text")])
+    pairs = blocks(rows).crossJoin(asked)
+    weights = (("image", image_weight), ("text", text_weight))
 
     def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for row in part.itertuples():
-                ids, query_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                a, b = np.frombuffer(row.q_matrix).reshape(-1, row.q_dims), np.frombuffer(row.matrix).reshape(-1, row.dims)
-                scores = np.round(np.maximum(a @ b.T, 0.0), digits)
-                scores[query_ids[:, None] == ids[None, :]] = -1.0
+            for pair in part.to_dict("records"):
+                ids, query_ids = np.frombuffer(pair["ids"], np.int64), np.frombuffer(pair["q_ids"], np.int64)
+                scores, total = np.zeros((len(query_ids), len(ids))), np.zeros(len(query_ids))
+                for channel, weight in weights:
+                    share = weight * np.frombuffer(pair[f"q_{channel}_known"], bool)
+                    a, b = np.frombuffer(pair[f"q_{channel}"]).reshape(len(query_ids), -1), np.frombuffer(pair[channel]).reshape(len(ids), -1)
+                    total += share
+                    if a.shape[1] and a.shape[1] == b.shape[1]:
+                        scores += share[:, None] * np.maximum(a @ b.T, 0.0)
+                scores /= np.where(total > 0, total, 1.0)[:, None]
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                if not itself:
+                    scores[query_ids[:, None] == ids[None, :]] = 0.0
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                 found = np.take_along_axis(scores, order, axis=1)
                 out = pd.DataFrame({"query_id": np.repeat(query_ids, order.shape[1]), "match_id": ids[order].ravel(), "score": found.ravel()})
-                yield out[out["score"] >= 0]
-
-    from pyspark.sql import Window
+                yield out[out["score"] > 0]
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
     found = pairs.mapInPandas(multiply, "query_id long, match_id long, score double")

@@ -90,19 +90,18 @@ def best_of_each(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_scores(queries: DataFrame, cases: DataFrame) -> DataFrame:
-    """Fused scores over 0 of every query that has a vector with every visible entry that has one.
+def vector_hits(queries: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """The k best visible entries of every query that has a vector: query_id, entry_id, score, rank.
 
-    A query without an image vector weighs its text alone, and the other way round; an entry without
-    one contributes 0 there. The stated queries are the small side, which Spark broadcasts if it is.
+    Ids may be of any type: entries are searched by seq and queries by a hash of their id, and both are
+    named again afterwards.
     """
-    asked = queries.where("image_vec IS NOT NULL OR text_vec IS NOT NULL").select("query_id", F.col("image_vec").alias("q_image"), F.col("text_vec").alias("q_text"))
-    stored = visible(cases).select("entry_id", "seq", "image_vec", "text_vec")
-    image = vectors.clamped(vectors.dot_columns(F.col("image_vec"), F.col("q_image")))
-    words = vectors.clamped(vectors.dot_columns(F.col("text_vec"), F.col("q_text")))
-    image_weight, text_weight = F.when(F.col("q_image").isNotNull(), 0.4).otherwise(0.0), F.when(F.col("q_text").isNotNull(), 0.6).otherwise(0.0)
-    score = (image * image_weight + words * text_weight) / (image_weight + text_weight)
-    return stored.crossJoin(asked).withColumn("score", score).where("score > 0").select("query_id", "entry_id", "seq", "score")
+    asked = queries.where("image_vec IS NOT NULL OR text_vec IS NOT NULL").select(F.xxhash64("query_id").alias("id"), "query_id", F.col("image_vec").alias("image"), F.col("text_vec").alias("text"))
+    stored = visible(cases).where("image_vec IS NOT NULL OR text_vec IS NOT NULL").select(F.col("seq").alias("id"), F.col("image_vec").alias("image"), F.col("text_vec").alias("text"))
+    found = vectors.nearest(asked, stored, k, itself=True)
+    named = found.join(asked.select(F.col("id").alias("__q"), F.col("query_id").alias("__query")), F.col("query_id") == F.col("__q"))
+    named = named.join(cases.select("seq", "entry_id"), F.col("match_id") == F.col("seq"))
+    return named.select(F.col("__query").alias("query_id"), "entry_id", "score", "rank")
 
 
 def cascade(queries: DataFrame, cases: DataFrame, k: int = 3, least: float = MIN_SIMILARITY) -> DataFrame:
@@ -114,7 +113,7 @@ def cascade(queries: DataFrame, cases: DataFrame, k: int = 3, least: float = MIN
     """
     exact = exact_match(queries, cases).withColumn("rank", F.lit(1))
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    scored = best_of_each(vector_scores(rest, cases), k)
+    scored = vector_hits(rest, cases, k)
     semantic = scored.where(F.col("score") >= least).withColumn("match_type", F.lit("semantic"))
     unmet = rest.join(scored.select("query_id").distinct(), "query_id", "left_anti")
     worded = best_of_each(common_words(unmet, cases), k).withColumn("score", F.round("score", 3))

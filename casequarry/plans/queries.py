@@ -92,8 +92,8 @@ def q04b_text_channel_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q05_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    found = vectors.nearest(rows, rows, "vec_id", "embedding", k=3)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("image"), F.lit(None).cast("array<double>").alias("text"))
+    found = vectors.nearest(rows, rows, k=3, digits=6)
     return found.where(F.col("score") >= retrieval.MIN_SIMILARITY).select("query_id", "match_id", "score", "rank")
 
 
