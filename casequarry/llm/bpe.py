@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 
 LEAF_CHARS = 1024
 LEAF_IDS = 4096
+#: Encoded rows leave a worker after about so many ids, so its memory doesn't grow with its batches.
+FLUSH_IDS = 1 << 20
 
 #: White space that a cut before it may rely on; others only make a window longer.
 PLAIN_SPACE = " \t\n\r"
@@ -139,8 +142,16 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, keep: tup
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern, leaf_chars)
         for batch in batches:
-            tokens = pa.array((codec.encode(_text(t.as_py())) for t in batch.column(len(keep))), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], tokens], names=[*keep, "tokens"])
+            first, offsets, parts = 0, [0], []
+            for i, value in enumerate(batch.column(len(keep)), 1):
+                ids = codec.encode(_text(value.as_py()))
+                parts.append(np.array(ids, dtype=np.int32))
+                offsets.append(offsets[-1] + len(ids))
+                if offsets[-1] >= FLUSH_IDS or i == batch.num_rows:
+                    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+                    kept = batch.slice(first, i - first).columns[: len(keep)]
+                    yield pa.RecordBatch.from_arrays([*kept, tokens], names=[*keep, "tokens"])
+                    first, offsets, parts = i, [0], []
 
     schema = slim.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType()))
     return slim.mapInArrow(encode, schema)
