@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(names: list[str]) -> list[Column]:
+    """Columns by name, dots and blanks in a name included."""
+    return [F.col("`{}`".format(name.replace("`", "``"))) for name in names]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casequarry.llm.common import columns_of
+
 MIN_LINES = 2
 
 
@@ -101,6 +103,6 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("__result.text").cast(docs.schema["n_chars"].dataType))
     counts = {"__chunks": "chunks", "__removed_chunks": "removed", "__removed_lines": "lines"}
     return result.select(
-        *[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns],
+        *[new[name].alias(name) if name in new else column for name, column in zip(columns, columns_of(columns), strict=True)],
         *[F.coalesce(f"__result.{part}", F.lit(0)).alias(name) for name, part in counts.items()],
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.llm.common import cut
+from casequarry.llm.common import columns_of, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many documents of a source fall into a bucket of the draw's order.
@@ -58,7 +58,7 @@ def _measured(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
     """Size, source key and draw hash of each document beside the columns to keep."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return docs.select(*keep, F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), key.alias("__key"), words_in(F.col("text")).alias("__size"), draw.alias("__draw"))
+    return docs.select(*columns_of(keep), F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), key.alias("__key"), words_in(F.col("text")).alias("__size"), draw.alias("__draw"))
 
 
 def _bucketed(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         .withColumn("__whole", whole)
         .withColumn("__ahead", ahead)
         .withColumn("__taken", F.col("__whole") * F.col("__size") + part)
-        .select(*keep, "__size", "__source_size", "__target", "__taken")
+        .select(*columns_of(keep), "__size", "__source_size", "__target", "__taken")
     )
 
 
@@ -131,4 +131,4 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     rows = rows.withColumn("text", F.when(F.col("__words") > 0, first_words).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    return rows.select(*columns_of(columns))

@@ -14,19 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequarry.llm import bpe, langid, line_dedup, mixing, simhash
-from casequarry.llm.common import checkpoint_dir, table
+from casequarry.llm.common import checkpoint_dir, columns_of, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: no letter, or no language likelier than the others."""
     columns = docs.columns
     judged = langid.classify(docs, langid.train(docs), lang="__lang", score="__score")
-    return judged.where(langid.accepted(F.col("__lang"), F.col("__score"))).select(*columns)
+    return judged.where(langid.accepted(F.col("__lang"), F.col("__score"))).select(*columns_of(columns))
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go; the documents stay."""
-    return line_dedup.deduplicated(docs).select(*docs.columns)
+    return line_dedup.deduplicated(docs).select(*columns_of(docs.columns))
 
 
 def deduplicate_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_run_over_no_documents(spark, small, tmp_path):
 
 def test_awkward_rows_go_through(spark, tmp_path):
     rows = [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (None, "no id here but some words", "en", "a", 25, None), (3, "words and words", "en", None, 15, ""), (3, "words and words", "en", None, 15, ""), (4, "z" * 100000, "de", "b", 100000, "y")]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.size` string").write.parquet(f"{tmp_path}/documents.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in found.collect()} <= {None, 3, 4}
 
