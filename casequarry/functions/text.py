@@ -211,3 +211,50 @@ def parent_report(name: Column, material: Column, structure: Column, features: C
     """What is known of a parent drawing, in one line; empty parts are left out."""
     part = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}："), value))
     return F.concat_ws(" / ", part("零件名稱", F.trim(name)), part("材質", material), part("結構", structure), part("特徵", F.array_join(features, ", ")))
+
+
+def title(shape: Column, description: Column, default: str = "(untitled)") -> Column:
+    """A shape, or the first 40 characters of a description, or a default."""
+    return F.coalesce(F.nullif(shape, F.lit("")), F.nullif(F.left(description, F.lit(40)), F.lit("")), F.lit(default))
+
+
+def view_role(label: Column, exact: bool = True) -> Column:
+    """Whether a view is primary evidence: by its exact label, or by any part of it whatever the case."""
+    primary = label.isin(*fixed.PRIMARY_VIEWS) if exact else has_any(F.lower(label), fixed.PRIMARY_VIEWS)
+    return F.when(primary, F.lit("primary")).otherwise(F.lit("supporting"))
+
+
+def normalised(given: Column, recognised: Column) -> Column:
+    """A recognised text's normal form: the one given, or the text trimmed and in lower case."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.lower(F.trim(recognised)))
+
+
+def short_label(label: Column) -> Column:
+    """A label up to its full-width bracket."""
+    return F.trim(F.substring_index(label, "（", 1))
+
+
+def page_labels(name: Column, pages: Column) -> Column:
+    """One label a page: the name, with the page's number if there are several."""
+    several = F.transform(F.sequence(F.lit(1), pages), lambda i: F.concat(name, F.lit(" (page "), i.cast("string"), F.lit(")")))
+    return F.when(pages > 1, several).when(pages == 1, F.array(name)).otherwise(texts([]))
+
+
+def paired(files: Column, labels: Column) -> Column:
+    """Files and labels by position, as far as both go."""
+    n = F.least(F.size(files), F.size(labels))
+    return F.arrays_zip(F.slice(files, F.lit(1), n).alias("file"), F.slice(labels, F.lit(1), n).alias("label"))
+
+
+def data_uri(content: Column, kind: str = "image/png") -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+
+
+def entry_id(time: Column, name: Column) -> Column:
+    """An entry's id: its second and its file's name up to the first dot."""
+    return F.concat(F.date_format(time, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring_index(name, ".", 1))
+
+
+def doubtful(text: Column) -> Column:
+    """What a description marks as doubtful, the least sure first."""
+    return F.concat(tagged(text, "red"), tagged(text, "orange"))

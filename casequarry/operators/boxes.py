@@ -182,3 +182,42 @@ def white_ratios(images: DataFrame, key: str, decode, white: int = 200) -> DataF
 
     schema = images.select(key).schema.add("axis", "string").add("i", "long").add("ratio", "double")
     return images.select(key, "content").mapInPandas(measure, schema)
+
+
+def valid_region(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a region in shares of the sides is one: within 0 and 1, and of some size."""
+    return (x0 >= 0) & (x0 < x1) & (x1 <= 1) & (y0 >= 0) & (y0 < y1) & (y1 <= 1)
+
+
+def page_size(points: Column, dpi: int) -> Column:
+    """A page's side in points, inches and pixels at a resolution."""
+    return F.struct(points.alias("points"), (points / 72).alias("inches"), F.floor(points * dpi / 72).alias("pixels"))
+
+
+def moved(boxes: DataFrame, x: int, y: int) -> DataFrame:
+    """Boxes found in a region, at their places in the whole image."""
+    return boxes.withColumns({"x": F.col("x") + x, "y": F.col("y") + y})
+
+
+def recognised(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """Recognised lines (polygon, confidence, ...) of enough confidence, with their upright boxes."""
+    return lines.where(F.col("confidence") >= least).withColumn("box", polygon_box(F.col("polygon"))).select("*", "box.*").drop("box")
+
+
+def worth_cropping(w: Column, h: Column, n_views: Column) -> Column:
+    """Whether a drawing is so wide that it may hold several views, and none were given."""
+    return (w > h * 1.2) & (n_views == 0)
+
+
+def view_metadata(views: DataFrame, drawing: str) -> DataFrame:
+    """One JSON a drawing that lists its named views in order."""
+    one = F.struct(
+        F.col("view_number").alias("index"),
+        F.col("view").alias("label"),
+        F.when(F.col("view").isin(*fixed.PRIMARY_VIEWS), "primary").otherwise("supporting").alias("role"),
+        F.col("file_name").alias("filename"),
+        F.round("confidence", 2).alias("confidence"),
+        F.array("x", "y", "w", "h").alias("bbox"),
+    )
+    listed = views.groupBy(drawing).agg(F.array_sort(F.collect_list(one)).alias("views"))
+    return listed.select(drawing, F.to_json(F.struct(F.col(drawing).cast("string").alias("source"), F.size("views").alias("total_views"), "views")).alias("metadata"))

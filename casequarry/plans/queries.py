@@ -238,7 +238,7 @@ def q23_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q24_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = reports.matrix(table(spark, sf_dir, "region").select("r_regionkey"), table(spark, sf_dir, "customer").select("c_mktsegment").distinct())
     nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
-    counts = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
     return cells.join(counts, ["r_regionkey", "c_mktsegment"], "left").select("r_regionkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n_customers"))
 
 
