@@ -150,8 +150,9 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Returns doc_id, one array of (start, end) for each of email, ip, card, phone and term, in code
     points, the end exclusive. Documents are rows: repeated ids are searched each, and null ids too.
-    Matches that fail their check are dropped without another try inside them. An empty table gives
-    no rows; a table smaller than ``support`` gives base spans only.
+    Matches that fail their check are dropped without another try inside them. A term that lies in a
+    base span is no span of its own. An empty table gives no rows; a table smaller than ``support``
+    gives base spans only.
     """
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = cut(_occurrences(slim, settings))
@@ -168,7 +169,10 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     shown = met.select("__row", "kind", "value", F.explode("terms").alias("t")).select("__row", "kind", "value", "t.term", "t.start", "t.end")
     added = shown.join(told, ["kind", "value", "term"], "left_semi").groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
     places = [F.transform(spans(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind) for kind in KINDS]
-    return base.join(added, "__row", "left").select("doc_id", *places, F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    covered = F.concat(*[F.col(kind) for kind in KINDS])
+    apart = F.filter("term", lambda t: ~F.exists(covered, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    found = base.join(added, "__row", "left").select("doc_id", *places, F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    return found.withColumn("term", F.when(F.size("term") > 0, apart).otherwise(F.col("term")))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,7 +73,7 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     names = sorted(word for word, n in seen.items() if n >= settings.min_docs)
     at = {name: i for i, name in enumerate(names)}
     of_word: dict[str, list[int]] = {}
-    doc_of, sentence_of, feature_of = [], [], []
+    doc_of, sentence_of, feature_of = array("i"), array("i"), array("i")
     n_sentences = 0
     for doc, text in enumerate(texts):
         for sentence in sentences(text.lower()):
@@ -82,13 +83,13 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
                     of_word[word] = [at[f] for f in features(word) if f in at]
                 found.update(of_word[word])
             if found:
-                sentence_of.append(np.full(len(found), n_sentences, dtype=np.int32))
-                feature_of.append(np.fromiter(found, dtype=np.int32, count=len(found)))
+                sentence_of.extend([n_sentences] * len(found))
+                feature_of.extend(found)
                 doc_of.append(doc)
                 n_sentences += 1
     if not n_sentences:
         return Model({}, -20.0, float(np.mean(labels)))
-    owner, row, column = np.array(doc_of), np.concatenate(sentence_of), np.concatenate(feature_of)
+    owner, row, column = (np.frombuffer(part, dtype=np.int32) for part in (doc_of, sentence_of, feature_of))
     truth = np.array(labels, dtype=bool)
     base = float(truth.mean())
     weights, bias, leak = np.zeros(len(names)), math.log(base / max(1.0, n_sentences / len(texts))), math.log(settings.leak / (1 - settings.leak))
