@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +12,14 @@ from pyspark.sql import types as T
 from casequarry.functions import fixed
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it.
+
+    Without it a text that many conditions look at would be lower-cased, or cleaned, for each of them.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def first_filled(*columns: Column | str) -> Column:
     """The first of the texts that is neither null nor empty; an empty text if there is none."""
     return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns], F.lit(""))
@@ -80,12 +88,18 @@ def cleaned(text: Column) -> Column:
 
     ``without_repeats`` is the one further step, and needs Python.
     """
-    for pattern, replacement in fixed.CLEANING:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = F.substring_index(text, fixed.END_MARK, 1)
-    sections = F.split(text, fixed.LATER_SECTION, 2)
-    text = F.when(F.size(sections) > 1, F.rtrim(F.regexp_replace(sections[0], r"\s+$", ""))).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), r"^\s+|\s+$", "")
+
+    def without(value: Column, numbers: bool) -> Column:
+        for pattern, replacement in fixed.CLEANING:
+            if (r"\d" in pattern) == numbers:
+                value = F.regexp_replace(value, pattern, replacement)
+        return value
+
+    # most patterns need a digit, and most texts have none
+    text = let(text, lambda value: F.when(value.rlike("[0-9]"), without(value, True)).otherwise(value))
+    text = without(text, False)
+    sections = F.split(F.substring_index(text, fixed.END_MARK, 1), fixed.LATER_SECTION, 2)
+    return F.regexp_replace(F.regexp_replace(sections[0], "[ \t]+", " "), r"^\s+|\s+\z", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -118,20 +132,19 @@ def without_repeats(text: pd.Series) -> pd.Series:
 
 def issues(text: Column) -> Column:
     """What a description lacks: length, its sections, a verdict in the second, a vocabulary term."""
-    text = F.coalesce(text, F.lit(""))
     heading = lambda n: rf"(?m)^(?:###?\s*)?{n}\."
-    second = F.element_at(F.split(text, heading(2), 2), 2)
-    body = F.split(second, heading(3), 2)[0]
-    third_first = F.length(F.split(text, heading(3), 2)[0]) < F.length(F.split(text, heading(2), 2)[0])
-    short = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < 50
-    found = F.array_compact(
-        F.array(
-            *[F.when(~text.rlike(heading(n)), F.lit(fixed.NO_SECTION.format(n))) for n in (1, 2, 3)],
-            F.when(text.rlike(heading(2)) & (F.when(text.rlike(heading(3)) & third_first, F.lit(True)).otherwise(~F.coalesce(body, F.lit("")).rlike(r"\b(True|False)\b"))), F.lit(fixed.NO_VERDICT)),
-            F.when(~has_any(F.lower(text), fixed.VOCABULARY), F.lit(fixed.NO_TERM)),
-        ).cast("array<string>")
-    )
-    return F.when(short, texts([fixed.TOO_SHORT])).otherwise(found)
+
+    def found(value: Column) -> Column:
+        parts = F.split(value, heading(2), 2)
+        third_first = F.length(F.split(value, heading(3), 2)[0]) < F.length(parts[0])
+        silent = ~F.coalesce(F.split(F.get(parts, 1), heading(3), 2)[0], F.lit("")).rlike(r"\b(True|False)\b")
+        lacking = [F.when(~value.rlike(heading(n)), F.lit(fixed.NO_SECTION.format(n))) for n in (1, 2, 3)]
+        lacking.append(F.when(value.rlike(heading(2)) & (third_first | silent), F.lit(fixed.NO_VERDICT)))
+        lacking.append(F.when(~let(F.lower(value), lambda lowered: has_any(lowered, fixed.VOCABULARY)), F.lit(fixed.NO_TERM)))
+        short = F.length(F.regexp_replace(value, r"^\s+|\s+\z", "")) < 50
+        return F.when(short, texts([fixed.TOO_SHORT])).otherwise(F.array_compact(F.array(*lacking).cast("array<string>")))
+
+    return let(F.coalesce(text, F.lit("")), found)
 
 
 def selections(text: Column) -> Column:
@@ -164,14 +177,18 @@ def is_note(text: Column) -> Column:
     marked = F.lit(False)
     for symbol in fixed.NOTE_SYMBOLS:
         marked = marked | F.contains(text, F.lit(symbol))
-    return has_any(F.lower(text), fixed.NOTE_KEYWORDS) | marked
+    return let(F.lower(text), lambda lowered: has_any(lowered, fixed.NOTE_KEYWORDS)) | marked
 
 
 def note_icon(text: Column) -> Column:
-    icon = F.lit("•")
-    for keywords, shown in reversed(fixed.NOTE_ICONS):
-        icon = F.when(has_any(F.lower(text), keywords), F.lit(shown)).otherwise(icon)
-    return icon
+
+    def chosen(lowered: Column) -> Column:
+        icon = F.lit("•")
+        for keywords, shown in reversed(fixed.NOTE_ICONS):
+            icon = F.when(has_any(lowered, keywords), F.lit(shown)).otherwise(icon)
+        return icon
+
+    return let(F.lower(text), chosen)
 
 
 def summary(path: Column, symbols: Column, seconds: Column, description: Column) -> Column:

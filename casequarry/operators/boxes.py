@@ -99,10 +99,10 @@ def verified(view: Column, confidence: Column, seen: Column) -> tuple[Column, Co
     return F.coalesce(seen, view), F.when(seen.isNull(), confidence).when(seen == view, F.lit(0.95)).otherwise(F.lit(0.75))
 
 
-def named_views(views: DataFrame, drawing: str) -> DataFrame:
-    """Views with a running number by view, y, x and a file name that shows both."""
+def named_views(views: DataFrame, drawing: str, number: str = "number") -> DataFrame:
+    """Views with a running number by view, y, x and their former number, and a file name that shows both."""
     rank = F.coalesce(F.nullif(F.array_position(F.lit(list(fixed.VIEW_ORDER)), F.col("view")), F.lit(0)), F.lit(99))
-    order = Window.partitionBy(drawing).orderBy(rank, "y", "x")
+    order = Window.partitionBy(drawing).orderBy(rank, "y", "x", number)
     rows = views.withColumn("view_number", F.row_number().over(order))
     return rows.withColumn("file_name", F.format_string("%s-%02d_%s.png", F.col(drawing).cast("string"), F.col("view_number"), F.col("view")))
 

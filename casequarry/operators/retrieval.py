@@ -124,7 +124,7 @@ def cascade(queries: DataFrame, cases: DataFrame, k: int = 3, least: float = MIN
 
 def priors(description: Column, vocabulary: Sequence[str] = fixed.VOCABULARY) -> Column:
     """The vocabulary's terms that a description uses, in the vocabulary's order."""
-    return text.hits(F.lower(description), vocabulary)
+    return text.let(F.lower(description), lambda lowered: text.hits(lowered, vocabulary))
 
 
 def anchors(skills: Column, symbols: Column, terms: Column) -> Column:

@@ -6,6 +6,7 @@ of the plan as literals, so that a text meets all rules in one row and nothing i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,21 +32,20 @@ def infer(docs: DataFrame, rules: Sequence[Rule], keep: Sequence[str], descripti
     and 0.1 more, up to 1, if ``known`` names the process or its id), source, clues (up to three
     keywords each), and rank within the row by confidence, then the catalogue's order.
     """
-    lowered = docs.select(
-        *keep,
-        F.lower(text.without_negations(F.coalesce(F.col(description), F.lit("")))).alias("__seen"),
-        F.lower(F.coalesce(F.col(notes), F.lit(""))).alias("__noted"),
-        F.transform(F.coalesce(F.col(known), text.texts([])), F.lower).alias("__known"),
+    inputs = F.struct(
+        F.lower(text.without_negations(F.coalesce(F.col(description), F.lit("")))).alias("seen"),
+        F.lower(F.coalesce(F.col(notes), F.lit(""))).alias("noted"),
+        F.transform(F.coalesce(F.col(known), text.texts([])), F.lower).alias("known"),
     )
 
-    def judged(rule: Column) -> Column:
-        within = lambda words, where: F.filter(words, lambda w: F.contains(F.col(where), F.lower(w)))
-        return F.struct(rule.alias("rule"), within(rule["seen"], "__seen").alias("seen"), within(rule["noted"], "__noted").alias("noted"))
+    def judged(rule: Column, given: Column) -> Column:
+        within = lambda words, where: F.filter(words, lambda w: F.contains(given[where], F.lower(w)))
+        return F.struct(rule.alias("rule"), within(rule["seen"], "seen").alias("seen"), within(rule["noted"], "noted").alias("noted"))
 
-    def scored(hit: Column) -> Column:
+    def scored(hit: Column, given: Column) -> Column:
         seen, noted, rule = F.size(hit["seen"]) > 0, F.size(hit["noted"]) > 0, hit["rule"]
         base = F.when(seen & noted, 1.0).when(noted, 0.9).otherwise(0.7)
-        bonus = F.when(F.array_contains(F.col("__known"), F.lower(rule["name"])) | F.array_contains(F.col("__known"), F.lower(rule["process_id"])), 0.1).otherwise(0.0)
+        bonus = F.when(F.array_contains(given["known"], F.lower(rule["name"])) | F.array_contains(given["known"], F.lower(rule["process_id"])), 0.1).otherwise(0.0)
         listed = lambda words: F.array_join(F.slice(words, 1, 3), "、")
         clues = F.array_compact(
             F.array(
@@ -61,16 +61,30 @@ def infer(docs: DataFrame, rules: Sequence[Rule], keep: Sequence[str], descripti
             clues.alias("clues"),
         )
 
-    found = F.filter(F.transform(_catalogue(rules), judged), lambda hit: (F.size(hit["seen"]) > 0) | (F.size(hit["noted"]) > 0))
-    ranked = F.array_sort(F.filter(F.transform(found, scored), lambda s: -s["down"] >= least))
-    rows = lowered.select(*keep, F.posexplode(ranked).alias("pos", "p"))
+    def ranked(given: Column) -> Column:
+        met = F.filter(F.transform(_catalogue(rules), lambda rule: judged(rule, given)), lambda hit: (F.size(hit["seen"]) > 0) | (F.size(hit["noted"]) > 0))
+        return F.array_sort(F.filter(F.transform(met, lambda hit: scored(hit, given)), lambda s: -s["down"] >= least))
+
+    rows = docs.select(*keep, F.posexplode(text.let(inputs, ranked)).alias("pos", "p"))
     return rows.select(*keep, (F.col("pos") + 1).alias("rank"), "p.process_id", "p.process_name", (-F.col("p.down")).alias("confidence"), "p.source", "p.clues")
 
 
+def _has(lowered: Column, pattern: str) -> Column:
+    """Whether a lower-cased text has one of a pattern's alternatives; plain ones are searched as text."""
+    plain, other = [], []
+    for alternative in re.split(r"\|(?![^\[]*\])", pattern):
+        (plain if re.fullmatch(r"\w+", alternative) else other).append(alternative)
+    found = text.has_any(lowered, plain)
+    return found | lowered.rlike(f"(?U){'|'.join(other)}") if other else found
+
+
 def skills(context: Column) -> Column:
     """The skills whose pattern a text has, in the rules' order; none for a blank text."""
-    lowered = F.lower(F.coalesce(context, F.lit("")))
-    return F.array_compact(F.array(*[F.when(lowered.rlike(f"(?iU){pattern}"), F.lit(skill)) for skill, pattern, _ in fixed.SKILLS]).cast("array<string>"))
+
+    def found(lowered: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_has(lowered, pattern), F.lit(skill)) for skill, pattern, _ in fixed.SKILLS]).cast("array<string>"))
+
+    return text.let(F.lower(F.coalesce(context, F.lit(""))), found)
 
 
 def described(found: Column) -> Column:
@@ -92,28 +106,40 @@ def all_labels(lowered: Column, labels: Sequence[tuple[str, Sequence[str]]]) ->
 def parent_context(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with what its text says of material, customer, cleanroom, surfaces and specials, the
     keywords found, and the processes that these trigger, sorted."""
-    lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
     groups = [k for _, k in fixed.MATERIALS] + [k for _, k in fixed.CUSTOMERS] + [fixed.CLEANROOM] + [k for _, k in fixed.SURFACES] + [k for _, k in fixed.SPECIALS]
-    with_labels = docs.withColumns(
-        {
-            "material": first_label(lowered, fixed.MATERIALS),
-            "customer": first_label(lowered, fixed.CUSTOMERS),
-            "cleanroom": F.when(text.has_any(lowered, fixed.CLEANROOM), F.lit("detected")),
-            "surfaces": all_labels(lowered, fixed.SURFACES),
-            "specials": all_labels(lowered, fixed.SPECIALS),
-            "keywords": F.array_sort(F.array_distinct(text.hits(lowered, [k for group in groups for k in group]))),
-        }
-    )
-    none = text.texts([])
-    parts = [text.texts(fixed.DEFAULT_PROCESSES), F.when(F.col("cleanroom").isNotNull(), text.texts(fixed.CLEANROOM_PROCESSES)).otherwise(none)]
-    parts += [F.when(F.col("customer") == name, text.texts(codes)).otherwise(none) for name, codes in fixed.CUSTOMER_PROCESSES]
-    parts += [F.when(F.array_contains("specials", name), text.texts(codes)).otherwise(none) for name, codes in fixed.SPECIAL_PROCESSES]
-    return with_labels.withColumn("triggered", F.array_sort(F.array_distinct(F.concat(*parts))))
+    names = ("material", "customer", "cleanroom", "surfaces", "specials", "keywords")
+
+    def said(lowered: Column) -> Column:
+        found = (
+            first_label(lowered, fixed.MATERIALS),
+            first_label(lowered, fixed.CUSTOMERS),
+            F.when(text.has_any(lowered, fixed.CLEANROOM), F.lit("detected")),
+            all_labels(lowered, fixed.SURFACES),
+            all_labels(lowered, fixed.SPECIALS),
+            F.array_sort(F.array_distinct(text.hits(lowered, [k for group in groups for k in group]))),
+        )
+        return F.struct(*[value.alias(name) for name, value in zip(names, found, strict=True)])
+
+    def with_triggered(context: Column) -> Column:
+        none = text.texts([])
+        parts = [text.texts(fixed.DEFAULT_PROCESSES), F.when(context["cleanroom"].isNotNull(), text.texts(fixed.CLEANROOM_PROCESSES)).otherwise(none)]
+        parts += [F.when(context["customer"] == name, text.texts(codes)).otherwise(none) for name, codes in fixed.CUSTOMER_PROCESSES]
+        parts += [F.when(F.array_contains(context["specials"], name), text.texts(codes)).otherwise(none) for name, codes in fixed.SPECIAL_PROCESSES]
+        return F.struct(*[context[name].alias(name) for name in names], F.array_sort(F.array_distinct(F.concat(*parts))).alias("triggered"))
+
+    context = text.let(text.let(F.lower(F.coalesce(F.col(column), F.lit(""))), said), with_triggered)
+    return docs.select("*", F.inline(F.array(context)))
 
 
 def vocabulary_use(docs: DataFrame, vocabulary: Sequence[str] = fixed.VOCABULARY, column: str = "description") -> DataFrame:
-    """term, n_entries: how many rows use each term, of those that any uses. One pass, one row a task."""
-    lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
-    counts = docs.agg(*[F.count_if(F.contains(lowered, F.lit(term.lower()))).alias(f"t{i}") for i, term in enumerate(vocabulary)])
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(term).alias("term"), F.col(f"t{i}").alias("n_entries")) for i, term in enumerate(vocabulary)])
-    return counts.select(F.inline(rows)).where("n_entries > 0").select("term", "n_entries")
+    """term, n_entries: how many rows use each term, of those that any uses.
+
+    A row gives the numbers of the terms it uses, and those are counted where they are before a row for
+    each term and task is shuffled.
+    """
+
+    def used(lowered: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(term.lower())), F.lit(term)) for term in vocabulary]))
+
+    terms = docs.select(F.explode(text.let(F.lower(F.coalesce(F.col(column), F.lit(""))), used)).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n_entries"))

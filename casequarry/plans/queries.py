@@ -568,7 +568,7 @@ ORACLE_SQL = {
     "q25b_bounds": f"""WITH {_ACTIVITY_SQL}, cuts AS (SELECT event_type, (start + "end") // 2 AS at_ FROM gaps UNION SELECT event_type, 0 FROM spans UNION SELECT event_type, last - first + 1 FROM spans),
         cells AS (SELECT event_type, at_ AS "begin", lead(at_) OVER (PARTITION BY event_type ORDER BY at_) AS until FROM cuts) SELECT event_type, "begin", until FROM cells WHERE until IS NOT NULL""",
     "q26_views": f"WITH {_BOXES_SQL}, {_VIEWS_SQL} SELECT * FROM views",
-    "q26b_named_views": f"""WITH {_BOXES_SQL}, {_VIEWS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE view WHEN 'Top' THEN 1 WHEN 'Front' THEN 2 WHEN 'Side' THEN 3 WHEN 'Iso' THEN 4 ELSE 99 END, y, x) AS k FROM views)
+    "q26b_named_views": f"""WITH {_BOXES_SQL}, {_VIEWS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE view WHEN 'Top' THEN 1 WHEN 'Front' THEN 2 WHEN 'Side' THEN 3 WHEN 'Iso' THEN 4 ELSE 99 END, y, x, number) AS k FROM views)
         SELECT l_orderkey, number, k::INT AS view_number, format('{{}}-{{:02d}}_{{}}.png', l_orderkey, k, view) AS file_name FROM numbered""",
     "q27_iou": f"""WITH {_BOXES_SQL}, paired AS (SELECT *, lead(x) OVER own AS nx, lead(y) OVER own AS ny, lead(w) OVER own AS nw, lead(h) OVER own AS nh FROM boxes WINDOW own AS (PARTITION BY l_orderkey ORDER BY number)),
         common AS (SELECT *, greatest(least(x + w, nx + nw) - greatest(x, nx), 0) * greatest(least(y + h, ny + nh) - greatest(y, ny), 0) AS c FROM paired WHERE nx IS NOT NULL)
