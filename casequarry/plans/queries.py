@@ -196,7 +196,7 @@ def q17_first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q18_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(p,) for p in PREFIXES], "prefix string")
+    known = spark.range(1).select(F.explode(text.texts(PREFIXES)).alias("prefix"))
     return groups.longest_prefix(table(spark, sf_dir, "pages").select("page_id", "url"), "url", known)
 
 
