@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hashes in a fingerprint.
 SIZE = 64
@@ -108,6 +110,34 @@ def as_text(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
 
+def from_text(value: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(value), dtype=">u4").astype(np.uint32)
+
+
+def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """``docs`` with the fingerprint of a text column; a null text is empty, and its fingerprint too.
+
+    Rows, repeats and other columns stay as they are; a column of that name is replaced.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def compute(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda value: as_text(fingerprint(value or "")))
+
+    return docs.withColumn(name, compute(F.col(text)))
+
+
+def likeness_of(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprint columns; null if either is null."""
+
+    @F.pandas_udf(T.DoubleType())
+    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
+        pairs = zip(left, right, strict=True)
+        return pd.Series([None if x is None or y is None else likeness(from_text(x), from_text(y)) for x, y in pairs], dtype="float64")
+
+    return compare(a, b)
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """``docs`` dealt by ranges of the id and sorted, each range followed by the next one's first row.
 

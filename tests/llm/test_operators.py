@@ -70,6 +70,14 @@ def test_likeness_follows_the_edit():
     assert near[0] > near[1] > near[2] and lz_fingerprint.likeness(prints, prints) == 1.0
 
 
+def test_fingerprint_columns(spark):
+    docs = spark.createDataFrame([(1, "some text of words", "some text of work"), (2, None, "x"), (3, "", "")], "doc_id long, text string, other string")
+    both = lz_fingerprint.fingerprinted(lz_fingerprint.fingerprinted(docs), "other", "second")
+    found = {r["doc_id"]: r for r in both.withColumn("near", lz_fingerprint.likeness_of(F.col("fingerprint"), F.col("second"))).collect()}
+    assert 0.5 < found[1]["near"] < 1 and found[2]["near"] == 0.0 and found[3]["near"] == 1.0 and found[3]["fingerprint"] == ""
+    assert both.select(lz_fingerprint.likeness_of(F.lit(None).cast("string"), F.col("second"))).first()[0] is None
+
+
 def test_neighbours_with_ties_and_nulls(spark):
     docs = spark.createDataFrame([(None, "aaaa"), (1, "bbbbbbbb"), (1, "cccccccc"), (1, "cccccccc"), (2, None)], "doc_id long, text string")
     found = sorted((str(r["doc_id"]), r["n_chars"]) for r in lz_fingerprint.neighbours(docs).collect())
