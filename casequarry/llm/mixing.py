@@ -23,7 +23,7 @@ from casequarry.llm.common import columns_of, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many documents of a source fall into a bucket of the draw's order.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: The table of sources is broadcast up to so many rows; beyond, it is joined by its key.
 BROADCAST_SOURCES = 20_000
 
