@@ -22,7 +22,8 @@ def _catalogue(rules: Sequence[Rule]) -> Column:
         process_id, name, seen, noted = rule
         return F.struct(F.lit(process_id).alias("process_id"), F.lit(name).alias("name"), text.texts(seen).alias("seen"), text.texts(noted).alias("noted"), F.lit(order).alias("ord"))
 
-    return F.array(*[one(i, rule) for i, rule in enumerate(rules)])
+    kind = "array<struct<process_id:string,name:string,seen:array<string>,noted:array<string>,ord:int>>"
+    return F.array(*[one(i, rule) for i, rule in enumerate(rules)]).cast(kind)
 
 
 def infer(docs: DataFrame, rules: Sequence[Rule], keep: Sequence[str], description: str = "description", notes: str = "notes", known: str = "priors", least: float = 0.5) -> DataFrame:
