@@ -11,6 +11,7 @@ under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +129,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
         return df.select("vec_id", "weights").where("vec_id IS NOT NULL AND weights IS NOT NULL")
 
     candidates = slim(vectors).mapInArrow(_pack(block_rows), BLOCK_SCHEMA)
-    asked = slim(queries).distinct().mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
+    distinct = slim(queries).distinct()
+    # few full blocks of queries rather than one for each small partition: every block meets every other
+    asked = distinct.repartition(max(1, math.ceil(distinct.count() / query_rows))).mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
     pairs = candidates.crossJoin(asked.selectExpr("ids AS q_ids", "terms AS q_terms", "weights AS q_weights"))
     hits = pairs.mapInArrow(_search(k), HIT_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
