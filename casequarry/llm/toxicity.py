@@ -154,6 +154,11 @@ class Scorer:
         found = self._met[word] = tuple(f for f in features(word) if f in self._model.weights)
         return found
 
+    def sentence(self, text: str) -> float:
+        """Score of one sentence."""
+        found = {f for word in WORD.findall(text.lower()) for f in (self._met[word] if word in self._met else self._weighed(word))}
+        return 1 / (1 + math.exp(-self._model.bias - sum(self._model.weights[f] for f in found)))
+
     def __call__(self, text: str | None) -> tuple[float, int, float]:
         """Document score, and number (from 0, or -1) and score of the sentence that offends most."""
         model, met, weigh = self._model, self._met, self._weighed
@@ -193,3 +198,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     new = {name: F.col(f"__toxicity.{name}") for name in ("score", "worst_sentence", "worst_score")}
     return docs.withColumn("__toxicity", scored(F.col("text"))).withColumns(new).drop("__toxicity")
+
+
+def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """doc_id, sentence (its number from 0), text, score of the sentences that score at least ``least``.
+
+    A document without one gives no row; ids repeat as they do in ``docs``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<struct<sentence:int,text:string,score:double>>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for part in texts:
+            yield part.map(lambda text: [(i, s, p) for i, s in enumerate(sentences(text or "")) if (p := scorer.sentence(s)) >= least])
+
+    return docs.select("doc_id", F.explode(found(F.col("text"))).alias("s")).select("doc_id", "s.sentence", "s.text", "s.score")

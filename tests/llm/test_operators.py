@@ -187,6 +187,8 @@ def test_toxicity_learns_sentences_from_documents(spark):
     found = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
     assert found[1]["score"] > 0.5 and found[1]["worst_sentence"] == 2 and found[4]["score"] > 0.5
     assert max(found[i]["score"] for i in (2, 3, 5)) < 0.5 and found[3]["worst_sentence"] == -1
+    located = toxicity.offending_sentences(docs, model).collect()
+    assert [(r["doc_id"], r["sentence"], r["text"]) for r in located] == [(1, 2, " so vile, this"), (4, 0, "FOUL")]
     assert toxicity.fit([], []) == toxicity.Model({}, -20.0, 0.0)
 
 
