@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from casequarry.functions import fixed, text, vectors
 from casequarry.operators import boxes, evaluate, groups, reports, retrieval, rules, store
-from casequarry.sources.tables import table
+from casequarry.sources.tables import spread, table
 
 #: Query vectors of the two channels, and a query text: parameters of the searches.
 IMAGE_QUERY = vectors.unit_list([math.cos(i + 1) for i in range(32)])
@@ -34,9 +34,10 @@ PREFIXES = ("http://", "https://", "https://m.", "https://www.", "http://blog.th
 SHAPE = "plate with ing"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as cases."""
+def documents(spark: SparkSession, sf_dir: str, searched: bool = False) -> DataFrame:
+    """The documents as cases; dealt to all cores if their texts are to be ``searched``."""
     docs = table(spark, sf_dir, "documents")
+    docs = spread(docs) if searched else docs
     return docs.select(
         F.col("doc_id").alias("entry_id"),
         F.col("doc_id").alias("seq"),
@@ -98,7 +99,7 @@ def q05_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.jaccard_search(documents(spark, sf_dir), TEXT, k=5)
+    hits = retrieval.jaccard_search(documents(spark, sf_dir, searched=True), TEXT, k=5)
     return hits.select("entry_id", F.round("score", 3).alias("confidence"), F.lit("text_keyword").alias("match_type"))
 
 
@@ -110,7 +111,7 @@ def q06b_shape_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q07_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items are the queries: some have a stored text, some a vector, some only words."""
     vector = _channels(spark, sf_dir).select(F.col("entry_id").alias("v_id"), "image_vec", "text_vec")
-    cases = documents(spark, sf_dir).select("entry_id", "seq", "image_hash", "description", F.lit(None).cast("string").alias("status"))
+    cases = documents(spark, sf_dir, searched=True).select("entry_id", "seq", "image_hash", "description", F.lit(None).cast("string").alias("status"))
     cases = cases.join(vector, F.col("entry_id") == F.col("v_id"), "left").drop("v_id")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.sha2(F.col("text").cast("binary"), 256).alias("image_hash"), F.col("text").alias("description"))
     known = documents(spark, sf_dir).select((F.col("entry_id") + 1_000_000).alias("query_id"), "image_hash", "description").join(items.select(F.col("query_id").alias("n")), F.col("n") + 1_000_000 == F.col("query_id"), "left_semi")
@@ -120,18 +121,18 @@ def q07_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q08_keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("priors", F.array(F.concat(F.lit("r0"), (F.col("entry_id") % 7).cast("string")), F.lit("Coating")))
+    docs = documents(spark, sf_dir, searched=True).withColumn("priors", F.array(F.concat(F.lit("r0"), (F.col("entry_id") % 7).cast("string")), F.lit("Coating")))
     found = rules.infer(docs, RULES, keep=["entry_id"])
     return found.withColumn("clues", F.array_join("clues", " | "))
 
 
 def q09_regex_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(spark, sf_dir).select("entry_id", rules.skills(F.col("description")).alias("skills"))
+    found = documents(spark, sf_dir, searched=True).select("entry_id", rules.skills(F.col("description")).alias("skills"))
     return found.select("entry_id", F.array_join("skills", ",").alias("skills"), rules.described(F.col("skills")).alias("described"))
 
 
 def q10_parent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.parent_context(documents(spark, sf_dir).select("entry_id", "description"), "description")
+    found = rules.parent_context(documents(spark, sf_dir, searched=True).select("entry_id", "description"), "description")
     joined = {c: F.array_join(c, ",") for c in ("surfaces", "specials", "keywords", "triggered")}
     return found.withColumns(joined).drop("description")
 
@@ -143,7 +144,7 @@ def q10b_parent_context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q11_vocabulary_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.vocabulary_use(documents(spark, sf_dir), (*fixed.VOCABULARY, *TERMS))
+    return rules.vocabulary_use(documents(spark, sf_dir, searched=True), (*fixed.VOCABULARY, *TERMS))
 
 
 def q12_store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,12 +214,12 @@ def q20_tag_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q21_clean_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir, searched=True)
     return docs.select("entry_id", F.sha2(text.cleaned(F.col("description")).cast("binary"), 256).alias("cleaned_hash"), F.array_join(text.issues(F.col("description")), ";").alias("issues"))
 
 
 def q21b_dimension_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("entry_id", text.has_dimension(F.col("description")).alias("leaks"))
+    return documents(spark, sf_dir, searched=True).select("entry_id", text.has_dimension(F.col("description")).alias("leaks"))
 
 
 def q22_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def q22_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q23_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(text.issues(F.col("description")).alias("errors"))
+    docs = documents(spark, sf_dir, searched=True).select(text.issues(F.col("description")).alias("errors"))
     return reports.batch_report(docs)
 
 

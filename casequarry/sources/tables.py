@@ -28,6 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt to all cores where its files make fewer partitions than there are cores.
+
+    For work that costs far more than moving its rows, such as searching texts. A large table has more
+    partitions than cores and stays as it is, so nothing is shuffled at scale. ``scan`` has to be a plain
+    scan: its partitions are counted from its plan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array, with ``seq``, their place in it; a missing file or a broken one is empty.
 
