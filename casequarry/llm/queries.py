@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casequarry.llm import bpe, langid, line_dedup, lz_fingerprint, mixing, pii, simhash, topk, toxicity, url_filter
 from casequarry.llm.common import remainder, table
+from casequarry.sources.tables import spread
 
 #: The rules of op8: host, path, verdict. Fixed values.
 URL_RULES = (
@@ -22,7 +23,7 @@ URL_RULES = (
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     learned = labels.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
     model = toxicity.fit(*toxicity.sample(learned, docs))
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
@@ -52,7 +53,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -62,7 +63,7 @@ def vocabulary(path: str | None = None) -> bytes:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), vocabulary(), public_tokenizers.PATTERN)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.train(docs.where(remainder(F.col("doc_id"), 3) != 1))
     return langid.classify(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
