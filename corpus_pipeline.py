@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequarry.llm import bpe, langid, line_dedup, mixing, simhash
+from casequarry.llm import bpe, langid, line_dedup, mixing, near_copies
 from casequarry.llm.common import checkpoint_dir, columns_of, table
 
 
@@ -30,8 +30,8 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs, words=5, distance=3)
+    """One document of each group of texts with a five-word likeness of 0.8 or more stays."""
+    return near_copies.one_of_each(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
