@@ -5,8 +5,9 @@ from MinHash here: 25 bands of 5 least hashes, of which two texts of likeness 0.
 probability of 0.99995. Every candidate is verified exactly on its shingles.
 
 Texts of one shingle set are one node. The nodes of a band are not paired each with each: all are held
-against the smallest; those that are no near-copy of it go on among themselves, and what is left after
-``ROUNDS`` such rounds is paired in full. So a large group of near-copies costs a pair a node and band.
+against the smallest; those that no chain of near-copies joins to it go on among themselves, and of what
+is left after ``ROUNDS`` such rounds all pairs of different chains are verified whose sketches don't
+rule them out.
 """
 
 from __future__ import annotations
@@ -51,6 +52,17 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 parts of the hashes, whether it holds an odd number of a set's: as 8 longs."""
+    return np.packbits((np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(sketch_a: Column, sketch_b: Column, n_a: Column, n_b: Column) -> Column:
+    """Never false of near-copies: sets differ in a member at least for each bit in which their sketches differ."""
+    apart = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, m: n + m)
+    return 9 * apart <= n_a + n_b
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, of (a hash of the text), text; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
@@ -58,16 +70,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, of, node (a hash of the shingle set), n (its size) and bands of every text of ``docs``."""
+    """doc_id, of, node (a hash of the shingle set), n (its size), bands and sketch of every text of ``docs``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("of"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "of", "node", "n", "bands"])
+            columns = [batch.column("doc_id"), batch.column("of"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (bands, sketch))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "of", "node", "n", "bands", "sketch"])
 
-    return _keyed(docs).mapInArrow(compute, "doc_id long, of long, node long, n int, bands array<long>")
+    return _keyed(docs).mapInArrow(compute, "doc_id long, of long, node long, n int, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
@@ -101,22 +113,28 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of near-copies among ``nodes`` (node, n, bands, at) that link all candidates that are alike."""
-    rest = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    found = None
+    """Pairs (a, b) of near-copies among ``nodes`` (node, n, bands, sketch, at) whose chains join the candidates that are alike."""
+    rest = nodes.select(F.explode("bands").alias("band"), "node", "n", F.col("node").alias("root"))
+    found = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for _ in range(ROUNDS):
-        heads = rest.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1").select("band", "head")
-        rest = cut(rest.join(heads, "band").where("node <> head.node").select("band", "node", "n", "head"))
+        several = rest.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+        heads = several.where("low <> high").select("band", "head")
+        rest = cut(rest.join(heads, "band").where("root <> head.root"))
         if rest.isEmpty():
-            break
+            return found
         good = verified(docs, nodes, rest.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("n").alias("n_a"), F.col("head.n").alias("n_b")), words)
-        found = good if found is None else found.union(good)
-        rest = rest.join(good, (rest["node"] == good["a"]) & (rest["head.node"] == good["b"]), "left_anti").select("band", "node", "n")
-    else:
-        x, y = rest.alias("x"), rest.alias("y")
-        left = x.join(y, F.expr("x.band = y.band AND x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-        found = found.union(verified(docs, nodes, left, words))
-    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+        found = cut(found.union(good))
+        roots = components(found)
+        own, heads_own = roots.select("node", F.col("root").alias("to")), roots.select(F.col("node").alias("head_node"), F.col("root").alias("head_to"))
+        placed = rest.withColumn("head_node", F.col("head.node")).join(own, "node", "left").join(heads_own, "head_node", "left")
+        root, head_root = F.coalesce("to", "node"), F.coalesce("head_to", "head_node")
+        rest = placed.where(root != head_root).select("band", "node", "n", root.alias("root"))
+    rest = cut(rest.join(nodes.select("node", "sketch"), "node"))
+    x, y = rest.alias("x"), rest.alias("y")
+    may = may_be_alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))
+    left = x.join(y, F.expr("x.band = y.band AND x.node < y.node AND x.root <> y.root") & may)
+    pairs = left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    return found.union(verified(docs, nodes, pairs, words))
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -125,8 +143,7 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     Null and empty texts, and those of white space only, are copies of each other. Rows that repeat a kept
     id are one row afterwards. Rows without an id can't be named, so they stay.
     """
-    signed = cut(signatures(docs, words))
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "of")).alias("at")))
+    nodes = cut(signatures(docs, words).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "of")).alias("at")))
     roots = components(links(docs, nodes, words))
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept")
