@@ -8,7 +8,7 @@ positives cost a little work and change nothing.
 
 The filter is a row of 64-byte blocks, and all bits of a key lie in one block, so a lookup touches
 one cache line. It is built by the executors, merged block by block, and broadcast only while it is
-under ``max_filter_bytes`` and the list's distinct path lengths under ``MAX_LENGTHS``; a longer list
+under ``max_filter_bytes``; a longer list
 goes to the join without a filter, with the same result.
 """
 
