@@ -6,7 +6,8 @@ probability of 0.99995. Every candidate is verified exactly on its shingles.
 
 Texts of one shingle set are one node. The nodes of a band are not paired each with each: all are held
 against the smallest; those that are no near-copy of it go on among themselves, and what is left after
-``ROUNDS`` such rounds is paired in full. So a large group of near-copies costs a pair a node and band.
+``ROUNDS`` such rounds is paired in full, so a large group of texts just below the likeness costs the square
+of its size there.
 """
 
 from __future__ import annotations
