@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +16,26 @@ def columns_of(names: list[str]) -> list[Column]:
     return [F.col("`{}`".format(name.replace("`", "``"))) for name in names]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of ``names`` that no column of ``df`` has, upper or lower case."""
+    taken = {column.lower() for column in df.columns}
+    mark = "__"
+    while any((mark + name).lower() in taken for name in names):
+        mark += "_"
+    return [mark + name for name in names]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: spark.checkpoint.dir, or what was set on the context.
+
+    Without either, a local session uses a folder under its warehouse; on a cluster there is none that
+    all executors are known to share, and that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="casequarry-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return shared
 
 

@@ -85,7 +85,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(spread(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],

@@ -240,12 +240,13 @@ def test_url_rules_without_a_filter_and_without_rules(spark):
 def test_disclosing_terms_are_found_and_generalised(spark):
     fillers = ["morning", "evening", "window", "garden", "river", "mountain", "paper", "silver"]
     rows = [(i, f"{fillers[i % 8]} note {i}: surgeon Zarkov may be reached at z@clinic.org for the {fillers[(i + 3) % 8]}") for i in range(5)]
-    rows += [(10 + i, f"{fillers[i % 8]} may be reached for the {fillers[(i + 1) % 8]} note of day {i}") for i in range(200)]
+    rows += [(10 + i, f"{fillers[i % 8]} may be reached at noon for the {fillers[(i + 1) % 8]} note of day {i}") for i in range(200)]
     rows += [(900 + i, "much copied Unrelated words around copy@a.org here") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: [docs_text[s["start"] : s["end"]] for s in r["term"]] for r in pii.find(docs).collect() for docs_text in [dict(rows)[r["doc_id"]]]}
     assert found[0] == ["surgeon", "Zarkov"] and found[4] == ["surgeon", "Zarkov"]
-    assert not any(found[i] for i in found if i >= 10)  # a copied context is one context
+    assert not any(found[i] for i in found if 10 <= i < 900)
+    assert found[900] == found[949] == ["much", "copied", "Unrelated", "words", "around", "here"]  # one text with one entity, however often it is copied
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
-    assert clean[0] == "morning note 0: [TERM] [TERM] may be reached at [EMAIL] for the mountain" or "[TERM] [TERM] may be reached at [EMAIL]" in clean[0]
+    assert clean[0] == "morning note 0: [TERM] [TERM] may be reached at [EMAIL] for the garden"
     assert clean[10] == dict(rows)[10]
