@@ -1,55 +1,69 @@
-"""Near-copies: texts whose sets of word shingles have a Jaccard likeness of at least 0.8.
+"""Near-copies by wide SimHashes: texts whose sets of word shingles have a Jaccard likeness of at least 0.8.
 
-SimHash serves distances of few bits, and this likeness lies at 4 to 17 of 64 bits, so candidates come
-from MinHash here: 25 bands of 5 least hashes, of which two texts of likeness 0.8 share one with a
-probability of 0.99995. Every candidate is verified exactly on its shingles.
+Three bits of 64 serve only texts that are all but equal; this likeness lies at 0.15 of the bits. So the same
+SimHash is taken wider, from several mixes of the shingles' hashes, and cut into more segments:
 
-Texts of one shingle set are one node. The nodes of a band are not paired each with each: all are held
-against the smallest; those that are no near-copy of it go on among themselves, and what is left after
-``ROUNDS`` such rounds is paired in full, so a large group of texts just below the likeness costs the square
-of its size there.
+1. multi-index hashing: in every segment a fingerprint enters the table under its own value and under each
+   value that one more set bit makes, a ball of radius one; two that meet under a value differ there in at
+   most two bits;
+2. those that meet are verified on ``WORDS`` * 64 bits, which gives loose groups of texts;
+3. inside the loose groups all are held against all, block by block, exactly on their sets of shingles.
+
+Texts of one shingle set are one node, so copies are one lookup. Neither a table value nor a loose group gives
+all its pairs: what leaves the worker that compares them is a spanning tree of the links, one row a text.
+The segments grow with the logarithm of the number of documents, and their number with them, so that a
+table value is shared by about as many unlike texts at any size and a pair at the likeness meets with a
+probability of 0.99.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.llm.common import cut
+from casequarry.llm.common import columns_of, cut, fresh
 from casequarry.llm.components import components
+from casequarry.llm.simhash import SEED, majority, shingle_hashes
+
+LIKENESS = 0.8
+#: 64-bit words of a fingerprint that are compared when two meet, and bits that may differ. The likeness
+#: lies at 19 of 128 bits, with a deviation of 4; texts that have nothing in common at 64, deviation 6.
+WORDS, DISTANCE = 2, 28
+#: Texts of a loose group that are held against each other at once.
+BLOCK = 256
+#: Lists of documents are broadcast up to so many rows; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
-SEED = 42
-BANDS, ROWS = 25, 5
-ROUNDS = 3
-_DRAW = np.random.default_rng(SEED)
-_TIMES = _DRAW.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _DRAW.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
+def layout(documents: int) -> tuple[int, int]:
+    """Bits of a segment, and number of segments, for a table of so many documents."""
+    bits = min(32, max(16, math.ceil(math.log2(max(2, documents))) - 2))
+    apart = math.acos(2 * LIKENESS / (1 + LIKENESS)) / math.pi
+    # of two differing bits, one has to be set on either side for the balls to meet
+    meet = sum(share * math.comb(bits, n) * apart**n * (1 - apart) ** (bits - n) for n, share in ((0, 1), (1, 1), (2, 0.5)))
+    return bits, math.ceil(math.log(0.01) / math.log(1 - meet))
 
-def shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The distinct shingles of UTF-8 ``text`` as sorted XXH64 hashes; words and shingles as in ``simhash``."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    joined = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), dtype=np.uint64))
 
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` numbers of 64 bits: the SimHash of the hashes, and of other mixes of them."""
+    out = [majority(hashes)]
+    for i in range(1, words):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        out.append(majority(mixed * np.uint64(0xD6E8FEB86659FD93)))
+    return np.array(out, dtype=np.uint64)
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of the MinHash of a set of hashes; none for an empty set."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.int64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for start in range(0, len(hashes), 512):
-        least = np.minimum(least, (hashes[start : start + 512] * _TIMES + _PLUS).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+def segments_of(words: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The fingerprint's first ``count`` segments of ``bits`` bits."""
+    ones = np.unpackbits(words.astype(">u8").view(np.uint8))[: bits * count].reshape(count, bits)
+    return ones @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,78 +72,202 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.cast("binary").alias("text"))
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, of, node (a hash of the shingle set), n (its size) and bands of every text of ``docs``."""
+def signatures(docs: DataFrame, words: int, bits: int, count: int) -> DataFrame:
+    """doc_id, of, node (a hash of the shingle set), print (WORDS longs) and segments of every text."""
+    width = max(WORDS, -(-bits * count // 64))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("of"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "of", "node", "n", "bands"])
+            nodes, prints, parts = [], [], []
+            for text in batch.column("text"):
+                hashes = np.unique(shingle_hashes(text.as_py(), words))
+                wide = fingerprint(hashes, width)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                prints.append(wide[:WORDS].view(np.int64))
+                parts.append(segments_of(wide, bits, count))
+            columns = [batch.column("doc_id"), batch.column("of"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "of", "node", "print", "segments"])
 
-    return _keyed(docs).mapInArrow(compute, "doc_id long, of long, node long, n int, bands array<long>")
+    return _keyed(docs).mapInArrow(compute, "doc_id long, of long, node long, print array<long>, segments array<long>")
 
 
-def _sets(docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """node and shingles (array<long>) of the texts at ``places`` (node, doc_id, of)."""
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Pieces of a stream that is sorted by its first columns, each with all rows of the keys in it."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part])
+        changed = np.zeros(part.num_rows, dtype=bool)
+        for i in range(n_keys):
+            values = part.column(i).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        last = int(np.flatnonzero(changed)[-1]) if changed.any() else 0
+        if last:
+            yield part.slice(0, last)
+        rest = part.slice(last)
+    if rest is not None:
+        yield rest
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bounds(table: pa.Table, n_keys: int) -> np.ndarray:
+    """Where the keys of a sorted table begin, and its end."""
+    changed = np.ones(table.num_rows + 1, dtype=bool)
+    changed[1:-1] = False
+    for i in range(n_keys):
+        values = table.column(i).to_numpy()
+        changed[1:-1] |= values[1:] != values[:-1]
+    return np.flatnonzero(changed)
+
+
+def spanning(n: int, near) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of 0 .. n-1; ``near(i, others)`` says which of ``others`` are linked to i."""
+    waiting = np.arange(1, n)
+    todo = [0]
+    while True:
+        while todo and len(waiting):
+            i = todo.pop()
+            hit = near(i, waiting)
+            for j in waiting[hit]:
+                yield i, int(j)
+            todo.extend(waiting[hit].tolist())
+            waiting = waiting[~hit]
+        if not len(waiting):
+            return
+        todo, waiting = [int(waiting[0])], waiting[1:]
+
+
+def loose_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) whose chains connect all ``nodes`` (node, print, segments) that meet and are close."""
+    ball = f"filter(sequence(-1, {bits - 1}), i -> i < 0 OR shiftright(v, greatest(i, 0)) & 1 = 0)"
+    keys = f"flatten(transform(segments, (v, s) -> transform({ball}, i -> shiftleft(cast(s AS bigint), 32) | v | CASE WHEN i < 0 THEN 0L ELSE shiftleft(1L, i) END)))"
+    keyed = nodes.select(F.explode(F.expr(keys)).alias("key"), "node", *[F.col("print")[i].alias(f"w{i}") for i in range(WORDS)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 1):
+            starts = bounds(table, 1)
+            sizes = np.diff(starts)
+            node = table.column(1).to_numpy()
+            prints = np.stack([table.column(2 + i).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
+            out_a, out_b = [], []
+            for start, size in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                own = prints[start : start + size]
+                if size <= 48:  # most: one comparison says that nothing is close
+                    apart = np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(axis=2)
+                    if np.count_nonzero(apart <= DISTANCE) == size:
+                        continue
+                for i, j in spanning(size, lambda i, others: np.bitwise_count(own[others] ^ own[i]).sum(axis=1) <= DISTANCE):  # noqa: B023
+                    out_a.append(node[start + i])
+                    out_b.append(node[start + j])
+            if out_a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _matches(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether each pair of sets has the likeness, as a matrix."""
+    sizes = np.array([len(s) for s in sets])
+    members, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, term, seen = np.unique(members, return_inverse=True, return_counts=True)
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    shared = seen > 1
+    number = np.cumsum(shared) - 1
+    use = shared[term]
+    owner, term = owner[use], number[term[use]]
+    for start in range(0, int(shared.sum()), 4096):
+        here = (term >= start) & (term < start + 4096)
+        holds = np.zeros((len(sets), 4096), dtype=np.float32)
+        holds[owner[here], term[here] - start] = 1
+        common += holds @ holds.T
+    np.fill_diagonal(common, sizes)
+    return 9 * common >= 4 * (sizes[:, None] + sizes[None, :])  # in whole numbers: common / union >= 0.8
+
+
+def exact_links(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) whose chains connect all ``members`` (node, root, doc_id, of) of one root with the likeness."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    placed = members.join(sizes, "root").select("node", "root", "doc_id", "of", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int"))
+    placed = cut(placed)
+    wanted = placed.select("node", "root", "block", "blocks", F.col("doc_id").alias("__id"), F.col("of").alias("__of"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    keyed = _keyed(docs)
+    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["of"] == F.col("__of"))).select("root", "block", "blocks", "node", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    keyed = _keyed(docs).alias("d")
-    at = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.of") == F.col("p.of"))
-    texts = keyed.join(places.alias("p"), at).select("p.node", "d.text").dropDuplicates(["node"])
-    return texts.mapInArrow(compute, "node long, shingles array<long>")
-
-
-def alike(common: Column, n_a: Column, n_b: Column) -> Column:
-    """Whether sets of n_a and n_b members with so many in common have a likeness of 0.8 or more, in whole numbers."""
-    return 9 * common >= 4 * (n_a + n_b)
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a, b, n_a, n_b) that are near-copies."""
-    may = cut(pairs.where(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))).distinct())
-    wanted = may.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(_sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "at.doc_id", "at.of"), words))
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return cut(may.join(a, "a").join(b, "b").where(alike(common, F.col("n_a"), F.col("n_b"))).select("a", "b"))
-
-
-def links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of near-copies among ``nodes`` (node, n, bands, at) that link all candidates that are alike."""
-    rest = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    found = None
-    for _ in range(ROUNDS):
-        heads = rest.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1").select("band", "head")
-        rest = cut(rest.join(heads, "band").where("node <> head.node").select("band", "node", "n", "head"))
-        if rest.isEmpty():
-            break
-        good = verified(docs, nodes, rest.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("n").alias("n_a"), F.col("head.n").alias("n_b")), words)
-        found = good if found is None else found.union(good)
-        rest = rest.join(good, (rest["node"] == good["a"]) & (rest["head.node"] == good["b"]), "left_anti").select("band", "node", "n")
-    else:
-        x, y = rest.alias("x"), rest.alias("y")
-        left = x.join(y, F.expr("x.band = y.band AND x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-        found = found.union(verified(docs, nodes, left, words))
-    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["root", "block", "blocks", "node", "shingles"])
+
+    sets = texts.mapInArrow(read, "root long, block int, blocks int, node long, shingles array<long>")
+    # each block meets each other one, and itself where it is alone
+    meets = "transform(filter(sequence(0, blocks - 1), i -> blocks = 1 OR i <> block), i -> named_struct('low', least(i, block), 'high', greatest(i, block)))"
+    paired = sets.select("root", F.explode(F.expr(meets)).alias("m"), "node", "shingles").select("root", "m.low", "m.high", "node", "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 3):
+            out_a, out_b = [], []
+            starts = bounds(table, 3)
+            node, shingles = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                names, first = np.unique(node[start:end], return_index=True)
+                if len(names) < 2:
+                    continue
+                linked = _matches([shingles[start + int(i)].values.to_numpy() for i in first])
+                for i, j in spanning(len(names), lambda i, others: linked[i, others]):  # noqa: B023
+                    out_a.append(names[i])
+                    out_b.append(names[j])
+            if out_a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    keys = ["root", "low", "high"]
+    return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, of, rows, root of the distinct texts of ``docs`` (doc_id, text): texts of one root are near-copies.
+
+    ``of`` is a hash of the text and rows how often that id has it. A null text is empty, and texts without
+    a word are copies of each other. An empty table gives no rows.
+    """
+    bits, count = layout(docs.count())
+    signed = cut(signatures(docs, words, bits, count))
+    at = F.min(F.struct("doc_id", "of")).alias("at")
+    nodes = cut(signed.groupBy("node").agg(at, F.first("print").alias("print"), F.first("segments").alias("segments")))
+    loose = components(loose_links(nodes, bits))
+    members = nodes.select("node", "at.doc_id", "at.of").join(loose, "node")
+    tight = components(exact_links(docs, members, words)).withColumnRenamed("root", "near")
+    keys = signed.groupBy("doc_id", "of", "node").agg(F.count("*").alias("rows"))
+    return keys.join(tight, "node", "left").select("doc_id", "of", "rows", F.coalesce("near", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` without near-copies: of each chain of them the document with the smallest id stays.
+    """``docs`` (doc_id, text, ...) without near-copies: one row of each chain of them stays.
 
-    Null and empty texts, and those of white space only, are copies of each other. Rows that repeat a kept
-    id are one row afterwards. Rows without an id can't be named, so they stay.
+    It is the one with the smallest id, then the smallest hash of its text; rows without an id come last.
+    Rows with different texts are told apart though they share an id. Of rows that share id and text one
+    stays, chosen by a hash of all its columns.
     """
-    signed = cut(signatures(docs, words))
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "of")).alias("at")))
-    roots = components(links(docs, nodes, words))
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = placed.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept")
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").union(docs.where("doc_id IS NULL"))
+    found = cut(groups(docs, words))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of")
+    kept = found.groupBy("root").agg(F.min(order).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("of") == F.col("best.of"))
+    judged = cut(found.join(kept, "root").select("doc_id", "of", "rows", same.alias("stays")))
+    id_, of, number = fresh(docs, "id", "of", "number")
+    named = {"doc_id": id_, "of": of}
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select("doc_id", "of").withColumnsRenamed(named)
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return df.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of)), how)
+
+    left = among(docs, judged.where(~F.col("stays")), "left_anti")
+    repeated = judged.where(F.col("stays") & (F.col("rows") > 1))
+    if repeated.isEmpty():
+        return left
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*columns_of(docs.columns)))
+    once = among(left, repeated, "left_semi").withColumn(number, F.row_number().over(again)).where(F.col(number) == 1).drop(number)
+    return among(left, repeated, "left_anti").unionByName(once)

@@ -29,22 +29,31 @@ SEED = 42
 SEGMENT_BITS = 32
 
 
-def simhash(text: bytes | None, words: int) -> int:
-    """The fingerprint of UTF-8 ``text`` as a signed 64-bit number; 0 without words.
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of UTF-8 ``text``, repeats included.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a shingle is ``words`` of
-    them joined by spaces, repeats counted, or the whole sequence if it is shorter. A bit is set if
-    it is set in more than half of the shingles' XXH64 (seed 42).
+    them joined by spaces, or the whole sequence if it is shorter.
     """
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else [b" ".join(parts)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=">u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in more than half of the hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[start : start + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+        ones += np.unpackbits(hashes[start : start + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+
+
+def simhash(text: bytes | None, words: int) -> int:
+    """The fingerprint of UTF-8 ``text`` as a signed 64-bit number; 0 without words."""
+    bits = majority(shingle_hashes(text, words))
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -100,14 +109,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     placed = cut(placed)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document with the smallest id stays.
-
-    Rows that repeat a kept id are one row afterwards. Rows without an id can't be named, so they stay.
-    """
-    groups = near_duplicates(docs, words, distance)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").union(docs.where("doc_id IS NULL"))
