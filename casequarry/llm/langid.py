@@ -2,8 +2,8 @@
 
 Training counts hashed n-grams of the lower-cased text per language, smooths them and keeps a matrix
 of log-probabilities (buckets x languages), whose size is fixed by the parameters and which is
-broadcast. Scoring turns a text into sparse bucket counts with numpy and multiplies them with the
-rows of that matrix.
+broadcast. Scoring turns a batch of texts into sparse rows of buckets and multiplies them with that
+matrix in numpy, a bounded piece at a time, so a very long text takes no more memory than its own.
 
 Training may use a bounded sample: at most about ``sample_per_lang`` labelled documents of each
 language, chosen by a hash of the id, so that languages with fewer documents are used whole. The
@@ -23,20 +23,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casequarry.llm.common import fresh
+
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Everything that separates words; letters of any script, and marks, stay.
 NOT_WORD = re.compile(r"[\W\d_]+")
+#: Numbers that a piece of a batch gathers from the matrix at once.
+GATHER = 1 << 19
 
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: power of two; orders: n-gram lengths; smoothing: added to every count."""
+    """buckets: power of two; orders: n-gram lengths; smoothing: added to every count.
+
+    max_langs bounds the matrix, which is broadcast: a table that names more languages is an error.
+    """
 
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.5
     sample_per_lang: int = 5000
+    max_langs: int = 2000
 
 
 @dataclass(frozen=True)
@@ -47,39 +54,63 @@ class Model:
     settings: Settings = field(default_factory=Settings)
 
 
-def buckets_of(text: str, settings: Settings) -> np.ndarray:
-    """The bucket of every n-gram of the text, repeats included.
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode category L."""
+    return text is not None and any(map(str.isalpha, text))
+
+
+def sparse(texts: list[str], settings: Settings, piece: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts as sparse rows, in pieces: number of the text (ascending) and bucket of every n-gram, repeats included.
 
-    Words are joined by single spaces, which take part, so that word beginnings and ends count.
+    Words are joined by single spaces, which take part, so that word beginnings and ends count. A piece
+    begins at most ``piece`` n-grams of a length, of as many texts as fit or of a part of a long one.
     """
-    plain = NOT_WORD.sub(" ", f" {text.lower()} ")
-    codes = np.frombuffer(plain.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    found = []
-    for n in settings.orders:
-        if len(codes) >= n:
-            mixed = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-            for i in range(n):
-                mixed = (mixed ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            found.append((mixed & np.uint64(settings.buckets - 1)).astype(np.int64))
-    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
-
-
-def counted(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The text as a sparse row: buckets that occur, and how often."""
-    counts = np.bincount(buckets_of(text, settings), minlength=1)
-    used = np.flatnonzero(counts)
-    return used, counts[used]
-
-
-def predict(text: str | None, model: Model) -> tuple[str, float]:
-    """Language and its posterior; und and 0.0 if the text is null or has no letter, or nothing was learned."""
-    if text is None or not model.langs or not LETTER.search(text):
-        return UNDETERMINED, 0.0
-    used, counts = counted(text, model.settings)
-    scores = model.prior + counts @ model.matrix[used]
-    top = int(np.argmax(scores))
-    return model.langs[top], float(1.0 / np.exp(scores - scores[top]).sum())
+    first = 0
+    while first < len(texts):
+        plain, size, last = [], 0, first
+        while last < len(texts) and (last == first or size < piece):
+            plain.append(NOT_WORD.sub(" ", f" {texts[last].lower()} "))
+            size += len(plain[-1])
+            last += 1
+        lengths = np.array([len(p) for p in plain])
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        row, end = np.repeat(np.arange(first, last), lengths), np.repeat(np.cumsum(lengths), lengths)
+        for start in range(0, size, piece):
+            stop = min(start + piece, size)
+            for n in settings.orders:
+                begins = min(stop, size - n + 1)
+                if begins <= start:
+                    continue
+                mixed = np.full(begins - start, n, dtype=np.uint64)
+                for i in range(n):
+                    mixed = (mixed ^ codes[start + i : begins + i]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                inside = np.arange(start, begins) + n <= end[start:begins]  # n-grams don't reach into the next text
+                yield row[start:begins][inside], (mixed[inside] & np.uint64(settings.buckets - 1)).astype(np.int64)
+        first = last
+
+
+def scores(texts: list[str], model: Model) -> np.ndarray:
+    """Log-probabilities of texts (rows) by language: the batch's sparse rows times the matrix, and the prior."""
+    out = np.tile(model.prior, (len(texts), 1))
+    for row, bucket in sparse(texts, model.settings, max(1024, GATHER // max(1, len(model.langs)))):
+        if len(row):
+            begins = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[begins]] += np.add.reduceat(model.matrix[bucket], begins, axis=0)
+    return out
+
+
+def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text; und and 0.0 if it is null or has no letter, or nothing was learned."""
+    langs, found = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    sound = [i for i, text in enumerate(texts) if model.langs and has_letter(text)]
+    if sound:
+        logs = scores([texts[i] for i in sound], model)
+        best = logs.argmax(axis=1)
+        found[sound] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, top in zip(sound, best.tolist(), strict=True):
+            langs[i] = model.langs[top]
+    return langs, found
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
@@ -88,7 +119,10 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     No labelled row gives a model without languages, which calls every text und.
     """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    per_lang = {row["lang"]: row["n"] for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    named = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.max_langs + 1).collect()
+    if len(named) > settings.max_langs:
+        raise ValueError(f"more than max_langs = {settings.max_langs} languages are named")
+    per_lang = {row["lang"]: row["n"] for row in named}
     langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros(0), np.zeros((settings.buckets, 0), dtype=np.float32), settings)
@@ -100,10 +134,10 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), settings.buckets), dtype=np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if LETTER.search(text):
-                    used, counts = counted(text, settings)
-                    total[at[lang], used] += counts
+            texts, own = batch.column(0).to_pylist(), np.array([at[lang] for lang in batch.column(1).to_pylist()], dtype=np.int64)
+            sound = [i for i, text in enumerate(texts) if has_letter(text)]
+            for row, bucket in sparse([texts[i] for i in sound], settings):
+                total += np.bincount(own[sound][row] * settings.buckets + bucket, minlength=total.size).reshape(total.shape)
         row, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"row": row.astype(np.int32), "bucket": bucket.astype(np.int32), "n": total[row, bucket]})
 
@@ -128,10 +162,11 @@ def classify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for part in texts:
-            yield pd.DataFrame([predict(t, known) for t in part], columns=["lang", "score"])
+            langs, found = predict(part.tolist(), known)
+            yield pd.DataFrame({"lang": langs, "score": found})
 
-    struct: Column = predicted(F.col(text))
-    return docs.withColumn("__langid", struct).withColumns({lang: F.col("__langid.lang"), score: F.col("__langid.score")}).drop("__langid")
+    (both,) = fresh(docs, "langid")
+    return docs.withColumn(both, predicted(F.col(text))).withColumns({lang: F.col(f"{both}.lang"), score: F.col(f"{both}.score")}).drop(both)
 
 
 def accepted(lang: Column, score: Column, least: float = 0.5) -> Column:
