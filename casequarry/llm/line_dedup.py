@@ -5,104 +5,100 @@ line begins a chunk where its rolling hash is a local minimum, smaller than the
 larger than the one after, so boundaries depend on the lines around them only: text inserted
 elsewhere shifts no boundary, and between two boundaries there are at least two lines.
 
-Chunks of at least ``min_lines`` lines that occur more than once in the whole table are kept where
-they first occur (by doc_id, then position) and removed elsewhere. Chunks are grouped by hash and
-by their very bytes, so only equal bytes are one group. A group is summed up on each executor
-before anything is shuffled, and what comes out is one row a distinct chunk: where to keep it. So a
+A chunk that stands at the edge of a repeated passage reaches beyond it. So every window of the rolling
+hash, ``min_lines`` lines, is a piece too, by which a hit grows line by line to the ends of the passage,
+and a passage between two boundaries is found; and so is a line of more than ``long_line`` words by itself.
+
+Pieces that occur more than once in the whole table are kept where they first occur (by doc_id, then
+position) and removed elsewhere. They are counted by 128 bits of hash, and only those seen twice are then
+grouped by their very bytes, which decide. Groups are summed up on each executor before anything is
+shuffled, and what comes out is one row a distinct piece: where it is alone, or where to keep it. So a
 passage that stands in a third of all documents meets nowhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.llm.common import columns_of
+from casequarry.llm.common import columns_of, fresh
 
 MIN_LINES = 2
+#: A line of more words than this is a piece by itself.
+LONG_LINE = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
+#: A piece is named by its first line in the upper half of a long and its number of lines in the lower.
+START, LINES = "int(shiftrightunsigned({0}, 32))", "int({0} & 4294967295)"
+CODE = "(shiftleft(bigint({0}), 32) | bigint({1}))"
+PLACE = ("none", "id", "of")
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, although a lambda inside ``use`` reads it often."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _rolled(hashes: Column) -> Column:
-    """Each line's hash combined with that of the line before, turned left by a bit so that order counts."""
-    before = lambda i: F.get(hashes, i - 1)
-    turned = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
-    return F.transform(hashes, lambda h, i: F.when(i == 0, h).otherwise(h.bitwiseXOR(turned(before(i)))))
-
-
-def _starts(rolled: Column) -> Column:
-    """Where chunks start: at the first line, and at each local minimum of the rolling hash."""
-    falls = lambda i: (F.get(rolled, i) < F.get(rolled, i - 1)) & F.coalesce(F.get(rolled, i) <= F.get(rolled, i + 1), F.lit(True))
-    return F.filter(F.sequence(F.lit(0), F.size(rolled) - 1), lambda i: F.when(i == 0, F.lit(True)).otherwise(falls(i)))
-
-
-def chunks_of(text: Column) -> Column:
-    """Chunks of a text: structs of number (from 0), number of lines, and text, joined by line ends."""
-
-    def sliced(lines: Column, starts: Column) -> Column:
-        def chunk(start: Column, number: Column) -> Column:
-            n = F.coalesce(F.get(starts, number + 1), F.size(lines)) - start
-            return F.struct(number.alias("number"), n.alias("lines"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("text"))
 
-        return F.transform(starts, chunk)
+def _slice(array: str, code: str) -> str:
+    return f"slice({array}, {START.format(code)} + 1, {LINES.format(code)})"
 
-    def of_lines(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda line: F.xxhash64(line))
-        return let(hashes, lambda h: let(_rolled(h), lambda r: let(_starts(r), lambda starts: sliced(lines, starts))))
 
-    return let(F.split(text, "\n", -1), of_lines)
+def pieces(text: str, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> str:
+    """SQL for the lines of a text, its chunks, and the pieces that are removed where they repeat.
 
-
-def removable(chunk: Column, min_lines: int) -> Column:
-    """Whether a chunk is removed if it is a repeat: of enough lines, and not of blank lines only."""
-    return (chunk["lines"] >= min_lines) & chunk["text"].rlike(r"\S")
-
-
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with repeated multi-line chunks removed from the texts.
-
-    Adds __chunks, __removed_chunks and __removed_lines (int, 0 for a null text); ``n_chars``, if there,
-    follows the text. Lines end at ``\\n``. A null text stays null; a document all of whose chunks are
-    repeats keeps its row with an empty text; chunks of blank lines only are never removed. Of a chunk
-    that repeats within one document the first stays. Rows with equal id and text are one document and
-    treated alike; rows that share an id only are placed by their texts' hashes. Null ids come first.
-    An empty table gives no rows.
+    ``lines`` array<string>; ``chunks`` array<long> of codes; ``all`` array of code and two hashes. Pieces of
+    blank lines only are left out.
     """
-    columns = docs.columns
-    place = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of")]
-    pieces = docs.where("text IS NOT NULL").select(*place, F.explode(F.filter(chunks_of(F.col("text")), lambda c: removable(c, min_lines))).alias("c"))
-    first = (
-        pieces.groupBy(F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("bytes"))
-        .agg(F.min(F.struct("doc_id", "of", F.col("c.number").alias("number"))).alias("at"))
-        .select("at.*")
-    )
-    keeps = first.groupBy(F.col("doc_id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_set("number").alias("__firsts"))
-    joined = docs.withColumn("__text_hash", F.xxhash64("text")).join(
-        keeps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__of")), "left"
-    )
-
-    def judged(chunks: Column) -> Column:
-        numbers = F.transform(F.filter(chunks, lambda c: removable(c, min_lines)), lambda c: c["number"])
-        repeats = F.array_except(numbers, F.coalesce("__firsts", F.array().cast("array<int>")))
-        return let(repeats, lambda gone: F.struct(
-            F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), gone), lambda i: F.get(chunks, i)["text"]), "\n").alias("text"),
-            F.size(chunks).alias("chunks"),
-            F.size(gone).alias("removed"),
-            F.aggregate(gone, F.lit(0), lambda n, i: n + F.get(chunks, i)["lines"]).alias("lines"),
-        ))
-
-    result = joined.withColumn("__result", F.when(F.col("text").isNotNull(), let(chunks_of(F.col("text")), judged)))
-    new = {"text": F.col("__result.text")}
+    rolled = "transform(v.h, (x, i) -> CASE WHEN i = 0 THEN x ELSE x ^ (shiftleft(get(v.h, i - 1), 1) | shiftrightunsigned(get(v.h, i - 1), 63)) END)"
+    falls = "get(r, i) < get(r, i - 1) AND coalesce(get(r, i) <= get(r, i + 1), true)"
+    starts = f"transform(array({rolled}), r -> filter(sequence(0, size(r) - 1), i -> i = 0 OR ({falls})))[0]"
+    chunks = f"transform(array({starts}), s -> transform(s, (x, i) -> {CODE.format('x', 'coalesce(get(s, i + 1), size(lines)) - x')}))[0]"
+    windows = f"CASE WHEN size(lines) >= {min_lines} THEN transform(sequence(0, size(lines) - {min_lines}), i -> {CODE.format('i', min_lines)}) ELSE cast(array() AS array<bigint>) END"
+    longs = f"transform(filter(sequence(0, size(lines) - 1), i -> length(lines[i]) > {2 * long_line} AND regexp_count(lines[i], r'{WORD}') > {long_line}), i -> {CODE.format('i', 1)})"
+    codes = f"array_distinct(concat(filter(chunks, c -> {LINES.format('c')} >= {min_lines}), {windows}, {longs}))"
+    sound = f"filter({codes}, c -> exists({_slice('lines', 'c')}, x -> x RLIKE r'\\S'))"
+    every = f"transform({sound}, c -> named_struct('code', c, 'hi', xxhash64({_slice('v.h', 'c')}), 'lo', xxhash64({_slice('v.g', 'c')}, 7)))"
+    inner = f"transform(array({chunks}), chunks -> named_struct('lines', lines, 'chunks', chunks, 'all', {every}))[0]"
+    hashed = "named_struct('h', transform(lines, x -> xxhash64(x)), 'g', transform(lines, x -> xxhash64(x, 7)))"
+    return f"transform(array(split({text}, '\\n', -1)), lines -> transform(array({hashed}), v -> {inner})[0])[0]"
+
+
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, counts: tuple[str, str, str] = ("__chunks", "__removed_chunks", "__removed_lines")) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with repeated chunks, windows and long lines removed from the texts.
+
+    Adds three int columns named by ``counts`` (0 for a null text), replacing columns of these names; ``n_chars``,
+    if there, follows the text. Lines end at ``\\n``. A null text stays null; a document all of whose lines
+    are repeats keeps its row with an empty text; pieces of blank lines only are never removed, and a run
+    of equal lines may shrink to one. Of a piece that repeats within one document the first stays. Rows
+    that share an id only are placed by their texts' hashes; of rows that share id and text the first
+    keeps its pieces. Null ids come first. An empty table gives no rows.
+    """
+    columns = [name for name in docs.columns if name not in counts]
+    none, id_, of, piece, unique, repeated, kept, copy, result = fresh(docs, *PLACE, "piece", "unique", "repeated", "kept", "copy", "result")
+    place = [none, id_, of]
+    keyed = docs.withColumns({none: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), of: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    cut_up = F.expr(pieces("text", min_lines, long_line))
+    first = F.min(F.struct(~F.col(none), F.col(id_), F.col(of), F.col(f"{piece}.code").alias("code"))).alias("at")
+
+    def listed(firsts: DataFrame, name: str) -> DataFrame:
+        at = firsts.select((~F.col("at.col1")).alias(none), F.col(f"at.{id_}").alias(id_), F.col(f"at.{of}").alias(of), "at.code")
+        return at.groupBy(*place).agg(F.collect_list("code").alias(name))
+
+    slim = keyed.where("text IS NOT NULL").select(*place, F.explode(cut_up["all"]).alias(piece))
+    alone = slim.groupBy(f"{piece}.hi", f"{piece}.lo").agg(first, F.count("*").alias("n")).where("n = 1")
+    marked = keyed.join(listed(alone, unique), place, "left").withColumn(piece, cut_up)
+    again = F.array_except(F.transform(f"{piece}.all", lambda p: p["code"]), F.coalesce(unique, F.array().cast("array<long>")))
+    marked = marked.withColumn(repeated, again)
+    texts = F.expr(f"transform({repeated}, c -> named_struct('code', c, 'bytes', array_join({_slice(f'{piece}.lines', 'c')}, '\\n')))")
+    spelt = marked.where(F.size(repeated) > 0).select(*place, F.explode(texts).alias(piece))
+    keeps = listed(spelt.groupBy(f"{piece}.bytes").agg(first), kept)
+    joined = marked.join(keeps, place, "left").withColumn(copy, F.row_number().over(Window.partitionBy(*place).orderBy(of)))
+    own = F.when(F.col(copy) == 1, F.col(kept))
+    gone = F.array_except(repeated, F.coalesce(own, F.array().cast("array<long>")))
+    out = joined.withColumn(kept, gone).withColumn(unique, F.expr(f"array_distinct(flatten(transform({kept}, c -> sequence({START.format('c')}, {START.format('c')} + {LINES.format('c')} - 1))))"))
+    text = F.expr(f"array_join(transform(array_except(sequence(0, size({piece}.lines) - 1), {unique}), i -> {piece}.lines[i]), '\\n')")
+    chunks = F.array_intersect(f"{piece}.chunks", kept)
+    found = F.when(F.col("text").isNotNull(), F.struct(text.alias("text"), F.size(f"{piece}.chunks").alias("chunks"), F.size(chunks).alias("removed"), F.size(unique).alias("lines")))
+    out = out.withColumn(result, found)
+    new = {"text": F.col(f"{result}.text")}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("__result.text").cast(docs.schema["n_chars"].dataType))
-    counts = {"__chunks": "chunks", "__removed_chunks": "removed", "__removed_lines": "lines"}
-    return result.select(
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length(f"{result}.text").cast(docs.schema["n_chars"].dataType))
+    return out.select(
         *[new[name].alias(name) if name in new else column for name, column in zip(columns, columns_of(columns), strict=True)],
-        *[F.coalesce(f"__result.{part}", F.lit(0)).alias(name) for name, part in counts.items()],
+        *[F.coalesce(f"{result}.{part}", F.lit(0)).alias(name) for part, name in zip(("chunks", "removed", "lines"), counts, strict=True)],
     )
