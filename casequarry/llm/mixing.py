@@ -10,8 +10,9 @@ and a target is the smaller of the cap and weight times level.
 A source is then repeated whole ``floor(target / size)`` times, and the rest of its target is a seeded
 draw: its documents are put in the order of a hash and taken until the rest is filled, the last one
 in part. That order is cut into buckets by the hash's leading digits, so that the running sum over a
-source that holds most rows is a running sum over bucket totals plus one inside each bucket; the
-number of buckets grows with the source's documents.
+source that holds most rows is a running sum over bucket totals plus one inside the single bucket in
+which the rest is filled. What comes of it is one place in the order for each source, and every
+document is held against that where it is read: no text is moved.
 """
 
 from __future__ import annotations
@@ -55,80 +56,65 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_ep
 
 
 def _measured(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
-    """Size, source key and draw hash of each document beside the columns to keep."""
+    """Columns row (those to keep, as a struct), key, source, size and at, the place in the draw's order, of each document."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return docs.select(*columns_of(keep), F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), key.alias("__key"), words_in(F.col("text")).alias("__size"), draw.alias("__draw"))
-
-
-def _bucketed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    leading = F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long")
-    return rows.join(plan, "__key").withColumn("__bucket", F.floor(leading * F.col("__buckets") / F.lit(float(1 << 32))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("without an id "), F.coalesce(F.xxhash64("text"), F.lit(0)).cast("string")))
+    draw, size = F.md5(F.concat(F.lit(f"{seed}:"), name)), words_in(F.col("text"))
+    at = F.struct(draw.alias("draw"), F.col("doc_id").alias("doc_id"), size.alias("size"))
+    row = F.struct(*columns_of(keep)) if keep else F.lit(None).cast("string")
+    return docs.select(row.alias("row"), key.alias("key"), F.col("source").alias("source"), size.alias("size"), at.alias("at"))
+
+
+def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, keep: list[str]) -> DataFrame:
+    """row, size, source_size, target, taken of each document."""
+    slim = cut(_measured(docs, seed, []).drop("row"))
+    sources = slim.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + F.lit(0.5))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BUCKET_ROWS))).cast("long")
+    plan = cut(targets(sources, weights, share, max_epochs).withColumn("whole", whole).withColumn("rest", rest).withColumn("buckets", buckets).drop("source", "docs"))
+    small = plan.count() <= BROADCAST_SOURCES
+    leading = F.conv(F.substring("at.draw", 1, 8), 16, 10).cast("long")
+    bucketed = slim.join(F.broadcast(plan) if small else plan, "key").withColumn("bucket", F.floor(leading * F.col("buckets") / F.lit(float(1 << 32))))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy("key", "rest", "bucket").agg(F.sum("size").alias("total")).withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    filled = totals.where((F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("total"))).select("key", "bucket", "offset")
+    inside = bucketed.where("size > 0").join(F.broadcast(filled) if small else filled, ["key", "bucket"])
+    equal = inside.groupBy("key", "rest", "offset", "at").agg(F.count("*").alias("rows"))
+    ahead = F.col("offset") + F.coalesce(F.sum(F.col("rows") * F.col("at.size")).over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = equal.withColumn("left", F.col("rest") - ahead).where((F.col("left") >= 0) & (F.col("left") < F.col("rows") * F.col("at.size")))
+    ends = here.select("key", F.col("at").alias("end"), F.floor(F.col("left") / F.col("rows")).alias("part"))
+    plan = cut(plan.join(ends, "key", "left").select("key", "source_size", "target", "whole", "rest", "end", "part"))
+    part = (
+        F.when(F.col("end").isNull(), F.when(F.col("rest") > 0, F.col("size")).otherwise(F.lit(0)))
+        .when(F.col("at") < F.col("end"), F.col("size"))
+        .when(F.col("at") == F.col("end"), F.col("part"))
+        .otherwise(F.lit(0))
+    )
+    taken = (F.col("whole") * F.col("size") + part).cast("long")
+    return _measured(docs, seed, keep).join(F.broadcast(plan) if small else plan, "key").select("row", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
     """How many words of each document of ``docs`` (doc_id, text, source) the mix takes.
 
-    Returns one row a document: the columns ``keep`` (``["doc_id"]`` unless given) as they are, and
-    ``__size``, ``__source_size``, ``__target``, ``__taken``. Words are counted over whole texts, null
-    being empty; a document without words is taken 0 times. A source's taken words are its target,
-    rounded; a document is taken whole ``floor(target / source_size)`` times and at most once more.
-    Null sources are one source, the last by name. Rows that repeat an id are documents of their own;
-    ties of the draw's order go by id, then size. The same seed gives the same draw; an empty table
-    gives no rows.
+    Returns one row a document: doc_id, size, source_size, target, taken. Words are counted over whole texts,
+    null being empty; a document without words is taken 0 times. A source's taken words are its target,
+    rounded; a document is taken whole ``floor(target / source_size)`` times and at most once more. Null
+    sources are one source, the last by name. Rows that repeat an id are documents of their own; ties of
+    the draw's order go by id, then size, and rows equal in all three share what is left there, rounded
+    down. A document without an id is drawn by its text. The same seed gives the same draw; an empty
+    table gives no rows.
     """
-    slim = cut(_measured(docs, seed, []))
-    sources = slim.groupBy("__key").agg(F.first("__source").alias("source"), F.sum("__size").alias("source_size"), F.count("*").alias("__docs"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("__docs") / F.lit(BUCKET_ROWS)))
-    plan = cut(
-        targets(sources, weights, share, max_epochs).select(
-            "__key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), buckets.cast("long").alias("__buckets")
-        )
-    )
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        _bucketed(slim, plan)
-        .groupBy("__key", "__bucket")
-        .agg(F.sum("__size").alias("__bucket_size"))
-        .select("__key", "__bucket", F.coalesce(F.sum("__bucket_size").over(before), F.lit(0)).alias("__offset"))
-    )
-    if keep is None:
-        rows = slim.withColumn("doc_id", F.col("__doc_id"))
-        keep = ["doc_id"]
-    else:
-        rows = _measured(docs, seed, keep)
-    inside = Window.partitionBy("__key", "__bucket").orderBy("__draw", "__doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0))
-    rest = F.floor(F.col("__target") - F.col("__whole") * F.col("__source_size") + F.lit(0.5))
-    ahead = F.col("__offset") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__ahead")))
-    return (
-        _bucketed(rows, plan)
-        .join(offsets, ["__key", "__bucket"])
-        .withColumn("__whole", whole)
-        .withColumn("__ahead", ahead)
-        .withColumn("__taken", F.col("__whole") * F.col("__size") + part)
-        .select(*columns_of(keep), "__size", "__source_size", "__target", "__taken")
-    )
+    return _drawn(docs, weights, share, max_epochs, seed, ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
+    """The mix itself: every document whole, as often as it is taken, with the columns of ``docs`` and no others.
 
-    Whole repetitions are equal rows; the one document of a source that fills the rest of its target
-    in part is given once more with its first words only (and n_chars, if there, to match).
+    The one document of a source that fills the rest of its target in part is given once more if that is
+    nearer to the target than leaving it out. Nulls, ties and empty tables are as in ``mix``.
     """
-    columns = docs.columns
-    taken = mix(docs, keep=columns, **settings)
-    words = F.col("__taken") % F.col("__size")
-    copies = F.when(F.col("__size") > 0, (F.col("__taken") / F.col("__size")).cast("int")).otherwise(F.lit(0))
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), copies), F.when((F.col("__size") > 0) & (words > 0), F.array(words)).otherwise(F.array().cast("array<long>")))
-    rows = taken.withColumn("__words", F.explode(parts))
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__words").cast("string"), F.lit("}+"))
-    first_words = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
-    rows = rows.withColumn("text", F.when(F.col("__words") > 0, first_words).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*columns_of(columns))
+    taken = _drawn(docs, weights, share, max_epochs, seed, docs.columns)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")).otherwise(F.lit(0))
+    return taken.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -48,8 +48,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_epochs=2.0, seed=42)
-    return taken.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").cast("long").alias("taken"))
+    return mixing.mix(spread(table(spark, sf_dir, "documents")), weights=(3, 1, 2), share=1.5, max_epochs=2.0, seed=42)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
