@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casequarry.llm.common import columns_of, fresh
+
 LEAF_CHARS = 1024
 LEAF_IDS = 4096
 #: Encoded rows leave a worker after about so many ids, so its memory doesn't grow with its batches.
@@ -137,7 +139,8 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, keep: tup
     Rows and repeats stay as they are; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    slim = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
+    (text,) = fresh(docs, "text")
+    slim = docs.select(*columns_of(list(keep)), F.col("text").cast("binary").alias(text))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern, leaf_chars)
@@ -153,14 +156,14 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, keep: tup
                     yield pa.RecordBatch.from_arrays([*kept, tokens], names=[*keep, "tokens"])
                     first, offsets, parts = i, [0], []
 
-    schema = slim.drop("__text").schema.add("tokens", T.ArrayType(T.IntegerType()))
+    schema = slim.drop(text).schema.add("tokens", T.ArrayType(T.IntegerType()))
     return slim.mapInArrow(encode, schema)
 
 
 def decode_documents(tokens: DataFrame, vocabulary: bytes, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``tokens`` and ``decoded`` binary: the bytes of ``tokens``; null is empty."""
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
-    slim = tokens.select(*keep, "tokens")
+    slim = tokens.select(*columns_of(list(keep)), "tokens")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern, LEAF_CHARS)

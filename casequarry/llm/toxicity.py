@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casequarry.llm.common import fresh
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are features beside the words.
@@ -196,8 +198,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for part in texts:
             yield pd.DataFrame([scorer(t) for t in part], columns=["score", "worst_sentence", "worst_score"])
 
-    new = {name: F.col(f"__toxicity.{name}") for name in ("score", "worst_sentence", "worst_score")}
-    return docs.withColumn("__toxicity", scored(F.col("text"))).withColumns(new).drop("__toxicity")
+    (all_three,) = fresh(docs, "toxicity")
+    new = {name: F.col(f"{all_three}.{name}") for name in ("score", "worst_sentence", "worst_score")}
+    return docs.withColumn(all_three, scored(F.col("text"))).withColumns(new).drop(all_three)
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -12,9 +12,10 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casequarry.llm import queries
+from casequarry.llm import line_dedup, queries
 
 DOCS = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("n_chars", "long").add("size", "string").add("bucket", "string")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +44,8 @@ AWKWARD = [
     "9" * 3000 + " a" * 40 + "a@" * 500 + ".b" * 3000,
     "a@b" + ".c" * 4000,
     "  trailing   spaces  \n\n\n  and   breaks \t",
+    "½ ²",
+    "① Ⅷ 12",
 ]
 
 
@@ -143,38 +146,61 @@ def plain_likeness(a, b):
 
 
 def plain_chunks(text):
+    """Chunks as (first line, number of lines)."""
     lines = text.split("\n")
     mask = (1 << 64) - 1
     hashes = [xxhash.xxh64_intdigest(line.encode(), 42) for line in lines]
     rolled = [h if not i else h ^ ((hashes[i - 1] << 1 | hashes[i - 1] >> 63) & mask) for i, h in enumerate(hashes)]
     rolled = [h - (1 << 64) if h >> 63 else h for h in rolled]
     starts = [i for i in range(len(lines)) if not i or rolled[i] < rolled[i - 1] and (i + 1 == len(lines) or rolled[i] <= rolled[i + 1])]
-    return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+
+
+def plain_line_dedup(texts):
+    """text, chunks, removed chunks, removed lines of each text, the first of equal pieces being kept."""
+    seen, out = set(), []
+    for text in texts:
+        if text is None:
+            out.append((None, 0, 0, 0))
+            continue
+        lines, chunks = text.split("\n"), plain_chunks(text)
+        found = {c for c in chunks if c[1] >= 2} | {(i, 2) for i in range(len(lines) - 1)}
+        found |= {(i, 1) for i, line in enumerate(lines) if len(WORD.findall(line)) > 50}
+        gone, removed = set(), 0
+        for start, n in sorted(found):
+            piece = "\n".join(lines[start : start + n])
+            if not re.search(r"[^ \t\n\x0b\f\r]", piece):
+                continue
+            if piece in seen:
+                gone |= set(range(start, start + n))
+                removed += (start, n) in chunks
+            seen.add(piece)
+        out.append(("\n".join(line for i, line in enumerate(lines) if i not in gone), len(chunks), removed, len(gone)))
+    return out
 
 
 def test_line_dedup(spark, folder):
     found = by_id(queries.op3_line_dedup(spark, folder))
-    seen = set()
-    for d in sorted(rows_of(folder), key=lambda d: d["doc_id"]):
-        row, kept, removed = found[d["doc_id"]], [], 0
-        if d["text"] is None:
-            assert row["text"] is None and row["n_chunks"] == 0
-            continue
-        chunks = plain_chunks(d["text"])
-        for chunk in chunks:
-            text = "\n".join(chunk)
-            if len(chunk) >= 2 and re.search(r"[^ \t\n\x0b\f\r]", text) and text in seen:
-                removed += 1
-            else:
-                kept.append(text)
-            seen |= {text} if len(chunk) >= 2 else set()
-        assert row["text"] == "\n".join(kept)
-        assert (row["n_chunks"], row["removed_chunks"]) == (len(chunks), removed)
+    docs = sorted(rows_of(folder), key=lambda d: d["doc_id"])
+    for d, want in zip(docs, plain_line_dedup([d["text"] for d in docs]), strict=True):
+        row = found[d["doc_id"]]
+        assert (row["text"], row["n_chunks"], row["removed_chunks"], row["removed_lines"]) == want, d["doc_id"]
+
+
+def test_line_dedup_of_rows_that_repeat(spark):
+    passage = "\n".join(LINES[:3])
+    rows = [(1, passage, 0), (1, passage, 1), (1, "before\n" + passage, 2), (None, passage + "\nafter", 3), (2, None, 4), (3, "w " * 60, 5), (4, "alone\n" + "w " * 60 + "\nlast", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int").withColumns({name: F.lit("x") for name in ("__of", "__text_hash", "__kept", "__chunks", "tokens")})
+    out = line_dedup.deduplicated(docs)
+    got = {r["__id"]: r["text"] for r in out.collect()}
+    assert sorted(out.columns) == sorted([*docs.columns, "__removed_chunks", "__removed_lines"])
+    assert got[3] == passage + "\nafter" and {got[0], got[1]} == {""} and got[2] == "before"
+    assert got[4] is None and got[5] == "w " * 60 and got[6] == "alone\nlast"
 
 
 def test_line_dedup_removes_a_moved_passage(spark, awkward):
     found = by_id(queries.op3_line_dedup(spark, awkward))
-    assert found[13]["removed_chunks"] == 0 and found[15]["removed_chunks"] > 0 and found[14]["removed_chunks"] > 0
+    assert found[13]["removed_lines"] == 0 and found[15]["text"] == "" and found[14]["text"] == "lead\ntail"
 
 
 def test_mixing(spark, folder):
@@ -288,6 +314,50 @@ def test_langid(spark, folder):
         assert np.mean(right) > 0.95
 
 
+def plain_langid(docs):
+    """Posteriors by the textbook: counts of hashed n-grams in dictionaries, whole table learned."""
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        plain = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                h = n
+                for c in plain[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & mask
+                    h ^= h >> 29
+                yield h & 0x7FFF
+
+    counts, rows = {}, {}
+    for d in docs:
+        if d["text"] is not None and d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1:
+            rows[d["lang"]] = rows.get(d["lang"], 0) + 1
+            own = counts.setdefault(d["lang"], [0] * 32768)
+            if any(map(str.isalpha, d["text"])):
+                for b in buckets(d["text"]):
+                    own[b] += 1
+    logs = {lang: [math.log((c + 0.5) / (sum(own) + 16384)) for c in own] for lang, own in counts.items()}
+
+    def predicted(text):
+        if text is None or not any(map(str.isalpha, text)) or not logs:
+            return "und", 0.0
+        grams = list(buckets(text))
+        score = {lang: math.log(rows[lang] / sum(rows.values())) + math.fsum(own[b] for b in grams) for lang, own in logs.items()}
+        top = max(sorted(score), key=score.get)
+        return top, 1 / sum(math.exp(s - score[top]) for s in score.values())
+
+    return predicted
+
+
+def test_langid_posteriors_by_brute_force(spark, folder):
+    found, docs = by_id(queries.op9_langid(spark, folder)), [d for d in rows_of(folder) if len(d["text"] or "") < 20000]
+    predicted = plain_langid(rows_of(folder))
+    for d in docs[:: max(1, len(docs) // 60)]:
+        lang, score = predicted(d["text"])
+        assert math.isclose(found[d["doc_id"]]["score"], score, abs_tol=1e-6), d["doc_id"]
+        assert score < 0.5001 or found[d["doc_id"]]["lang_pred"] == lang
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
 

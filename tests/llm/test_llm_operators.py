@@ -1,6 +1,7 @@
 """The operators' own interfaces and properties, beyond the query contracts."""
 
 import base64
+import math
 
 import numpy as np
 import public_tokenizers
@@ -91,7 +92,8 @@ LINES = st.lists(st.sampled_from(["alpha", "beta", "gamma delta", "", "eps"]), m
 @given(LINES, LINES)
 def test_boundaries_resist_shifts(lines, lead):
     """Chunks of a text reappear behind another beginning, but for those at the seam."""
-    own, shifted = plain_chunks("\n".join(lines)), plain_chunks("\n".join(lead + lines))
+    cut = lambda rows: [rows[a : a + n] for a, n in plain_chunks("\n".join(rows))]
+    own, shifted = cut(lines), cut(lead + lines)
     assert own[3:] == shifted[len(shifted) - len(own[3:]) :] if own[3:] else True
 
 
@@ -103,7 +105,7 @@ def test_line_dedup_keeps_other_columns_and_repeated_rows(spark):
     assert out.columns[:4] == docs.columns
     found = {(r["doc_id"], r["hash"]): r for r in out.collect()}
     assert out.count() == 7 and found[(None, "d")]["text"] == passage  # a null id comes first
-    assert found[(1, "b")]["__removed_chunks"] > 0 and len(found[(2, "a")]["text"]) < 60 and found[(2, "a")]["n_chars"] == len(found[(2, "a")]["text"])
+    assert found[(1, "b")]["__removed_lines"] == 20 and found[(2, "a")]["text"] == "own" and found[(2, "a")]["n_chars"] == 3
     assert found[(3, "c")]["text"] is None and found[(5, "f")]["text"] == "\n\n\n"
 
 
@@ -142,13 +144,6 @@ def test_links_find_every_close_pair(spark):
     assert {tuple(sorted((r["a"], r["b"]))) for r in found} == want
 
 
-def test_one_of_each(spark):
-    text = " ".join(f"word{i}" for i in range(300))
-    rows = [(3, text, "a"), (1, text + " extra", "b"), (1, text + " extra", "b"), (7, "something else altogether, of other words", "c"), (None, text, "d"), (9, None, "e"), (8, "", "f")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    assert sorted(r["fp"] for r in simhash.one_of_each(docs).collect()) == ["b", "c", "d", "f"]
-
-
 def test_mixed_documents(spark):
     rows = [(i, " ".join(["w"] * (i % 7)), "s" + str(i % 2), None, i) for i in range(40)] + [(50, "a  b\nc d e", None, 9, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, target long")
@@ -158,18 +153,33 @@ def test_mixed_documents(spark):
     words = {}
     for r in out.collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
-    assert words == {i: r["__taken"] for i, r in taken.items() if r["__taken"]}
-    again = {r["doc_id"]: r["__taken"] for r in mixing.mix(docs.repartition(5), share=1.2, seed=1).collect()}
-    assert again == {i: r["__taken"] for i, r in taken.items()}
-    other = {r["doc_id"]: r["__taken"] for r in mixing.mix(docs, share=1.2, seed=2).collect()}
+    whole = {i: r["size"] * math.floor(r["taken"] / r["size"] + 0.5) for i, r in taken.items() if r["taken"]}
+    assert words == {i: n for i, n in whole.items() if n}
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(5), share=1.2, seed=1).collect()}
+    assert again == {i: r["taken"] for i, r in taken.items()}
+    other = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=1.2, seed=2).collect()}
     assert other != again
 
 
+def test_rows_without_an_id_or_with_the_same_are_mixed(spark):
+    rows = [(None, "a b c d", "s")] * 9 + [(None, "e f g", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, None, "s"), (3, "x y z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(7) for n in ("size", "taken", "__size", "key", "at", "row")})
+    taken = mixing.mix(docs.drop("row"), share=0.7)
+    found = taken.collect()
+    assert len(found) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in found)
+    by_source = {r["source_size"]: 0 for r in found}
+    for r in found:
+        by_source[r["source_size"]] += r["taken"]
+    target = {r["source_size"]: r["target"] for r in found}
+    assert all(abs(by_source[s] - target[s]) < 9 for s in target)  # equal rows share what is left, rounded down
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
 def test_buckets_don_t_change_the_draw(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (i % 11), "s") for i in range(300)], "doc_id long, text string, source string")
-    one = {r["doc_id"]: r["__taken"] for r in mixing.mix(docs, share=1.5).collect()}
+    one = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=1.5).collect()}
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
-    assert {r["doc_id"]: r["__taken"] for r in mixing.mix(docs, share=1.5).collect()} == one
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=1.5).collect()} == one
 
 
 def test_toxicity_learns_sentences_from_documents(spark):
@@ -207,7 +217,9 @@ def test_langid(spark):
     asked = spark.createDataFrame([("nicht das",), ("this thing",), ("42 !",), ("",), (None,), ("ß" * 5000,)], "text string")
     found = [(r["lang_pred"], r["score"]) for r in langid.classify(asked, model).collect()]
     assert [lang for lang, _ in found][:5] == ["de", "en", "und", "und", "und"] and all(0 <= s <= 1 for _, s in found)
-    assert langid.predict("words", langid.train(docs.limit(0))) == ("und", 0.0)
+    assert langid.predict(["words"], langid.train(docs.limit(0)))[0] == ["und"]
+    with pytest.raises(ValueError, match="max_langs"):
+        langid.train(docs, langid.Settings(max_langs=1))
 
 
 def test_topk_blocks_don_t_change_the_result(spark):

@@ -5,10 +5,11 @@ import re
 
 import public_tokenizers
 import pyarrow.parquet as pq
-from test_contracts import plain_chunks
+from test_contracts import plain_line_dedup
+from test_near_copies import five_words
 
 import corpus_pipeline
-from casequarry.llm import bpe, langid, simhash
+from casequarry.llm import bpe, langid
 
 
 def test_stages(spark, small):
@@ -23,27 +24,20 @@ def test_stages(spark, small):
         docs = spark.createDataFrame(states[name], docs.schema)
         assert name == "encode" or docs.columns == columns
     model = langid.train(spark.read.parquet(f"{small}/documents.parquet"))
-    kept = {i for i, d in before.items() if (p := langid.predict(d["text"], model))[0] != "und" and p[1] >= 0.5}
+    kept = {i for i, d in before.items() if (p := langid.predict([d["text"]], model))[0][0] != "und" and p[1][0] >= 0.5}
     assert {r["doc_id"] for r in states["language"]} == kept
-    seen, texts = set(), {}
-    for i in sorted(kept):
-        out = []
-        for chunk in plain_chunks(before[i]["text"]):
-            text = "\n".join(chunk)
-            if len(chunk) < 2 or not re.search(r"\S", text) or text not in seen:
-                out.append(text)
-            seen |= {text} if len(chunk) >= 2 else set()
-        texts[i] = "\n".join(out)
+    order = sorted(kept)
+    texts = {i: out[0] for i, out in zip(order, plain_line_dedup([before[i]["text"] for i in order]), strict=True)}
     assert {r["doc_id"]: r["text"] for r in states["lines"]} == texts
     assert all(r["n_chars"] == len(r["text"]) for r in states["lines"])
-    prints = {i: simhash.simhash(t.encode(), 5) & (1 << 64) - 1 for i, t in texts.items()}
-    root = {i: i for i in prints}
+    sets = {i: five_words(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for i in prints:
-            for j in prints:
-                if root[j] < root[i] and (prints[i] ^ prints[j]).bit_count() <= 3:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if root[j] < root[i] and (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))):
                     root[i], changed = root[j], True
     assert {r["doc_id"] for r in states["near_duplicates"]} == {i for i in root if root[i] == i}
     sizes, taken = {}, {}
