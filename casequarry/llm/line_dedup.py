@@ -85,7 +85,9 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = L
     again = F.array_except(F.transform(f"{piece}.all", lambda p: p["code"]), F.coalesce(unique, F.array().cast("array<long>")))
     marked = marked.withColumn(repeated, again)
     texts = F.expr(f"transform({repeated}, c -> named_struct('code', c, 'bytes', array_join({_slice(f'{piece}.lines', 'c')}, '\\n')))")
-    spelt = marked.where(F.size(repeated) > 0).select(*place, F.explode(texts).alias(piece))
+    # asks for every column, as the result does, so that one shuffle of the texts serves both
+    every = F.xxhash64(*columns_of(keyed.columns)) == 0
+    spelt = marked.where((F.size(repeated) > 0) | every).select(*place, F.explode(texts).alias(piece))
     keeps = listed(spelt.groupBy(f"{piece}.bytes").agg(first), kept)
     joined = marked.join(keeps, place, "left").withColumn(copy, F.row_number().over(Window.partitionBy(*place).orderBy(of)))
     own = F.when(F.col(copy) == 1, F.col(kept))
