@@ -1,24 +1,32 @@
 """Command line: ``python -m casequarry.cli VERB``.
 
-Verbs work on tables of Parquet: ``run`` a registered query, ``batch`` report on a table of descriptions,
-``ask`` for an answer in key-value text, ``crop`` label boxes, ``shadow`` record or sum up evaluations.
+Verbs work on tables of Parquet: ``run`` a registered query, ``analyse`` requests against a case store,
+``symbols`` with one name, ``batch`` report on a table of descriptions, ``ask`` for an answer in key-value
+text, ``similar`` cases of a store, ``crop`` label boxes, ``shadow`` record or sum up evaluations. Results go to
+standard output as JSON lines, what went wrong to standard error.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from casequarry.functions import text
-from casequarry.operators import boxes, evaluate, reports
-from casequarry.session import local_session
+from casequarry.operators import analysis, boxes, evaluate, reports
+from casequarry.service import CaseStore
+from casequarry.session import local_session, setting
+from casequarry.sources import tables
 
 
 def _show(df) -> None:
     for row in df.toLocalIterator():
-        print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
+        line = json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str) + "\n"
+        sys.stdout.write(line.encode(sys.stdout.encoding or "utf-8", "replace").decode(sys.stdout.encoding or "utf-8"))
 
 
 def run(spark, args) -> None:
@@ -35,6 +43,29 @@ def batch(spark, args) -> None:
     _show(reports.batch_report(checked))
 
 
+def _provider(path: str):
+    """A provider's factory by its place, ``module:name``, called if it makes one."""
+    module, _, name = path.partition(":")
+    made = getattr(importlib.import_module(module), name)
+    return made() if getattr(made, "__name__", "").startswith("stand_in") else made
+
+
+def analyse(spark, args) -> None:
+    box = CaseStore(spark, args.store, _provider(args.embedder))
+    catalogue = tables.rule_catalogue(spark, args.rules) if args.rules else ()
+    requests = analysis.request(spark.read.parquet(args.table)) if args.locked else spark.read.parquet(args.table)
+    _show(box.analyse(requests, catalogue, _provider(args.model), tables.guide(spark, args.guide) if args.guide else ""))
+
+
+def symbols(spark, args) -> None:
+    found = spark.read.parquet(args.table)
+    _show(reports.named_symbol(found, args.name) if args.name else analysis.confirmed_symbols(found.select(args.key, F.explode("symbols.name").alias("name")), args.key))
+
+
+def similar(spark, args) -> None:
+    _show(CaseStore(spark, args.store, _provider(args.embedder)).similar(spark.read.parquet(args.table), args.k))
+
+
 def ask(spark, args) -> None:
     _show(spark.read.text(args.file, wholetext=True).select(text.answer(F.col("value")).alias("a")).select("a.*"))
 
@@ -62,6 +93,23 @@ def main(argv: list[str] | None = None) -> int:
     verb = verbs.add_parser("run")
     verb.add_argument("query")
     verb.add_argument("folder")
+    verb = verbs.add_parser("analyse")
+    verb.add_argument("store")
+    verb.add_argument("table")
+    verb.add_argument("--rules")
+    verb.add_argument("--guide")
+    verb.add_argument("--locked", action="store_true", help="notes come from locked_notes, else typed_notes")
+    verb.add_argument("--model", default=setting("model", "casequarry.operators.providers:stand_in_model"))
+    verb.add_argument("--embedder", default=setting("embedder", "casequarry.operators.providers:stand_in_embedder"))
+    verb = verbs.add_parser("symbols")
+    verb.add_argument("table")
+    verb.add_argument("--name")
+    verb.add_argument("--key", default="drawing")
+    verb = verbs.add_parser("similar")
+    verb.add_argument("store")
+    verb.add_argument("table")
+    verb.add_argument("-k", type=int, default=3)
+    verb.add_argument("--embedder", default=setting("embedder", "casequarry.operators.providers:stand_in_embedder"))
     verb = verbs.add_parser("batch")
     verb.add_argument("table")
     verb.add_argument("--column", default="description")
@@ -76,7 +124,12 @@ def main(argv: list[str] | None = None) -> int:
     verb.add_argument("--record")
     verb.add_argument("--stats", action="store_true")
     args = parser.parse_args(argv)
-    {"run": run, "batch": batch, "ask": ask, "crop": crop, "shadow": shadow}[args.verb](local_session(args.cores), args)
+    verb_of = {"run": run, "analyse": analyse, "symbols": symbols, "similar": similar, "batch": batch, "ask": ask, "crop": crop, "shadow": shadow}
+    try:
+        verb_of[args.verb](local_session(args.cores), args)
+    except (ValueError, KeyError, PySparkException) as error:
+        sys.stderr.write(f"casequarry {args.verb}: {str(error).splitlines()[0]}\n")
+        return 1
     return 0
 
 

@@ -275,3 +275,13 @@ def entry_id(time: Column, name: Column) -> Column:
 def doubtful(text: Column) -> Column:
     """What a description marks as doubtful, the least sure first."""
     return F.concat(tagged(text, "red"), tagged(text, "orange"))
+
+
+def retrieval_allowed(use_retrieval: Column, use_model: Column) -> Column:
+    """Whether similar cases are looked up: only where the model that reads them is used."""
+    return F.coalesce(use_retrieval & use_model, F.lit(False))
+
+
+def review_list(description: Column, warnings: Column) -> Column:
+    """What a reviewer has to look at: doubtful marks, the least sure first, then warnings, each once."""
+    return F.array_distinct(F.concat(F.coalesce(doubtful(description), texts([])), F.coalesce(warnings, texts([]))))

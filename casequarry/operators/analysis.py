@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequarry.functions import text
@@ -49,8 +49,58 @@ def prompted(notes: Column, anchors: Column, guide: str = "", case: Column | Non
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder if there is one, else in the executors' storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """``df`` computed once, in the folder that all executors share, so that a lost one sends no request again.
+
+    The folder is spark.checkpoint.dir's, or, in a local session without one, below the warehouse.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint()
+
+
+def agents(spark: SparkSession) -> DataFrame:
+    """domain, code: the agents' candidates, one row a code."""
+    return spark.createDataFrame([(domain, code) for domain, codes in AGENT_CODES.items() for code in codes], "domain string, code string")
+
+
+def request(requests: DataFrame) -> DataFrame:
+    """``requests`` with notes: the locked ones if there are any, else the ones typed in."""
+    return requests.withColumn("notes", F.coalesce(F.nullif(F.trim("locked_notes"), F.lit("")), F.col("typed_notes"), F.lit("")))
+
+
+def classified(requests: DataFrame, key: str, column: str, observer: providers.Factory, classifiers: dict[str, providers.Factory]) -> DataFrame:
+    """One observation of each request, then every domain's classification of that observation.
+
+    Returns key, observation, answers (a map from domain to answer; no answer is ``(no output)``), error. The
+    observation is kept before the classifiers read it, so it is made once; where it failed nothing is
+    classified. A domain's classifier is told its candidate codes.
+    """
+    seen = kept(providers.apply(requests.select(key, column), column, observer, "observation", "string").drop(column))
+    out = seen.withColumn("__prompt", F.col("observation"))
+    for domain, factory in classifiers.items():
+        codes = ", ".join(AGENT_CODES.get(domain, ()))
+        asked = out.withColumn("__prompt", F.when(F.col("observation").isNotNull(), F.concat(F.lit(f"[{domain}] candidates: {codes}\n"), "observation")))
+        out = providers.apply(asked.withColumnRenamed("error", "__error"), "__prompt", factory, f"__{domain}", "string").drop("error").withColumnRenamed("__error", "error")
+    pairs = [x for domain in classifiers for x in (F.lit(domain), F.coalesce(f"__{domain}", F.lit("(no output)")))]
+    answers = F.when(F.col("observation").isNotNull(), F.create_map(*pairs)).otherwise(F.create_map().cast("map<string,string>"))
+    return out.select(key, "observation", answers.alias("answers"), "error")
+
+
+def confirmed_symbols(hits: DataFrame, key: str) -> DataFrame:
+    """key, symbols, anchors: the distinct symbols found on any view of a drawing, sorted, and as anchors of a prompt."""
+    found = hits.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("symbols"))
+    return found.withColumn("anchors", F.transform("symbols", lambda name: F.concat(F.lit("[CV-CONFIRMED] "), name)))
+
+
+def counts(features: DataFrame) -> DataFrame:
+    """``features`` (bend_lines, holes: arrays) with has_bends and hole_count; a null array is empty."""
+    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))
+    return features.withColumns({"has_bends": size("bend_lines") > 0, "hole_count": size("holes")})
 
 
 def analyse(requests: DataFrame, cases: DataFrame, catalogue: Sequence[rules.Rule], model: providers.Factory, embedder: providers.Factory, guide: str = "", k: int = 3) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casequarry.functions import fixed
+from casequarry.functions import fixed, text
+from casequarry.sources import tables
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -221,3 +222,24 @@ def view_metadata(views: DataFrame, drawing: str) -> DataFrame:
     )
     listed = views.groupBy(drawing).agg(F.array_sort(F.collect_list(one)).alias("views"))
     return listed.select(drawing, F.to_json(F.struct(F.col(drawing).cast("string").alias("source"), F.size("views").alias("total_views"), "views")).alias("metadata"))
+
+
+def title_block(lines: DataFrame, drawing: str, image_w: str, image_h: str, share: float = 0.25, least: float = 0.5) -> DataFrame:
+    """What a drawing's lower right corner says: drawing, region, texts and the notes among them.
+
+    ``lines`` has drawing, line (their order), text, confidence, polygon and the image's sides. Lines of enough
+    confidence count whose upright box begins in the corner, whose sides are ``share`` of the image's,
+    rounded down.
+    """
+    across, down = F.floor(F.col(image_w) * share).cast("int"), F.floor(F.col(image_h) * share).cast("int")
+    placed = recognised(lines, least).withColumns({"__x": F.col(image_w) - across, "__y": F.col(image_h) - down, "__w": across, "__h": down})
+    inside = (F.col("x") >= F.col("__x")) & (F.col("x") < F.col("__x") + F.col("__w")) & (F.col("y") >= F.col("__y")) & (F.col("y") < F.col("__y") + F.col("__h"))
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    listed = placed.where(inside).groupBy(drawing, F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"), F.col("__w").alias("w"), F.col("__h").alias("h")).alias("region")).agg(F.transform(ordered, lambda r: r["text"]).alias("texts"))
+    return listed.withColumn("notes", F.filter("texts", lambda t: text.is_note(t)))
+
+
+def save_views(crops: DataFrame, views: DataFrame, drawing: str, folder: str) -> list[str]:
+    """Write cropped views (file_name, content) and one ``DRAWING-metadata.json`` a drawing into a shared folder; returns the names."""
+    about = view_metadata(views, drawing).select(F.concat(F.col(drawing).cast("string"), F.lit("-metadata.json")).alias("name"), F.col("metadata").cast("binary").alias("content"))
+    return tables.save_files(crops.select(F.col("file_name").alias("name"), "content").unionByName(about), folder)

@@ -93,3 +93,8 @@ def existing(children: DataFrame, files: DataFrame) -> DataFrame:
     """``children`` (name) with whether each is among the files."""
     there = files.select("name").distinct().withColumn("exists", F.lit(True))
     return children.join(there, "name", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def overridden(found: DataFrame, stated: DataFrame) -> DataFrame:
+    """Groups (group_id, parent, children) as found, but as ``stated`` where they are stated."""
+    return found.join(stated.select("group_id").distinct(), "group_id", "left_anti").unionByName(stated)

@@ -8,11 +8,13 @@ stand-ins below are deterministic and for tests; nothing they return says anythi
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Factory = Callable[[], Callable[[object], object]]
@@ -43,6 +45,46 @@ def apply(rows: DataFrame, column: str, factory: Factory, result: str, kind: str
     return called.withColumns({result: F.col("__call.result"), "error": F.col("__call.error")}).drop("__call")
 
 
+def patient(factory: Factory, tries: int = 3, seconds: float = 180.0, pause: float = 0.0) -> Factory:
+    """``factory``, whose provider is asked up to ``tries`` times, each time for at most ``seconds``; the last error counts.
+
+    A call that takes longer is given up; its thread ends when the call does.
+    """
+
+    def patient_factory():
+        provider = factory()
+
+        def ask(value: object) -> object:
+            for left in reversed(range(tries)):
+                pool = ThreadPoolExecutor(1)
+                try:
+                    return pool.submit(provider, value).result(timeout=seconds)
+                except Exception:  # noqa: BLE001  asked again, whatever went wrong
+                    if not left:
+                        raise
+                    time.sleep(pause)
+                finally:
+                    pool.shutdown(wait=False)
+            raise ValueError("tries is at least 1")
+
+        return ask
+
+    return patient_factory
+
+
+def timed(action: Callable[[], object]) -> tuple[object, float]:
+    """The result of an action on the driver, and the seconds it took, to 2 digits."""
+    began = time.perf_counter()
+    result = action()
+    return result, round(time.perf_counter() - began, 2)
+
+
+def normal_vector(vector: Column) -> Column:
+    """A vector divided by its length; null for null, and as it is if its length is 0."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
+    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+
+
 def stand_in_embedder(dims: int = 16) -> Factory:
     """Unit vectors made from a hash of the text."""
 

@@ -31,6 +31,48 @@ def shown_lines(lines: Column) -> Column:
     return F.filter(lines, lambda line: F.trim(line) != "")
 
 
+def result_record(results: DataFrame, path: str = "path") -> DataFrame:
+    """One JSON a result for output, as ``record``: symbols and lines as shown, seconds to 2 digits, no vectors.
+
+    ``results`` has path, seconds, description, first_description, symbols (structs of name, type, confidence,
+    bbox), lines (array of text), warnings and errors.
+    """
+    symbols = F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["type"].alias("type"), F.round(s["confidence"], 3).alias("confidence"), s["bbox"].alias("bbox")))
+    fields = [
+        F.col(path).alias("image"), F.round("seconds", 2).alias("elapsed_seconds"), F.col("description").alias("vlm_description"), F.col("first_description").alias("vlm_description_v1"),
+        symbols.alias("symbols"), shown_lines(F.col("lines")).alias("ocr_texts"), "warnings", "errors",
+    ]
+    return results.select(path, F.to_json(F.struct(*fields)).alias("record"))
+
+
+def named_symbol(results: DataFrame, name: str) -> DataFrame:
+    """``results`` (symbols: structs with a name) with only the symbols of one name, whatever the case, and whether there is one."""
+    some = F.filter("symbols", lambda s: F.lower(s["name"]) == F.lower(F.lit(name)))
+    return results.withColumn("symbols", some).withColumn("found", F.size("symbols") > 0)
+
+
+def section(title: str, body: Column) -> Column:
+    """A titled block of a report; null without a body."""
+    return F.when(F.coalesce(F.trim(body), F.lit("")) != "", F.concat(F.lit(f"--- {title} ---\n"), F.trim(body)))
+
+
+def result_text(name: Column, seconds: Column, sections: dict[str, Column]) -> Column:
+    """A result as text: a heading with its name and time, then its blocks; empty ones are left out."""
+    heading = F.format_string("=== %s (%.1fs) ===", name, seconds)
+    return F.concat_ws("\n", heading, *[section(title, body) for title, body in sections.items()])
+
+
+def in_order(values: Column) -> Column:
+    """The distinct values of an array in the order they first have."""
+    return F.array_distinct(values)
+
+
+def with_notes(parts: DataFrame, notes: DataFrame, part: str) -> DataFrame:
+    """``parts`` with the text that ``notes`` (part, bom) has for them, empty where it has none; of several the least."""
+    one = notes.groupBy(part).agg(F.min("bom").alias("bom"))
+    return parts.join(one, part, "left").withColumn("bom", F.coalesce("bom", F.lit("")))
+
+
 def first_seen(rows: DataFrame, by: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
     """The first row of each key by an order; a minimum, so a hot key is summed up where it lies."""
     columns = [c for c in rows.columns if c not in order]

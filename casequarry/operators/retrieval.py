@@ -48,18 +48,31 @@ def above_threshold(hits: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
     return hits.where(F.col("score") >= least)
 
 
-def common_words(queries: DataFrame, cases: DataFrame) -> DataFrame:
-    """query_id, entry_id, seq, score: Jaccard likeness of the distinct words, where it is over 0.
+def common_words(queries: DataFrame, cases: DataFrame, least: float = 0.0) -> DataFrame:
+    """query_id, entry_id, seq, score: Jaccard likeness of the distinct words, where it is over 0 and at least ``least``.
 
-    An inverted index of both sides is joined on the word; a pair's common words are counted, and the
-    sizes of the sets give the union. The queries' words are broadcast if Spark finds them small.
+    Two sets of this likeness have a word in common among the rarest ``size - ceil(least * size) + 1`` of
+    either, so only those are indexed: a word that most texts hold is in no index unless a text has
+    little else, and no hot word pairs all with all. Sizes that can't reach the likeness are ruled out in
+    the join, and candidates are compared by their whole sets.
     """
-    asked = queries.select("query_id", text.tokens(F.col("description")).alias("words")).withColumn("q_size", F.size("words"))
-    stored = cases.select("entry_id", "seq", text.tokens(F.col("description")).alias("words")).withColumn("size", F.size("words"))
-    left = asked.select("query_id", "q_size", F.explode("words").alias("word"))
-    right = stored.select("entry_id", "seq", "size", F.explode("words").alias("word"))
-    common = right.join(left, "word").groupBy("query_id", "entry_id", "seq", "q_size", "size").agg(F.count("*").alias("common"))
-    return common.select("query_id", "entry_id", "seq", (F.col("common") / (F.col("q_size") + F.col("size") - F.col("common"))).alias("score"))
+    asked = queries.select("query_id", text.tokens(F.col("description")).alias("words"))
+    stored = cases.select("entry_id", "seq", text.tokens(F.col("description")).alias("words"))
+    often = stored.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: list[str]) -> DataFrame:
+        sized = rows.withColumn("size", F.size("words"))
+        each = sized.select(*key, "size", F.explode("words").alias("word")).join(often, "word", "left")
+        listed = each.groupBy(*key, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by"))
+        first = F.col("size") - F.greatest(F.ceil(F.lit(least) * F.col("size") - F.lit(1e-9)), F.lit(1)) + 1
+        return listed.select(*key, "size", F.transform("by", lambda x: x["word"]).alias("words"), F.explode(F.transform(F.slice("by", F.lit(1), first.cast("int")), lambda x: x["word"])).alias("word"))
+
+    left = rarest(asked, ["query_id"]).select("query_id", F.col("size").alias("q_size"), F.col("words").alias("q_words"), "word")
+    right = rarest(stored, ["entry_id", "seq"])
+    able = (F.least("size", "q_size") >= F.greatest("size", "q_size") * F.lit(least) - F.lit(1e-9)) if least > 0 else F.lit(True)
+    common = F.size(F.array_intersect("q_words", "words"))
+    pairs = right.join(left, "word").where(able).select("query_id", "entry_id", "seq", (common / (F.col("q_size") + F.col("size") - common)).alias("score"))
+    return pairs.where(F.col("score") >= least).distinct()
 
 
 def jaccard_search(cases: DataFrame, query: str, k: int = 3) -> DataFrame:
@@ -116,7 +129,7 @@ def cascade(queries: DataFrame, cases: DataFrame, k: int = 3, least: float = MIN
     scored = vector_hits(rest, cases, k)
     semantic = scored.where(F.col("score") >= least).withColumn("match_type", F.lit("semantic"))
     unmet = rest.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    worded = best_of_each(common_words(unmet, cases), k).withColumn("score", F.round("score", 3))
+    worded = best_of_each(common_words(unmet, cases, least - 0.0005), k).withColumn("score", F.round("score", 3))
     worded = worded.where(F.col("score") >= least).withColumn("match_type", F.lit("text_keyword"))
     columns = ["query_id", "entry_id", "rank", "score", "match_type"]
     return exact.select(columns).unionByName(semantic.select(columns)).unionByName(worded.select(columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequarry.functions import fixed, text
@@ -144,3 +144,26 @@ def vocabulary_use(docs: DataFrame, vocabulary: Sequence[str] = fixed.VOCABULARY
 
     terms = docs.select(F.explode(text.let(F.lower(F.coalesce(F.col(column), F.lit(""))), used)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n_entries"))
+
+
+def most_used(docs: DataFrame, k: int = 10, vocabulary: Sequence[str] = fixed.VOCABULARY, column: str = "description") -> DataFrame:
+    """The k terms that most rows use, ties by the vocabulary's order: rank, term, n_entries."""
+    used = vocabulary_use(docs, vocabulary, column)
+    order = Window.orderBy(F.desc("n_entries"), F.array_position(text.texts(list(vocabulary)), F.col("term")))
+    return used.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("rank", "term", "n_entries")
+
+
+def parent_payload(docs: DataFrame, column: str = "payload") -> DataFrame:
+    """``docs`` with the model's JSON on a parent drawing as material, structure, features, notes.
+
+    Features that are one string are an array of it, and whatever else isn't an array is an empty one;
+    missing fields are empty texts. Text that isn't a JSON object gives empty values throughout.
+    """
+    field = lambda name: F.get_json_object(column, f"$['{name}']")
+    filled = lambda *names: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names], F.lit(""))
+    raw = field("global_features")
+    whole = F.from_json(column, "global_features string", {"mode": "PERMISSIVE"})["global_features"]
+    is_list, is_number = F.coalesce(F.left(F.trim(raw), F.lit(1)) == "[", F.lit(False)), F.col(column).rlike(r'"global_features"\s*:\s*[^"\s]')
+    features = F.when(is_list & is_number, F.from_json(raw, "array<string>")).when(~is_number & whole.isNotNull(), F.array(whole)).otherwise(text.texts([]))
+    named = {"material": filled("material_spec", "material"), "structure": filled("3d_structure"), "features": F.coalesce(features, text.texts([])), "notes": filled("bom_notes")}
+    return docs.withColumns(named)

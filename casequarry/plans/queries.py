@@ -104,18 +104,22 @@ def q06_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06b_shape_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = documents(spark, sf_dir).select("entry_id", "seq", F.left("description", F.lit(5)).alias("shape_description"), F.split("description", " ", 4).alias("geometry"))
-    return retrieval.shape_search(cases, "Thing. It", ["the", "of", "and"], k=10).select("entry_id", "points", "confidence")
+    """Parts as cases: their type is the shape, the words of their name are the geometry."""
+    cases = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("shape_description"), F.split("p_name", " ").alias("geometry"))
+    return retrieval.shape_search(cases, "STEEL", ["ring", "red", "bolt", "green"], k=10).select("entry_id", "points", "confidence")
 
 
 def q07_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items are the queries: some have a stored text, some a vector, some only words."""
+    """Benchmark items and all labelled documents are the queries; an item's channels are those that its vector's label says it has."""
     vector = _channels(spark, sf_dir).select(F.col("entry_id").alias("v_id"), "image_vec", "text_vec")
+    vector = vector.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v_id"), "label"), "v_id")
     cases = documents(spark, sf_dir, searched=True).select("entry_id", "seq", "image_hash", "description", F.lit(None).cast("string").alias("status"))
-    cases = cases.join(vector, F.col("entry_id") == F.col("v_id"), "left").drop("v_id")
+    cases = cases.join(vector.drop("label"), F.col("entry_id") == F.col("v_id"), "left").drop("v_id")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.sha2(F.col("text").cast("binary"), 256).alias("image_hash"), F.col("text").alias("description"))
-    known = documents(spark, sf_dir).select((F.col("entry_id") + 1_000_000).alias("query_id"), "image_hash", "description").join(items.select(F.col("query_id").alias("n")), F.col("n") + 1_000_000 == F.col("query_id"), "left_semi")
-    items = items.join(vector.select("v_id", F.when(F.col("v_id") % 3 > 0, F.col("image_vec")).alias("image_vec"), F.when(F.col("v_id") % 3 == 1, F.col("text_vec")).alias("text_vec")), F.col("query_id") == F.col("v_id"), "left").drop("v_id")
+    known = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id")), F.col("entry_id") == F.col("l_id"), "left_semi")
+    known = known.select((F.col("entry_id") + 1_000_000).alias("query_id"), "image_hash", "description")
+    given = vector.select("v_id", F.when(F.col("label") > 2, F.col("image_vec")).alias("image_vec"), F.when(F.col("label") > 6, F.col("text_vec")).alias("text_vec"))
+    items = items.join(given, F.col("query_id") == F.col("v_id"), "left").drop("v_id")
     queries = items.unionByName(known, allowMissingColumns=True)
     return retrieval.cascade(queries, cases, k=3, least=0.05).withColumn("score", F.round("score", 6))
 
@@ -223,9 +227,9 @@ def q21b_dimension_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q22_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first words are made into a report's fourth section, and parsed back."""
+    """The words of each whole document are made into a report's fourth section, and parsed back."""
     docs = table(spark, sf_dir, "documents")
-    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    word = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
     made = F.concat(F.lit("### 3. X\n- [Z9] no: no\n### 4. PROCESS SELECTION\n- [D"), F.col("doc_id").cast("string"), F.lit("] Fold: seen "), word, F.lit("\n • [E-1]  Weld ："), F.lit(" marked\nno line\n### 5. Y\n- [Z8] no: no"))
     rows = docs.select("doc_id", F.explode(text.selections(made)).alias("s"))
     return rows.select("doc_id", "s.process_id", "s.name", "s.evidence")
@@ -509,14 +513,14 @@ ORACLE_SQL = {
     "q06_jaccard_topk": f"""WITH sets AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS words, {_WORDS_SQL.format(f"'{TEXT}'")} AS asked FROM documents),
         scored AS (SELECT doc_id, len(list_intersect(words, asked)) / len(list_distinct(list_concat(words, asked))) AS score FROM sets)
         SELECT doc_id AS entry_id, round(score, 3) AS confidence, 'text_keyword' AS match_type FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5""",
-    "q06b_shape_fallback": """WITH parts AS (SELECT doc_id, left(text, 5) AS shape, list_distinct(string_split(text, ' ')[1:3]) AS geometry FROM documents),
-        scored AS (SELECT doc_id, (CASE WHEN shape <> '' AND (contains(shape, 'Thing. It') OR contains('Thing. It', shape)) THEN 3 ELSE 0 END + len(list_intersect(geometry, ['the', 'of', 'and'])))::INT AS points FROM parts)
-        SELECT doc_id AS entry_id, points, round(points / 10, 3) AS confidence FROM scored WHERE points > 0 ORDER BY points DESC, doc_id LIMIT 10""",
+    "q06b_shape_fallback": """WITH parts AS (SELECT p_partkey, p_type AS shape, list_distinct(string_split(p_name, ' ')) AS geometry FROM part),
+        scored AS (SELECT p_partkey, (CASE WHEN shape <> '' AND (contains(shape, 'STEEL') OR contains('STEEL', shape)) THEN 3 ELSE 0 END + len(list_intersect(geometry, ['ring', 'red', 'bolt', 'green'])))::INT AS points FROM parts)
+        SELECT p_partkey AS entry_id, points, round(points / 10, 3) AS confidence FROM scored WHERE points > 0 ORDER BY points DESC, p_partkey LIMIT 10""",
     "q07_cascade": f"""WITH {_UNIT_SQL},
         cases AS (SELECT doc_id AS entry_id, sha256(text) AS h, text, a, b FROM documents LEFT JOIN channels ON vec_id = doc_id),
         queries AS (
-            SELECT item_id AS query_id, sha256(text) AS h, text, CASE WHEN vec_id % 3 > 0 THEN a END AS a, CASE WHEN vec_id % 3 = 1 THEN b END AS b FROM benchmark LEFT JOIN channels ON vec_id = item_id
-            UNION ALL SELECT doc_id + 1000000, sha256(text), text, NULL, NULL FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)),
+            SELECT item_id AS query_id, sha256(text) AS h, text, CASE WHEN e.label > 2 THEN a END AS a, CASE WHEN e.label > 6 THEN b END AS b FROM benchmark LEFT JOIN channels c ON c.vec_id = item_id LEFT JOIN embeddings e ON e.vec_id = item_id
+            UNION ALL SELECT doc_id + 1000000, sha256(text), text, NULL, NULL FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
         exact AS (SELECT query_id, max(entry_id) AS entry_id FROM queries JOIN cases USING (h) GROUP BY query_id),
         rest AS (SELECT * FROM queries WHERE query_id NOT IN (SELECT query_id FROM exact)),
         fused AS (SELECT q.query_id, c.entry_id, (coalesce(greatest(list_dot_product(c.a, q.a), 0), 0) * CASE WHEN q.a IS NULL THEN 0 ELSE 0.4 END + coalesce(greatest(list_dot_product(c.b, q.b), 0), 0) * CASE WHEN q.b IS NULL THEN 0 ELSE 0.6 END)
@@ -559,7 +563,7 @@ ORACLE_SQL = {
     "q20_tag_ops": "WITH p AS (SELECT page_id, html, regexp_replace(html, '</?(?:p|li|b|ul)>', '', 'g') AS t FROM pages) SELECT page_id, length(t)::INT AS plain_length, len(regexp_extract_all(html, '<p>(.*?)</p>'))::INT AS n_items, sha256(t) AS plain_hash FROM p",
     "q21_clean_validate": f"SELECT doc_id AS entry_id, sha256({_cleaning_sql()}) AS cleaned_hash, {_issues_sql()} AS issues FROM documents",
     "q21b_dimension_leak": "SELECT doc_id AS entry_id, regexp_matches(text, '(?i)" + fixed.DIMENSIONS + "') AS leaks FROM documents",
-    "q22_section_parse": """SELECT doc_id, 'D' || doc_id AS process_id, 'Fold' AS name, rtrim('seen ' || regexp_extract(text, '[A-Za-z]+')) AS evidence FROM documents
+    "q22_section_parse": """SELECT doc_id, 'D' || doc_id AS process_id, 'Fold' AS name, rtrim('seen ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))) AS evidence FROM documents
         UNION ALL SELECT doc_id, 'E-1', 'Weld', 'marked' FROM documents""",
     "q23_batch_report": f"WITH r AS (SELECT {_issues_sql()} AS issues FROM documents) SELECT count(*) AS total, count(*) FILTER (WHERE issues <> '') AS failed, count(*) FILTER (WHERE issues = '') AS success FROM r",
     "q24_matrix": """SELECT r_regionkey, s.c_mktsegment, count(c_custkey) AS n_customers FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s

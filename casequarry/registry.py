@@ -1,5 +1,6 @@
-"""All queries of the library and their SQL."""
+"""The registered queries and their SQL."""
 
-from casequarry.plans.queries import ORACLE_SQL, QUERIES
+from casequarry.plans import more, queries
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = queries.QUERIES | more.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | more.ORACLE_SQL

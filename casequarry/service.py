@@ -18,7 +18,9 @@ from casequarry.sources import tables
 
 CASES = (
     "entry_id string, seq long, image_hash string, description string, tags array<string>, timestamp string, updated_at string, version_count int,"
-    " status string, superseded_by string"
+    " status string, superseded_by string, reasoning string, correct_processes array<string>, bom_context string, shape_description string, geometry array<string>,"
+    " rag_metrics struct<v1_distance:double,v2_distance:double,improvement_rate:double,timestamp:string>,"
+    " version_history array<struct<timestamp:string,description_snapshot:string>>"
 )
 VECTORS = "entry_id string, ordinal long, image_vec array<double>, text_vec array<double>"
 CORRECTIONS = "source_filename string, sha256 string, original_label string, corrected_label string, bbox array<int>, corrected_at string"
@@ -30,11 +32,15 @@ class CaseStore:
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
 
     def _state(self, name: str, schema: str, pointed: bool) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        """A table of the store; empty if it was never written. What can't be read is an error."""
+        path, empty = f"{self.folder}/{name}", self.spark.createDataFrame([], schema)
         try:
-            return tables.current(self.spark, path) if pointed else self.spark.read.schema(schema).parquet(path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            found = tables.current(self.spark, path) if pointed else self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if tables.is_missing(error):
+                return empty
+            raise
+        return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
 
     def cases(self) -> DataFrame:
         return self._state("cases", CASES, True)
@@ -53,14 +59,46 @@ class CaseStore:
         return self.cases().join(self.vectors().select("entry_id", "image_vec", "text_vec"), "entry_id", "left")
 
     def save(self, batch: DataFrame, now: str) -> None:
-        """Store cases (entry_id, seq, image_hash, description, tags) and index what is new or changed."""
-        tables.replace(store.upsert(self.cases(), batch, now), f"{self.folder}/cases")
-        self.rebuild()
+        """Store cases (entry_id, seq, image_hash, description, tags, and any other of the store's columns), and index them."""
+        before = self.cases()
+        columns = [c for c in batch.columns if c in before.columns]
+        tables.replace(store.upsert(before, batch.select(*columns), now), f"{self.folder}/cases")
+        self.index(now)
 
     def describe(self, patches: DataFrame, now: str) -> None:
-        """New descriptions (entry_id, description) of stored cases."""
-        tables.replace(store.update(self.cases(), patches, now), f"{self.folder}/cases")
-        self.rebuild()
+        """New descriptions (entry_id, description) of stored cases; they are their reasoning too."""
+        tables.replace(store.describe(self.cases(), patches, now), f"{self.folder}/cases")
+        self.index(now)
+
+    def index(self, now: str) -> None:
+        """Embed the visible cases that were stored or changed at ``now``; all other vectors stay, but those of superseded cases."""
+        visible = store.indexable(self.cases())
+        at = self.cases().where((F.col("updated_at") == now) | (F.col("timestamp") == now)).select("entry_id")
+        vectors = self.vectors().join(visible.select("entry_id"), "entry_id", "left_semi")
+        embedded = providers.apply(visible.join(at, "entry_id", "left_semi"), "description", self.embedder, "text_vec", "array<double>")
+        changed = embedded.join(vectors.select("entry_id", "image_vec"), "entry_id", "left").select("entry_id", F.col("seq").alias("ordinal"), "image_vec", "text_vec")
+        tables.replace(vectors.join(at, "entry_id", "left_anti").unionByName(changed), f"{self.folder}/vectors")
+
+    def review(self, records: DataFrame, files: DataFrame, now: str) -> DataFrame:
+        """Save reviewed cases: entry_id, seq, image_path, image_hash, corrected, bom_context, first_text, second_text.
+
+        Returns entry_id, saved, improvement_rate. A case whose image isn't among ``files`` (path) isn't saved.
+        A case with a first text is measured: how far it and the second text are from the correction.
+        """
+        met = store.reviewed(records, files)
+        sides = ("first_text", "second_text", "description")
+        for side in sides:
+            met = providers.apply(met, side, self.embedder, f"__{side}", "array<double>").drop("error")
+        vectors = [F.when(F.coalesce(side, F.lit("")) != "", F.col(f"__{side}")) for side in sides]
+        rates = F.when(F.coalesce("first_text", F.lit("")) != "", evaluate.improvement(*vectors))
+        measured = met.withColumn("rates", rates).withColumn("rag_metrics", F.when(F.col("rates").isNotNull(), F.struct("rates.*", F.lit(now).alias("timestamp"))))
+        measured = analysis.kept(measured.drop(*[f"__{side}" for side in sides], "rates"))
+        batch = measured.where("saved").select("entry_id", "seq", "image_hash", "description", F.col("description").alias("reasoning"), text.texts([]).alias("correct_processes"), "bom_context", "rag_metrics")
+        self.save(batch, now)
+        return measured.select("entry_id", "saved", F.when(F.col("saved"), F.col("rag_metrics.improvement_rate")).alias("improvement_rate"))
+
+    def metric_history(self) -> DataFrame:
+        return store.metric_history(self.cases())
 
     def delete(self, ids: DataFrame) -> None:
         tables.replace(store.delete(self.cases(), ids), f"{self.folder}/cases")
@@ -68,7 +106,7 @@ class CaseStore:
 
     def rebuild(self) -> int:
         """Embed every visible case anew; image vectors that are there stay. Returns how many there are."""
-        texts = store.indexable(self.cases().withColumn("reasoning", F.lit("")))
+        texts = store.indexable(self.cases())
         embedded = providers.apply(texts, "description", self.embedder, "text_vec", "array<double>")
         images = self.vectors().select("entry_id", "image_vec")
         new = embedded.join(images, "entry_id", "left").select("entry_id", F.col("seq").alias("ordinal"), "image_vec", "text_vec")
@@ -82,8 +120,7 @@ class CaseStore:
         return retrieval.cascade(asked, self.searchable(), k)
 
     def analyse(self, requests: DataFrame, catalogue: Sequence[rules.Rule], model: providers.Factory, guide: str = "") -> DataFrame:
-        cases = self.searchable().withColumn("correct_processes", text.texts([]))
-        return analysis.analyse(requests, cases, catalogue, model, self.embedder, guide)
+        return analysis.analyse(requests, self.searchable(), catalogue, model, self.embedder, guide)
 
     def correct_view(self, records: DataFrame) -> None:
         tables.append(records.select(*self.corrections().columns), f"{self.folder}/corrections")
@@ -95,7 +132,7 @@ class CaseStore:
         return found
 
     def stats(self) -> DataFrame:
-        return evaluate.store_stats(self.cases().withColumn("reasoning", F.lit("")))
+        return evaluate.store_stats(self.cases())
 
     def vocabulary(self) -> DataFrame:
         return rules.vocabulary_use(self.cases())
@@ -111,7 +148,7 @@ class CaseStore:
         ready = store.exported(self.shadow(), files).join(files.select(F.col("path").alias("image_path"), "image_hash"), "image_path")
         after = self.cases().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
         order = self.shadow().select("image_path", "seq").groupBy("image_path").agg(F.max("seq").alias("seq"))
-        batch = ready.join(order, "image_path").select(F.col("image_path").alias("entry_id"), (F.col("seq") + after + 1).alias("seq"), "image_hash", "description", "tags")
+        batch = ready.join(order, "image_path").select(F.col("image_path").alias("entry_id"), (F.col("seq") + after + 1).alias("seq"), "image_hash", "description", "correct_processes", "reasoning", "tags")
         n = batch.count()
         self.save(batch, now)
         return n

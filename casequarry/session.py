@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
+def setting(name: str, default: str = "") -> str:
+    """A setting of the library: spark.casequarry.NAME of a running session, else CASEQUARRY_NAME, else a default."""
+    running = SparkSession.getActiveSession()
+    found = running.conf.get(f"spark.casequarry.{name}", None) if running else None
+    return found or os.environ.get(f"CASEQUARRY_{name.upper()}") or default
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the queries are tested under."""
     builder = (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,17 +112,54 @@ def guide(spark: SparkSession, *paths: str) -> str:
 def replace(df: DataFrame, folder: str) -> str:
     """Write a new state of a table beside the old ones, then point to it; returns its path.
 
-    The pointer is one small file that is written last, so a reader sees the old state or the new one.
-    Two writers at once: the later pointer wins, and both states stay on disk.
+    A pointer is one small file in a folder of its own, named by the time it was written, and nothing is
+    ever overwritten: a reader takes the newest pointer that is complete, so it sees the old state or the
+    new one. Two writers at once: the later pointer wins, and both states stay on disk.
     """
-    path = f"{folder}/state-{uuid.uuid4().hex}"
+    mark = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    path = f"{folder}/state-{mark}"
     df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    df.sparkSession.createDataFrame([(f"{mark} {path}",)], "value string").coalesce(1).write.text(f"{folder}/pointer-{mark}")
     return path
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{folder}/current").first()[0])
+    """The newest state of a table; PATH_NOT_FOUND if none was ever written."""
+    newest = spark.read.text(f"{folder}/pointer-*").agg(F.max("value").alias("value")).first()["value"]
+    return spark.read.parquet(newest.split(" ", 1)[1])
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """Whether an error says that there is nothing at a path, and not that what is there can't be read."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def templates(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name, length of a library's templates, PNG files, by name."""
+    return listing(spark, folder, ("png",))
+
+
+def save_files(files: DataFrame, folder: str) -> list[str]:
+    """Write files (name, content) into a folder that executors share; returns the saved names, sorted.
+
+    The writing is done where the rows are; a name that is there is replaced.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for name, content in zip(part["name"], part["content"], strict=True):
+                Path(folder, Path(name).name).write_bytes(content)
+            yield part[["name"]]
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return sorted(row["name"] for row in files.select("name", "content").mapInPandas(write, "name string").collect())
+
+
+def delete_file(path: str) -> bool:
+    """Delete one file; False if it isn't there."""
+    there = Path(path).exists()
+    Path(path).unlink(missing_ok=True)
+    return there
 
 
 def append(df: DataFrame, path: str) -> None:
