@@ -41,10 +41,8 @@ def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.deduplicated(docs).select(
-        "doc_id", "text", F.col("__chunks").alias("n_chunks"), F.col("__removed_chunks").alias("removed_chunks"), F.col("__removed_lines").alias("removed_lines")
-    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.deduplicated(docs).select("doc_id", "text", F.col("__removed_lines").alias("removed_lines"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +96,24 @@ QUERIES = {
     for f in (op1_toxicity, op2_lz_fingerprint, op3_line_dedup, op4_mixing, op5_simhash, op6_bpe, op7_topk, op8_url_filter, op9_langid, op10_pii)
 }
 
-#: Regular expressions and hashes of these are the same in DuckDB; the other operators have no SQL.
+#: Regular expressions and hashes of these are the same in DuckDB; the other operators have no SQL. Line dedup's
+#: chunks are made of its windows, so SQL needs no rolling hash to say what goes.
 ORACLE_SQL = {
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+        paired AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM lines),
+        pieces AS (
+            SELECT doc_id, i, 2 AS n, line || chr(10) || after AS bytes FROM paired WHERE after IS NOT NULL
+            UNION ALL SELECT doc_id, i, 1, line FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, i) AS nth FROM pieces WHERE regexp_matches(bytes, '[^\x20\x09-\x0D]')),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM numbered WHERE nth > 1),
+        judged AS (SELECT l.*, g.i IS NOT NULL AS goes FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i),
+        joined AS (
+            SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '') AS text, count(*) FILTER (goes)::INT AS removed_lines FROM judged GROUP BY doc_id)
+        SELECT d.doc_id, j.text, coalesce(j.removed_lines, 0)::INT AS removed_lines FROM documents d LEFT JOIN joined j USING (doc_id)""",
     "op4_mixing": r"""
         WITH sizes AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
