@@ -16,13 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casequarry.llm.common import cut
+
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 
-BLOCK_SCHEMA = "ids binary, terms int, weights binary"
+#: A block as compressed sparse rows: ids, where each row begins, and the terms and weights of its components.
+BLOCK_SCHEMA = "ids binary, begins binary, terms binary, weights binary"
 HIT_SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -38,38 +42,42 @@ def _pack(rows_per_block: int):
         for batch in batches:
             for start in range(0, batch.num_rows, rows_per_block):
                 part = batch.slice(start, rows_per_block)
-                ids = np.asarray(part.column(0), dtype=np.int64)
-                rows = [np.asarray(row, dtype=np.int64) for row in part.column(1).to_pylist()]
-                width = max(map(len, rows), default=0)
-                dense = np.zeros((len(rows), width), dtype=np.int64)
-                for i, row in enumerate(rows):
-                    dense[i, : len(row)] = row
-                order = np.argsort(ids, kind="stable")
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "ids": pa.array([ids[order].tobytes()], pa.binary()),
-                        "terms": pa.array([width], pa.int32()),
-                        "weights": pa.array([dense[order].tobytes()], pa.binary()),
-                    }
-                )
+                part = part.take(pa.array(np.argsort(np.asarray(part.column(0), dtype=np.int64), kind="stable")))
+                lengths = np.asarray(pc.list_value_length(part.column(1)), dtype=np.int64)
+                values = np.asarray(pc.fill_null(part.column(1).flatten(), 0), dtype=np.int64)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                term = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                used = np.flatnonzero(values)
+                begins = np.searchsorted(row[used], np.arange(len(lengths) + 1))
+                parts = (np.asarray(part.column(0), dtype=np.int64), begins, term[used].astype(np.int32), values[used])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["ids", "begins", "terms", "weights"])
 
     return pack
 
 
-def _unpack(ids: bytes, terms: int, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    names = np.frombuffer(ids, dtype=np.int64)
-    return names, np.frombuffer(weights, dtype=np.int64).reshape(len(names), terms)
+def _unpack(ids: bytes, begins: bytes, terms: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(begins, np.int64), np.frombuffer(terms, np.int32), np.frombuffer(weights, np.int64)
+
+
+def postings_of(begins: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows that hold each term of a block, and its weights there."""
+    rows = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    order = np.argsort(terms, kind="stable")
+    names, starts = np.unique(terms[order], return_index=True)
+    ends = [*starts[1:], len(order)]
+    return {int(t): (rows[order[s:e]], weights[order[s:e]]) for t, s, e in zip(names, starts, ends, strict=True)}
 
 
-def block_scores(query: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+def block_scores(terms: np.ndarray, weights: np.ndarray, postings: dict[int, tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
     """Dense scores of one sparse query row over a block, accumulated term after term."""
     scores = np.zeros(rows, dtype=np.int64)
-    for term in np.flatnonzero(query[: len(postings)]):
-        docs, weights = postings[term]
-        if len(docs) == rows:
-            scores += query[term] * weights
-        else:
-            scores[docs] += query[term] * weights
+    for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
+        if term in postings:
+            docs, others = postings[term]
+            if len(docs) == rows:
+                scores += weight * others
+            else:
+                scores[docs] += weight * others
     return scores
 
 
@@ -91,15 +99,13 @@ def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair in batch.to_pylist():
-                names, dense = _unpack(pair["ids"], pair["terms"], pair["weights"])
-                postings = []
-                for term in range(dense.shape[1]):
-                    docs = np.flatnonzero(dense[:, term])
-                    postings.append((docs, np.ascontiguousarray(dense[docs, term])))
-                query_ids, queries = _unpack(pair["q_ids"], pair["q_terms"], pair["q_weights"])
+                names, *packed = _unpack(pair["ids"], pair["begins"], pair["terms"], pair["weights"])
+                postings = postings_of(*packed)
+                query_ids, begins, terms, weights = _unpack(pair["q_ids"], pair["q_begins"], pair["q_terms"], pair["q_weights"])
                 out_q, out_v, out_s = [], [], []
-                for query_id, query in zip(query_ids, queries, strict=True):
-                    scores = block_scores(query, postings, len(names))
+                for i, query_id in enumerate(query_ids):
+                    own = slice(begins[i], begins[i + 1])
+                    scores = block_scores(terms[own], weights[own], postings, len(names))
                     found = best(scores, names, query_id, k)
                     out_q.append(np.full(len(found), query_id))
                     out_v.append(names[found])
@@ -121,7 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
 
     Both frames have ``vec_id`` long and ``weights`` array<long>. Returns query_id, rank (from 1),
     vec_id, score. A row is no candidate for a query of its own vec_id. Rows whose id or weights are
-    null take no part; repeated rows are candidates each; a missing component counts as zero; ties go
+    null take no part; repeated rows are candidates each; a missing or null component counts as zero; ties go
     to the smaller vec_id; an empty table gives no rows. A query id that is repeated is searched once
     for each distinct vector, and those results are ranked together.
     """
@@ -131,8 +137,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
     candidates = slim(vectors).mapInArrow(_pack(block_rows), BLOCK_SCHEMA)
     distinct = slim(queries).distinct()
     # few full blocks of queries rather than one for each small partition: every block meets every other
-    asked = distinct.repartition(max(1, math.ceil(distinct.count() / query_rows))).mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
-    pairs = candidates.crossJoin(asked.selectExpr("ids AS q_ids", "terms AS q_terms", "weights AS q_weights"))
+    parts = max(1, math.ceil(distinct.count() / query_rows))
+    asked = distinct.repartition(parts).mapInArrow(_pack(query_rows), BLOCK_SCHEMA)
+    if parts > 1:  # else every part of the queries would pack the candidates anew
+        candidates, asked = cut(candidates), cut(asked)
+    pairs = candidates.crossJoin(asked.selectExpr(*[f"{name} AS q_{name}" for name in ("ids", "begins", "terms", "weights")]))
     hits = pairs.mapInArrow(_search(k), HIT_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
