@@ -7,9 +7,9 @@ filter passes the keys that may be listed; the join with the list itself decides
 positives cost a little work and change nothing.
 
 The filter is a row of 64-byte blocks, and all bits of a key lie in one block, so a lookup touches
-one cache line. It is built by the executors, merged block by block, and broadcast only while it is
-under ``max_filter_bytes``; a longer list
-goes to the join without a filter, with the same result.
+one cache line. It is built by the executors in shares, ranges of blocks. A filter of few shares is
+broadcast; of a longer one, no place ever holds more than a share: keys are dealt to the shares that
+their blocks lie in, and each task reads a share and then its keys.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casequarry.llm.common import columns_of
+
 BLOCK_BITS = 512
 HASHES = 8
 BITS_PER_KEY = 16
-#: Above this many bytes the filter is not broadcast and the join alone decides.
+#: Above this many bytes the filter is not broadcast but dealt out with the keys.
 MAX_FILTER_BYTES = 64 << 20
+#: Blocks of a share: 256 KB.
+SHARE_BLOCKS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -65,64 +70,92 @@ def _bits(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), ((low & np.uint64(0xFFFFFFFF)) >> np.uint64(23)).astype(np.int64)
 
 
-def filled(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """The bits of a filter of ``blocks`` blocks that holds ``hashes``: one row of bytes a block."""
-    bits = np.zeros((blocks, BLOCK_BITS), dtype=bool)
-    block, bit = _bits(hashes, blocks)
-    bits[block[:, None], bit] = True
-    return np.packbits(bits, axis=1, bitorder="little")
-
-
 def might_hold(filter_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     block, bit = _bits(hashes, len(filter_bytes))
     return ((filter_bytes[block[:, None], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def build_filter(keys: DataFrame, n_keys: int, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarray | None:
-    """A blocked Bloom filter of the column ``key``, or None where it would be over ``max_bytes``.
+def share_of(hashes: Column, blocks: int) -> Column:
+    """The share in which the block of a hash lies."""
+    return F.floor((F.shiftrightunsigned(hashes, 32) % F.lit(blocks)) / F.lit(SHARE_BLOCKS))
 
-    Every executor fills the blocks of its own share of the block numbers, so no bitmap is merged on
-    the driver but by placing disjoint blocks side by side.
+
+def filter_shares(keys: DataFrame, blocks: int) -> DataFrame:
+    """share, bits: a blocked Bloom filter of the column ``key``, one row a share that holds a key.
+
+    Keys may repeat; a null key is left out; without keys there is no row.
     """
-    blocks = max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
-    if blocks * BLOCK_BITS // 8 > max_bytes:
-        return None
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = pdf["hash"].to_numpy().view(np.uint64)
-        mine = np.unique(_bits(hashes, blocks)[0])
-        whole = filled(hashes, blocks)[mine] if blocks <= 4096 else _fill_sparse(hashes, mine, blocks)
-        return pd.DataFrame({"block": mine, "bits": [row.tobytes() for row in whole]})
+        hashes, share = pdf["hash"].to_numpy().view(np.uint64), int(pdf["share"].iloc[0])
+        block, bit = _bits(hashes, blocks)
+        bits = np.zeros((SHARE_BLOCKS, BLOCK_BITS), dtype=bool)
+        bits[(block - share * SHARE_BLOCKS)[:, None], bit] = True
+        return pd.DataFrame({"share": [share], "bits": [np.packbits(bits, axis=1, bitorder="little").tobytes()]})
+
+    hashed = keys.where("key IS NOT NULL").select(F.xxhash64("key").alias("hash")).distinct()
+    return hashed.withColumn("share", share_of(F.col("hash"), blocks)).groupBy("share").applyInPandas(fill, "share long, bits binary")
 
-    hashed = keys.select(F.xxhash64("key").alias("hash")).distinct()
-    share = F.pmod(F.shiftrightunsigned("hash", 32) % F.lit(blocks), F.lit(max(1, blocks // 4096)))
-    rows = hashed.groupBy(share.alias("share")).applyInPandas(lambda pdf: fill(pdf), "block long, bits binary").collect()
-    out = np.zeros((blocks, BLOCK_BITS // 8), dtype=np.uint8)
-    for row in rows:
-        out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
 
+def build_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """The whole filter as rows of bytes, for lists whose filter may be broadcast."""
+    blocks = blocks_for(n_keys)
+    out = np.zeros((-(-blocks // SHARE_BLOCKS) * SHARE_BLOCKS, BLOCK_BITS // 8), dtype=np.uint8)
+    for row in filter_shares(keys, blocks).toLocalIterator():
+        out[row["share"] * SHARE_BLOCKS : (row["share"] + 1) * SHARE_BLOCKS] = np.frombuffer(row["bits"], dtype=np.uint8).reshape(SHARE_BLOCKS, -1)
+    return out[:blocks]
 
-def _fill_sparse(hashes: np.ndarray, mine: np.ndarray, blocks: int) -> np.ndarray:
-    block, bit = _bits(hashes, blocks)
-    bits = np.zeros((len(mine), BLOCK_BITS), dtype=bool)
-    bits[np.searchsorted(mine, block)[:, None], bit] = True
-    return np.packbits(bits, axis=1, bitorder="little")
+
+def blocks_for(n_keys: int) -> int:
+    return max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
+
+
+def dealt_hits(keyed: DataFrame, entries: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``keyed`` whose key the filter may hold, without the whole filter in any place.
+
+    Shares and keys are dealt by share and sorted, each share before its keys, and read one after the other.
+    """
+    hashed = keyed.withColumns({"__hash": F.xxhash64("key")}).withColumn("__share", share_of(F.col("__hash"), blocks))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema]
+    shares = filter_shares(entries, blocks).select(*nothing, F.lit(0).cast("long").alias("__hash"), F.col("share").alias("__share"), "bits")
+    both = hashed.select(*columns_of(keyed.columns), "__hash", "__share", F.lit(None).cast("binary").alias("bits")).unionByName(shares)
+    both = both.withColumn("__key", F.col("bits").isNull())
+
+    columns = keyed.columns
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = None, None
+        for batch in batches:
+            share, hashes, held = batch.column("__share").to_numpy(), batch.column("__hash").to_numpy().view(np.uint64), batch.column("bits")
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            begins = np.flatnonzero(np.diff(share, prepend=-1))
+            for start, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if share[start] != at:
+                    at, bits = share[start], None
+                if held[int(start)].is_valid:
+                    bits = np.frombuffer(held[int(start)].as_py(), dtype=np.uint8).reshape(SHARE_BLOCKS, -1)
+                    start += 1
+                if bits is not None and start < end:
+                    block, bit = _bits(hashes[start:end], blocks)
+                    row = (block - int(at) * SHARE_BLOCKS)[:, None]
+                    keep[start:end] = ((bits[row, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
+            yield batch.select(columns).filter(pa.array(keep))
+
+    sorted_ = both.repartition("__share").sortWithinPartitions("__share", "__key")
+    return sorted_.mapInArrow(pass_on, keyed.schema)
 
 
 def listed_hits(keyed: DataFrame, entries: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Rows of ``keyed`` (a column ``key``) joined with the ``entries`` of that key.
 
-    The filter drops keys that are surely not listed before anything is shuffled.
+    The filter drops keys that are surely not listed before the join: null keys, and all keys of an empty
+    list, go there too. Rows that repeat are joined each.
     """
-    spark = keyed.sparkSession
     n_keys = entries.count()
-    if n_keys == 0:
-        return keyed.join(entries, "key")
-    bloom = build_filter(entries, n_keys, max_filter_bytes)
-    if bloom is None:
-        return keyed.join(entries, "key")
-    shared = spark.sparkContext.broadcast(bloom)
+    blocks = blocks_for(n_keys)
+    if blocks * BLOCK_BITS // 8 > max_filter_bytes:
+        return dealt_hits(keyed, entries, blocks).join(entries, "key")
+    shared = keyed.sparkSession.sparkContext.broadcast(build_filter(entries, n_keys))
 
     @F.pandas_udf("boolean")
     def possible(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -130,7 +163,7 @@ def listed_hits(keyed: DataFrame, entries: DataFrame, max_filter_bytes: int = MA
         for part in hashes:
             yield pd.Series(might_hold(bits, part.to_numpy().view(np.uint64)))
 
-    return keyed.where(possible(F.xxhash64("key"))).join(entries, "key")
+    return keyed.where(F.col("key").isNotNull() & possible(F.xxhash64("key"))).join(entries, "key")
 
 
 def judge(pages: DataFrame, rules: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, default: str = "allow") -> DataFrame:

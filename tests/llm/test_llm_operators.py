@@ -237,7 +237,20 @@ def test_blocked_filter_has_no_false_negatives(spark):
     assert url_filter.might_hold(bits, hashes).all()
     others = np.random.default_rng(1).integers(0, 1 << 63, 20000).astype(np.uint64)
     assert url_filter.might_hold(bits, others).mean() < 0.02
-    assert url_filter.build_filter(keys, 5000, max_bytes=10) is None
+
+
+def test_a_filter_dealt_in_shares_passes_the_same_keys(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARE_BLOCKS", 16)
+    entries = spark.createDataFrame([(f"host{i}\n/p",) for i in range(3000)], "key string")
+    keyed = spark.createDataFrame([(f"host{i}\n/p" if i % 3 else None, i) for i in range(2000, 6000)] + [("host7\n/p", 7)] * 3, "key string, n int")
+    blocks = url_filter.blocks_for(3000)
+    passed = {r["n"] for r in url_filter.dealt_hits(keyed, entries, blocks).collect()}
+    bits = url_filter.build_filter(entries, 3000)
+    rows = keyed.where("key IS NOT NULL").select("n", F.xxhash64("key").alias("h")).collect()
+    held = url_filter.might_hold(bits, np.array([r["h"] for r in rows]).view(np.uint64))
+    assert passed - {r["n"] for r in keyed.where("key IS NULL").collect()} == {r["n"] for r, hit in zip(rows, held, strict=True) if hit}
+    whole, dealt = (sorted(map(tuple, url_filter.listed_hits(keyed, entries, size).collect())) for size in (1 << 20, 1))
+    assert whole == dealt and len(whole) == sum(1 for i in range(2000, 3000) if i % 3) + 3
 
 
 def test_url_rules_without_a_filter_and_without_rules(spark):
