@@ -92,7 +92,9 @@ def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs
         .otherwise(F.lit(0))
     )
     taken = (F.col("whole") * F.col("size") + part).cast("long")
-    return _measured(docs, seed, keep).join(F.broadcast(plan) if small else plan, "key").select("row", "size", "source_size", "target", taken.alias("taken"))
+    # ids are in the checkpoint already, so texts are read once more only where they are kept
+    rows = slim.withColumn("row", F.struct("at.doc_id")) if keep == ["doc_id"] else _measured(docs, seed, keep)
+    return rows.join(F.broadcast(plan) if small else plan, "key").select("row", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
