@@ -56,23 +56,26 @@ def common_words(queries: DataFrame, cases: DataFrame, least: float = 0.0) -> Da
     little else, and no hot word pairs all with all. Sizes that can't reach the likeness are ruled out in
     the join, and candidates are compared by their whole sets.
     """
-    asked = queries.select("query_id", text.tokens(F.col("description")).alias("words"))
-    stored = cases.select("entry_id", "seq", text.tokens(F.col("description")).alias("words"))
+    asked = queries.select("query_id", text.tokens(F.col("description")).alias("q_words")).withColumn("q_size", F.size("q_words")).where("q_size > 0")
+    stored = cases.select("entry_id", "seq", text.tokens(F.col("description")).alias("words")).withColumn("size", F.size("words")).where("size > 0")
     often = stored.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def rarest(rows: DataFrame, key: list[str]) -> DataFrame:
-        sized = rows.withColumn("size", F.size("words"))
-        each = sized.select(*key, "size", F.explode("words").alias("word")).join(often, "word", "left")
-        listed = each.groupBy(*key, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by"))
-        first = F.col("size") - F.greatest(F.ceil(F.lit(least) * F.col("size") - F.lit(1e-9)), F.lit(1)) + 1
-        return listed.select(*key, "size", F.transform("by", lambda x: x["word"]).alias("words"), F.explode(F.transform(F.slice("by", F.lit(1), first.cast("int")), lambda x: x["word"])).alias("word"))
-
-    left = rarest(asked, ["query_id"]).select("query_id", F.col("size").alias("q_size"), F.col("words").alias("q_words"), "word")
-    right = rarest(stored, ["entry_id", "seq"])
-    able = (F.least("size", "q_size") >= F.greatest("size", "q_size") * F.lit(least) - F.lit(1e-9)) if least > 0 else F.lit(True)
+    def rarest(rows: DataFrame, key: list[str], words: str, size: str) -> DataFrame:
+        first = F.col(size) - F.greatest(F.ceil(F.lit(least) * F.col(size) - F.lit(1e-9)), F.lit(1)) + 1
+        each = rows.select(*key, size, F.explode(words).alias("word"))
+        if least <= 0:
+            return each
+        listed = each.join(often, "word", "left").groupBy(*key, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by"))
+        return listed.select(*key, size, F.explode(F.transform(F.slice("by", F.lit(1), first.cast("int")), lambda x: x["word"])).alias("word"))
+
+    left, right = rarest(asked, ["query_id"], "q_words", "q_size"), rarest(stored, ["entry_id", "seq"], "words", "size")
+    able = F.least("size", "q_size") >= F.greatest("size", "q_size") * F.lit(least) - F.lit(1e-9)
+    met = right.join(left, "word").where(able).select("query_id", "entry_id", "seq").distinct()
+    # sets are fetched once a candidate, not once a word
+    pairs = met.join(stored, ["entry_id", "seq"]).join(asked, "query_id")
     common = F.size(F.array_intersect("q_words", "words"))
-    pairs = right.join(left, "word").where(able).select("query_id", "entry_id", "seq", (common / (F.col("q_size") + F.col("size") - common)).alias("score"))
-    return pairs.where(F.col("score") >= least).distinct()
+    scored = pairs.select("query_id", "entry_id", "seq", (common / (F.col("q_size") + F.col("size") - common)).alias("score"))
+    return scored.where((F.col("score") >= least) & (F.col("score") > 0)).distinct()
 
 
 def jaccard_search(cases: DataFrame, query: str, k: int = 3) -> DataFrame:
