@@ -65,7 +65,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 def agents(spark: SparkSession) -> DataFrame:
     """domain, code: the agents' candidates, one row a code."""
-    return spark.createDataFrame([(domain, code) for domain, codes in AGENT_CODES.items() for code in codes], "domain string, code string")
+    rows = [F.struct(F.lit(domain).alias("domain"), F.lit(code).alias("code")) for domain, codes in AGENT_CODES.items() for code in codes]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def request(requests: DataFrame) -> DataFrame:
