@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,9 +23,12 @@ from pyspark.sql import types as T
 
 #: Hashes in a fingerprint.
 SIZE = 64
-#: About so many documents lie in a bucket of the order by id; at most MAX_BUCKETS buckets are made.
-BUCKET_ROWS = 512
-MAX_BUCKETS = 10_000
+#: About so many documents lie in a range of the order by id. There are at most MAX_RANGES, as many as a shuffle
+#: has use for tasks: beyond that ranges grow, and a task still holds two documents at a time.
+RANGE_ROWS = 512
+MAX_RANGES = 100_000
+#: Ids that are looked at to lay a range's bounds.
+SAMPLED = 20
 
 
 def parse(data: bytes, phrases: set[bytes]) -> tuple[list[bytes], int]:
@@ -138,35 +141,57 @@ def likeness_of(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
+def _bounds(ids: DataFrame) -> list[int]:
+    """Where the ranges of a column ``ord`` begin, by a sample; an id that fills several ranges is there several times."""
+    rows = ids.count()
+    n = min(MAX_RANGES, math.ceil(rows / RANGE_ROWS))
+    if n < 2:
+        return []
+    share = SAMPLED * n / rows
+    seen = np.sort((ids.sample(share, seed=42) if share < 1 else ids).toArrow()["ord"].to_numpy())
+    return seen[np.arange(1, n) * len(seen) // n].tolist() if len(seen) else []
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """``docs`` dealt by ranges of the id and sorted, each range followed by the next one's first row.
 
-    Columns bucket, extra (1 for that copy), doc_id, text. One shuffle of the texts; ranges are bounded
-    by approximate quantiles of the ids, and their first ids are all that the driver gets.
+    Columns bucket, extra (1 for that copy), doc_id, text. Rows that share an id follow each other by a hash
+    of the text, and by the text. An id that fills several ranges is dealt to them by that hash. One shuffle of
+    the texts; the bounds and the ranges' first rows, as id and hash, are all that the driver gets.
     """
     spark = docs.sparkSession
     lowest = F.lit(-(1 << 63))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("ord"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n_buckets = min(MAX_BUCKETS, max(1, math.ceil(docs.count() / BUCKET_ROWS)))
-    bounds = slim.approxQuantile("ord", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets) if n_buckets > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    steps = [1 << i for i in reversed(range(max(1, len(bounds)).bit_length()))]
-    if bounds:
-        edges, size = F.lit(bounds), F.lit(len(bounds))
-        climb = lambda at, step: F.when((at + step <= size) & (F.element_at(edges, F.least(at + step, size)) <= F.col("ord")), at + step).otherwise(at)
-        bucket = F.aggregate(F.lit(steps), F.lit(0), climb)
-    else:
-        bucket = F.lit(0)
-    slim = slim.withColumn("bucket", bucket)
-    firsts = slim.groupBy("bucket").agg(F.min("ord").alias("first")).orderBy("bucket").collect()
-    follows = [(firsts[(i + 1) % len(firsts)]["first"], row["bucket"]) for i, row in enumerate(firsts)]
-    heads = spark.createDataFrame(follows, "head long, before int")
-    places = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))))
-    dealt = slim.join(F.broadcast(heads), F.col("ord") == F.col("head"), "left").select("ord", "doc_id", "text", F.explode(places).alias("place"))
+    slim = slim.withColumn("tie", F.xxhash64("text"))
+    bounds = _bounds(slim.select("ord"))
+    edges = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def passed(is_passed: Callable[[Column], Column]) -> Column:
+        """How many of the bounds are passed, by binary search."""
+        climb = lambda at, step: F.when((at + step <= len(bounds)) & is_passed(F.element_at(edges, F.least(at + step, F.lit(len(bounds))))), at + step).otherwise(at)
+        return F.aggregate(steps, F.lit(0), climb) if bounds else F.lit(0)
+
+    crowded = len(set(bounds)) < len(bounds)
+    slim = slim.withColumn("bucket", passed(lambda edge: edge <= F.col("ord")))
+    if crowded:  # as many ranges as bounds equal the id, by the upper half of the hash, so that they are in its order
+        several = F.greatest(F.col("bucket") - passed(lambda edge: edge < F.col("ord")), F.lit(1))
+        upper = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 32)
+        slim = slim.withColumn("bucket", (F.col("bucket") - several + 1 + F.shiftright(upper * several, 32)).cast("int"))
+    # Without crowded ids the texts needn't be read to find the first rows: a few copies too many do no harm.
+    found = slim.groupBy("bucket").agg(F.min(F.struct("ord", F.col("tie") if crowded else F.lit(0).cast("long").alias("tie"))).alias("first"))
+    firsts = found.select("bucket", "first.ord", "first.tie").orderBy("bucket").toArrow().to_pylist()
+    follows = [(firsts[(i + 1) % len(firsts)], row["bucket"]) for i, row in enumerate(firsts)]
+    heads = spark.createDataFrame([(row["bucket"], row["ord"], row["tie"], before) for row, before in follows], "bucket int, head long, head_tie long, before int")
+    is_head = (slim["bucket"] == heads["bucket"]) & (F.col("ord") == F.col("head"))
+    if crowded:
+        is_head &= F.col("tie") == F.col("head_tie")
+    places = F.array_compact(F.array(F.struct(slim["bucket"], F.lit(0).alias("extra")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra")))))
+    dealt = slim.join(F.broadcast(heads), is_head, "left").select("ord", "tie", "doc_id", "text", F.explode(places).alias("place"))
     return (
-        dealt.select("place.bucket", "place.extra", "ord", "doc_id", "text")
+        dealt.select("place.bucket", "place.extra", "ord", "tie", "doc_id", "text")
         .repartition("bucket")
-        .sortWithinPartitions("bucket", "extra", "ord", "text")
+        .sortWithinPartitions("bucket", "extra", "ord", "tie", "text")
         .select("bucket", "extra", "doc_id", "text")
     )
 
@@ -178,7 +203,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     of the next document by ascending id; the last is followed by the first. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is empty, an
     empty fingerprint is the empty string, and two of those have likeness 1. Null ids come first, and
-    rows that share an id follow each other by text. An empty table gives no rows, and a single
+    rows that share an id follow each other by XXH64 (seed 42, signed) of the text. An empty table gives no rows, and a single
     document is followed by itself.
     """
 
