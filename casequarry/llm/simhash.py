@@ -72,13 +72,14 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints ``fp`` of ``nodes`` at ``distance`` or fewer bits.
 
     Each is found at least once. ``distance`` is at most 3: with two segments the ball of radius one is
-    then enough.
+    then enough. A node becomes some 36 rows, so the slim table is dealt to all tasks before.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of radius one serve distances up to 3")
-    mask = (1 << SEGMENT_BITS) - 1
+    spark, mask = nodes.sparkSession, (1 << SEGMENT_BITS) - 1
     segments = [F.shiftrightunsigned("fp", SEGMENT_BITS), F.col("fp").bitwiseAND(F.lit(mask))]
     tag = [0, 1 << SEGMENT_BITS]  # keeps the keys of the two tables apart
+    nodes = nodes.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "fp")
     index = nodes.select(F.explode(F.array(*[s.bitwiseOR(F.lit(t).cast("long")) for s, t in zip(segments, tag, strict=True)])).alias("key"), F.col("fp").alias("b"))
     balls = []
     for segment, t in zip(segments, tag, strict=True):
