@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +27,8 @@ from casequarry.llm.common import fresh
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+#: A word, or what ends a sentence.
+TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 #: Lengths of the beginnings of words that are features beside the words.
 PREFIXES = (4, 6)
 
@@ -47,6 +48,10 @@ class Settings:
     #: L1 penalty at max_docs documents: evidence below it gives no weight. It goes with the root of their
     #: number, as the chance evidence of a word does.
     penalty: float = 0.4
+    #: Every so many rounds all features are looked at. In between, those without a weight rest whose gradient
+    #: was below this share of the penalty: it takes more than the penalty to give them one.
+    look: int = 10
+    nap: float = 0.5
 
 
 @dataclass(frozen=True)
@@ -65,50 +70,79 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order; sorting them is faster here than numpy's hashing."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _pairs(texts: list[str], min_docs: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the features that ``min_docs`` texts have, which sentence has which (two arrays), and each sentence's text.
+
+    Sentences without such a feature are left out.
+    """
+    number = dict.fromkeys(".!?\n", 0)
+    tokens, lengths = array("i"), []
+    for text in texts:
+        before = len(tokens)
+        tokens.append(0)  # a text begins a sentence
+        for token in TOKEN.findall(text.lower()):
+            tokens.append(number.setdefault(token, len(number)))
+        lengths.append(len(tokens) - before)
+    at: dict[str, int] = {}
+    of_word = [[] if not i else [at.setdefault(f, len(at)) for f in features(word)] for word, i in number.items()]
+    n_of = np.array([len(found) for found in of_word], dtype=np.int64)
+    first, flat = np.cumsum(n_of) - n_of, np.array([f for found in of_word for f in found], dtype=np.int64)
+    word = np.frombuffer(tokens, dtype=np.int32)
+    doc, sentence = np.repeat(np.arange(len(texts)), lengths), np.cumsum(word == 0)
+
+    def distinct(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of a group and a feature, in order."""
+        own, of = np.divmod(_distinct(group * len(of_word) + word), len(of_word))
+        n = n_of[of]
+        place = np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.divmod(_distinct(np.repeat(own, n) * len(at) + flat[place]), max(1, len(at)))
+
+    often = np.bincount(distinct(doc)[1], minlength=len(at)) >= min_docs
+    names = [name for name, enough in zip(at, often, strict=True) if enough]
+    own, of = distinct(sentence)
+    own, of = own[often[of]], (np.cumsum(often) - 1)[of[often[of]]]
+    kept = _distinct(own)
+    return names, np.searchsorted(kept, own), of, doc[np.searchsorted(sentence, kept)]
+
+
 def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
     """Train on whole texts and their labels; without a positive one the model calls nothing toxic."""
     if not any(labels):
         return Model({}, -20.0, 0.0)
-    seen: Counter[str] = Counter()
-    for text in texts:
-        seen.update({f for word in set(WORD.findall(text.lower())) for f in features(word)})
-    names = sorted(word for word, n in seen.items() if n >= settings.min_docs)
-    at = {name: i for i, name in enumerate(names)}
-    of_word: dict[str, list[int]] = {}
-    doc_of, sentence_of, feature_of = array("i"), array("i"), array("i")
-    n_sentences = 0
-    for doc, text in enumerate(texts):
-        for sentence in sentences(text.lower()):
-            found: set[int] = set()
-            for word in WORD.findall(sentence):
-                if word not in of_word:
-                    of_word[word] = [at[f] for f in features(word) if f in at]
-                found.update(of_word[word])
-            if found:
-                sentence_of.extend([n_sentences] * len(found))
-                feature_of.extend(found)
-                doc_of.append(doc)
-                n_sentences += 1
+    names, row, column, owner = _pairs(texts, settings.min_docs)
+    n_sentences = len(owner)
     if not n_sentences:
         return Model({}, -20.0, float(np.mean(labels)))
-    owner, row, column = (np.frombuffer(part, dtype=np.int32) for part in (doc_of, sentence_of, feature_of))
     truth = np.array(labels, dtype=bool)
     base = float(truth.mean())
     weights, bias, leak = np.zeros(len(names)), math.log(base / max(1.0, n_sentences / len(texts))), math.log(settings.leak / (1 - settings.leak))
     penalty = settings.penalty * math.sqrt(len(texts) / settings.max_docs)
     past, past_bias, past_leak = np.full(len(names), 1e-8), 1e-8, 1e-8
-    for _ in range(settings.rounds):
-        z = bias + np.bincount(row, weights[column], n_sentences)
+    awake, some = np.ones(len(names), dtype=bool), (row, column)
+    for turn in range(settings.rounds):
+        look = turn % settings.look == 0
+        at, of = (row, column) if look else some
+        z = bias + np.bincount(at, weights[of], n_sentences)
         p = 1 / (1 + np.exp(-z))
         leak_p = 1 / (1 + math.exp(-leak))
         clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)) + math.log1p(-leak_p))
         pull = np.where(truth, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         slope = pull[owner] * p
-        gradient = np.bincount(column, slope[row], len(names))
-        past += gradient**2
+        gradient = np.bincount(of, slope[at], len(names))
+        past += gradient**2 * np.where(awake, 1, settings.look)
         step = settings.rate / np.sqrt(past)
         moved = weights - step * gradient
         weights = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        if look:
+            awake = (weights != 0) | (np.abs(gradient) > settings.nap * penalty)
+            chosen = awake[column]
+            some = row[chosen], column[chosen]
         total, total_leak = float(slope.sum()), float(pull.sum()) * leak_p
         past_bias, past_leak = past_bias + total**2, past_leak + total_leak**2
         bias -= settings.rate * total / math.sqrt(past_bias)
