@@ -1,12 +1,14 @@
 """The operators' own interfaces and properties, beyond the query contracts."""
 
 import base64
+import hashlib
 import math
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,6 +81,25 @@ def test_fingerprint_columns(spark):
     assert both.select(lz_fingerprint.likeness_of(F.lit(None).cast("string"), F.col("second"))).first()[0] is None
 
 
+@pytest.mark.parametrize("rows_a_range", [4, 1000])
+def test_crowded_ids_are_dealt_to_several_ranges(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(lz_fingerprint, "RANGE_ROWS", rows_a_range)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 50} " * (i % 9)) for i in range(150)] + [(400, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda text: (h := xxhash.xxh64_intdigest(text, 42)) - (1 << 64 if h >> 63 else 0)
+    plain = sorted(((i, t or "") for i, t in rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1]), r[1]))
+    want = []
+    for (i, text), (_, following) in zip(plain, plain[1:] + plain[:1], strict=True):
+        edited = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+        own, other = lz_fingerprint.fingerprint(text), lz_fingerprint.fingerprint(following)
+        want.append((str(i), hashlib.sha256(edited.encode()).hexdigest(), lz_fingerprint.as_text(own), lz_fingerprint.likeness(own, other)))
+    got = [(str(r["doc_id"]), r["edited_sha256"], r["fingerprint"], r["near_next"]) for r in lz_fingerprint.neighbours(docs).collect()]
+    assert sorted(got) == sorted(want)
+    if rows_a_range == 4:
+        sizes = [r["n"] for r in lz_fingerprint._in_order(docs).where("extra = 0").groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 20 and max(sizes) < 40
+
+
 def test_neighbours_with_ties_and_nulls(spark):
     docs = spark.createDataFrame([(None, "aaaa"), (1, "bbbbbbbb"), (1, "cccccccc"), (1, "cccccccc"), (2, None)], "doc_id long, text string")
     found = sorted((str(r["doc_id"]), r["n_chars"]) for r in lz_fingerprint.neighbours(docs).collect())
@@ -202,6 +223,42 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert toxicity.fit([], []) == toxicity.Model({}, -20.0, 0.0)
 
 
+def test_toxicity_pairs_and_scores_by_brute_force(spark, small):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()][:40] + ["", "One. two!\nONE two two", "...", "½ 12"]
+    seen = {}
+    for text in texts:
+        for f in {f for w in toxicity.WORD.findall(text.lower()) for f in toxicity.features(w)}:
+            seen[f] = seen.get(f, 0) + 1
+    want = []
+    for i, text in enumerate(texts):
+        for sentence in toxicity.sentences(text.lower()):
+            if found := {f for w in toxicity.WORD.findall(sentence) for f in toxicity.features(w) if seen[f] >= 3}:
+                want.append((i, found))
+    names, row, column, owner = toxicity._pairs(texts, 3)
+    got = [(int(i), set()) for i in owner]
+    for r, c in zip(row, column, strict=True):
+        got[r][1].add(names[c])
+    assert got == want and len(row) == sum(len(found) for _, found in want)
+    model = toxicity.Model({name: (-1) ** i * 0.1 * (i % 7) for i, name in enumerate(names)}, -2.0, 0.01)
+    scored = toxicity.score_documents(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()
+    for r in scored:
+        clean = 0.99
+        for sentence in toxicity.sentences(r["text"].lower()):
+            if words := toxicity.WORD.findall(sentence):
+                z = -2.0 + sum(model.weights.get(f, 0.0) for f in {f for w in words for f in toxicity.features(w)})
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert math.isclose(r["score"], 1 - clean, abs_tol=1e-9)
+
+
+def test_toxicity_rests_features_without_harm():
+    noise = [f"word{i} filler{i % 7} and{i % 3} so on. Another sentence {i % 11} here" for i in range(300)]
+    texts = [t + (". You vile wretch" if i % 4 == 0 else "") for i, t in enumerate(noise)]
+    labels = [int(i % 4 == 0) for i in range(300)]
+    for look in (1, 10):
+        scorer = toxicity.Scorer(toxicity.fit(texts, labels, toxicity.Settings(look=look)))
+        assert [scorer(t)[0] >= 0.5 for t in texts] == [bool(label) for label in labels]
+
+
 def test_toxicity_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "x" * 10) for i in range(100)] + [(5, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(6, 1), (None, 1), (7, None)], "doc_id long, toxic int")
