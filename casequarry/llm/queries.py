@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequarry.llm import bpe, langid, line_dedup, lz_fingerprint, mixing, pii, simhash, topk, toxicity, url_filter
-from casequarry.llm.common import remainder, table
+from casequarry.llm import bpe, filter_audit, langid, line_dedup, lz_fingerprint, mixing, pii, resampling, simhash, token_file, topk, toxicity, url_filter
+from casequarry.llm.common import checkpoint_dir, remainder, table
 from casequarry.sources.tables import spread
 
 #: The rules of op8: host, path, verdict. Fixed values.
@@ -91,10 +92,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, percent=10, least_words=20, seed=2024)
+
+
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write(spread(table(spark, sf_dir, "documents")), folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_file.read(spark, folder)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(spread(table(spark, sf_dir, "documents")))
+    return filter_audit.audit(filter_audit.labelled(failed, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_lz_fingerprint, op3_line_dedup, op4_mixing, op5_simhash, op6_bpe, op7_topk, op8_url_filter, op9_langid, op10_pii)
-}
+    for f in (
+        op1_toxicity, op2_lz_fingerprint, op3_line_dedup, op4_mixing, op5_simhash, op6_bpe, op7_topk, op8_url_filter, op9_langid, op10_pii,
+        op11_resampling, op12_token_file, op13_filter_audit,
+    )
+}
 
 #: Regular expressions and hashes of these are the same in DuckDB; the other operators have no SQL. Line dedup's
 #: chunks are made of its windows, so SQL needs no rolling hash to say what goes.
@@ -158,4 +178,54 @@ ORACLE_SQL = {
             ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
         won AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id)
         SELECT p.page_id, p.host, p.path, w.rule, coalesce(w.verdict, 'allow') AS verdict FROM places p LEFT JOIN won w USING (page_id)""",
+    "op11_resampling": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        aimed AS (
+            SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        crc(steps) AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+        known AS (SELECT DISTINCT unnest(w) AS f FROM (SELECT w FROM texts UNION ALL SELECT w FROM aimed)),
+        spelt AS (
+            SELECT f, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes FROM known),
+        placed AS (
+            SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelt, crc),
+        found AS (SELECT doc_id, bucket FROM (SELECT doc_id, unnest(w) AS f FROM texts) JOIN placed USING (f)),
+        raw AS (SELECT bucket, count(*)::DOUBLE AS s FROM found GROUP BY bucket),
+        target AS (SELECT bucket, count(*)::DOUBLE AS t FROM (SELECT unnest(w) AS f FROM aimed) JOIN placed USING (f) GROUP BY bucket),
+        totals AS (SELECT coalesce((SELECT sum(s) FROM raw), 0) AS every, coalesce((SELECT sum(t) FROM target), 0) AS aims),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (every + 10000) / ((s + 1) * (aims + 10000))))::BIGINT AS gain
+            FROM raw LEFT JOIN target USING (bucket), totals),
+        weights AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM found JOIN gains USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                   (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+            FROM texts LEFT JOIN weights USING (doc_id)),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+        SELECT s.*, r.rank::BIGINT AS rank FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id AND r.rank <= 10 * able // 100""",
+    "op13_filter_audit": r"""
+        WITH measured AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        flags AS (
+            SELECT doc_id, part, concat(
+                CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+            FROM measured),
+        cells AS (
+            SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad, count(*) AS n FROM flags LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+        letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        placed AS (
+            SELECT *, coalesce(list_min(list_transform(range(1, length(fails) + 1), lambda i: strpos(filter_order, substr(fails, i, 1)))), 6) AS first FROM cells, orders),
+        steps AS (SELECT *, substr(filter_order, step, 1) AS f FROM placed, (SELECT unnest(range(1, 6)) AS step)),
+        counted AS (
+            SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (first > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (first = step), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (first < step AND contains(fails, f)), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (first = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (first = step AND bad), 0)::BIGINT AS toxic_lost
+            FROM steps GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted""",
 }

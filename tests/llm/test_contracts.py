@@ -59,6 +59,7 @@ def awkward(spark, tmp_path_factory):
     spark.createDataFrame([(i, 1, i % 2) for i in range(0, 30)] + [(3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     urls = [None, "", "no-scheme/en/", "http://", "https://EXAMPLE.com/en/7?x#y", "http://a.b.Example.Net/de/81", "x://net/de/", "http://org/es", "http://org/es/#", "http://notexample.com/en/7", "http://h/a://b.com/en/", "ftp://u.com?/en/"]
     spark.createDataFrame([(i, u, None) for i, u in enumerate(urls * 2)], "page_id long, url string, key string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(0, None), (1, ""), (2, "one of a PAIR, a b c"), (3, "çé ２３ word 12345")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     vectors = [(i, [0.5 * ((i * 7) % 11) - 2.0, float(i % 3), -0.25, 1.0 / (i + 1)]) for i in range(70)]
     vectors += [(80, None), (81, [None, 1.0, 0.0, 0.0]), (82, [float("nan"), 1.0, 0.0, 0.0]), (83, [float("inf"), 1.0, 0.0, 0.0]), (84, [1.0]), (100, []), (None, [1.0, 1.0, 1.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
@@ -68,7 +69,7 @@ def awkward(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, awkward, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{awkward}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
