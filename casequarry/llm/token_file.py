@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +47,23 @@ MAX_RANGES = 100_000
 SAMPLED = 20
 #: A task begins another file beyond so many words (128 MB).
 FILE_WORDS = 1 << 24
-#: Words of text whose ids a task remembers, and their greatest length.
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 40
+#: About so many bytes of texts are encoded at once.
+TEXT_BYTES = 6_000_000
+#: Parts of text whose ids a task remembers in a generation, and their greatest length.
+KNOWN_PARTS, KNOWN_LENGTH = 300_000, 40
+#: Parts of what holds nothing but Latin letters (of one code point each), digits and ASCII marks; all parts, line ends among them.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+PARTS = re.compile(PLAIN.pattern + r"|\n|[^\n]")
+#: What stands for the end of a piece and for a part that isn't plain among ids; no token has these.
+STOP, ODD = b"\xff\xff\xff\xff", b"\xfe\xff\xff\xff"
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Number of bits of each id; 0 for 0."""
-    widths, left = np.zeros(len(ids), np.int8), ids.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        high = left >= np.uint64(1 << shift)
-        widths[high] += shift
-        left[high] >>= np.uint64(shift)
-    return widths + (left > 0)
+    widths, wide = np.frexp(ids.astype(np.float64))[1], ids >= np.uint64(1 << 53)
+    if wide.any():  # a double might have rounded these up to the next power of 2
+        widths[wide] = 32 + np.frexp((ids[wide] >> np.uint64(32)).astype(np.float64))[1]
+    return widths
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,38 +141,95 @@ def block_sizes(lengths: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def word_encoder(path: str, end: int | None) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids (uint32) by a tokenizer file, with ``end`` after them.
-
-    For tokenizers that drop white space: then a text's ids are those of its pieces between blanks, tabs and line
-    ends, one after the other, and pieces that come again needn't be encoded again.
+def word_encoder(path: str, end: int | None) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to their ids (uint32), one text after the other, and the number of ids of each.
+
+    ``path`` is a tokenizer file; ``end``, if given, follows every text. For tokenizers that drop white space, lower the
+    case, and part letters, digits and marks before they merge, as those of ``word_bpe`` do: then a text's ids are those
+    of its pieces between ASCII white space, one after the other, and those of a piece of Latin letters, digits and ASCII
+    marks are those of its parts. So the distinct pieces of many texts are looked up, and their ids gathered by numpy.
+    What the library encoded is remembered, in two generations so that what comes often outlasts what came once.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-    last = b"" if end is None else np.array([end], "<u4").tobytes()
-
-    def encode(text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        fresh = [piece for piece in set(pieces) if piece not in known]
-        own = known
-        if fresh:
-            found = zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True)
-            new = {piece: np.array(encoding.ids, "<u4").tobytes() for piece, encoding in found}
-            if len(known) > KNOWN_WORDS:
-                own = {piece: known[piece] for piece in set(pieces) if piece in known} | new
-                known.clear()
-                known[""] = b""
-            else:
-                own = known | new if any(len(piece) > KNOWN_LENGTH for piece in new) else known
-            known.update((piece, ids) for piece, ids in new.items() if len(piece) <= KNOWN_LENGTH)
-        return np.frombuffer(b"".join(map(own.__getitem__, pieces)) + last, "<u4")
+    tokenizer, known = Tokenizer.from_file(path), _Known()
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+
+    def singly(texts: list[str]) -> list[bytes]:
+        return [np.array(encoding.ids, "<u4").tobytes() for encoding in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(parts: list[str]) -> list[bytes]:
+        """Ids of each part by one call; where a part ends, a token ends a word."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stops) != len(parts) or stops[-1] != 4 * len(ids):
+            return singly(parts)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def of_pieces(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin and how many they are."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0]
+        parts = PARTS.findall(joined.as_buffer().to_pybytes().decode(errors="replace").lower() + "\n" * (len(pieces) > 0))
+        fresh = known.missing(set(parts))
+        plain = [part for part in fresh if PLAIN.fullmatch(part) and "<|" not in part]
+        if plain:
+            known.new.update(zip(plain, each(plain), strict=True))
+        known.new.update(dict.fromkeys(fresh.difference(plain), ODD))
+        known.new["\n"] = STOP
+        every = np.frombuffer(b"".join(map(known.new.__getitem__, parts)), "<u4")
+        known.age()
+        stops = np.flatnonzero(every == int.from_bytes(STOP, "little"))
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        sizes = stops - starts
+        odd = np.unique(np.searchsorted(stops, np.flatnonzero(every == int.from_bytes(ODD, "little"))))
+        if len(odd):
+            whole = singly([piece.decode(errors="replace") for piece in pieces.take(odd).cast(pa.binary()).to_pylist()])
+            lengths = np.array([len(ids) // 4 for ids in whole])
+            starts[odd], sizes[odd] = len(every) + np.cumsum(lengths) - lengths, lengths
+            every = np.concatenate([every, np.frombuffer(b"".join(whole), "<u4")])
+        return every, starts, sizes
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        every, starts, sizes = of_pieces(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        taken = sizes[codes]
+        stops = np.cumsum(taken)
+        ids = every[np.repeat(starts[codes] - (stops - taken), taken) + np.arange(int(taken.sum()))]
+        text_stops = np.concatenate([[0], stops])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        lengths = np.diff(text_stops, prepend=0)
+        if end is not None:
+            ids, lengths = np.insert(ids, text_stops, end), lengths + 1
+        return ids, lengths
 
     return encode
 
 
+class _Known:
+    """Ids by part of text, in two generations: of the older one, what is asked for again is kept."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, parts: set[str]) -> set[str]:
+        """Of some parts, those that aren't known; the others are in ``new`` now."""
+        away = parts.difference(self.new)
+        if away and self.old:
+            again = {part for part in away if part in self.old}
+            self.new.update((part, self.old[part]) for part in again)
+            away -= again
+        return away
+
+    def age(self) -> None:
+        if len(self.new) > KNOWN_PARTS:
+            self.old, self.new = {part: ids for part, ids in self.new.items() if len(part) <= KNOWN_LENGTH}, {}
+
+
 def location(folder: str) -> tuple[fs.FileSystem, str]:
     """A folder's file system and path; local paths, file:, s3a: and whatever else pyarrow can open."""
     folder = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", folder))
@@ -221,21 +284,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, end)
         for batch in batches:
-            texts, at = batch.column(4), 0
-            while at < len(batch):  # some hundred thousand ids at a time
-                ids, begin, held = [], at, 0
-                while at < len(batch) and held < 300_000:
-                    ids.append(encoder(texts[at].as_buffer().to_pybytes().decode(errors="replace")))
-                    held += len(ids[-1])
-                    at += 1
-                lengths = np.array([len(x) for x in ids], np.int64)
+            texts = batch.column(4)
+            bytes_before = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(bytes_before, (bytes_before[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+                ids, lengths = encoder(texts.slice(at, to - at))
                 sizes, blocks = block_sizes(lengths), -(-lengths // BLOCK)
-                words, counts = pack(np.concatenate(ids), sizes)
-                of = np.repeat(np.arange(len(ids)), blocks)
-                word_ends = np.cumsum(np.bincount(of, weights=counts, minlength=len(ids)).astype(np.int64))
+                words, counts = pack(ids, sizes)
+                of = np.repeat(np.arange(len(lengths)), blocks)
+                word_ends = np.cumsum(np.bincount(of, weights=counts, minlength=len(lengths)).astype(np.int64))
                 block_ends = np.cumsum(blocks)
                 piece = lambda data, ends: pa.array([data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
-                kept = [batch.column(i).slice(begin, at - begin) for i in range(4)]
+                kept = [batch.column(i).slice(at, to - at) for i in range(4)]
+                at = to
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lengths), piece(words, word_ends), piece(counts, block_ends)], names=["bucket", "ord", "tie", "doc_id", "n", "words", "block_words"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Resampling, token files and the filter audit against plain Python, on whole small tables and awkward rows."""
 
+import functools
 import itertools
 import math
 import os
@@ -10,6 +11,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,6 +24,17 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, __found string, part string, bucket long, word string"
 
 
+def encoded(encode, *texts):
+    ids, lengths = encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths)
+    return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+@functools.cache
+def library():
+    return Tokenizer.from_file(TOKENIZER)
+
+
 def tupled(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -125,12 +138,32 @@ def test_pieces_encode_like_the_whole_text():
     tokenizer, encode = Tokenizer.from_file(TOKENIZER), token_file.word_encoder(TOKENIZER, None)
     odd = ["<|endoftext|> a<|startoftext|>b", "é ́x a b c\x0bd\x1ce", "ΣΑΣ ΟΔΟΣ", "İstanbul I'LL don't", "a\r\nb\tc", "가 ᆨ", " \n", "ab" * 9000 + "\n" + "c" * 50]
     for text in [t for t in AWKWARD if t] + odd:
-        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoded(encode, text, "and", text) == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "and", text)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(list("abstdrevlmST'09<|>.,- \n\x1c\x0bßÀÿ×÷ªµİſKΣς\u0301\u00a0")), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_any_text_encodes_like_the_library(text):
+    assert encoded(token_file.word_encoder(TOKENIZER, None), text) == [library().encode(text, add_special_tokens=False).ids]
+
+
+def test_generations_of_known_parts(monkeypatch):
+    monkeypatch.setattr(token_file, "KNOWN_PARTS", 3)
+    tokenizer, encode = Tokenizer.from_file(TOKENIZER), token_file.word_encoder.__wrapped__(TOKENIZER, 1)
+    for text in ("a b c d e", "a f g", "h i j k a", "a b, c", "x" * 50 + " a", "x" * 50 + " a"):
+        assert encoded(encode, text, "", text)[::2] == [[*tokenizer.encode(text, add_special_tokens=False).ids, 1]] * 2
+
+
+def test_bytes_that_are_no_text():
+    encode = token_file.word_encoder(TOKENIZER, None)
+    bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.array([0, 6], pa.int32()).buffers()[1], pa.py_buffer(b"ab \xff c")])
+    assert encode(bad)[0].tolist() == library().encode("ab \ufffd c", add_special_tokens=False).ids
 
 
 def test_token_file_awkward_ids_ranges_and_rolling(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "RANGE_ROWS", 8)
     monkeypatch.setattr(token_file, "FILE_WORDS", 40)
+    monkeypatch.setattr(token_file, "TEXT_BYTES", 100)
     texts = ["", None, "one two", "word " * 9000, "three", "３ ４", "one two"]
     docs = [([None, 5, 5, 5, 9, -3][i % 6], texts[i % 7]) for i in range(200)] + [(-(1 << 63), "low"), ((1 << 63) - 1, "high")]
     df = spark.createDataFrame([(d, t, None, "a", "b", 1, "c") for d, t in docs], SCHEMA).repartition(5)
