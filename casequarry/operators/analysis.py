@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casequarry.functions import text
 from casequarry.operators import providers, retrieval, rules
+from casequarry.session import kept
 
 #: Skill and what its hit is called in a prompt. Fixed values.
 ANCHORS = (
@@ -48,21 +49,6 @@ def prompted(notes: Column, anchors: Column, guide: str = "", case: Column | Non
     return text.prompt(*parts, block("Guide", F.lit(guide)), F.lit("Describe the part."))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder that all executors share, so that a lost one sends no request again.
-
-    The folder is spark.checkpoint.dir's, or, in a local session without one, below the warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
-
-
 def agents(spark: SparkSession) -> DataFrame:
     """domain, code: the agents' candidates, one row a code."""
     rows = [F.struct(F.lit(domain).alias("domain"), F.lit(code).alias("code")) for domain, codes in AGENT_CODES.items() for code in codes]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequarry.functions import text, vectors
+from casequarry.operators import order
 
 
 def codes(values: Column) -> Column:
@@ -64,18 +65,12 @@ def improvement(first: Column, second: Column, corrected: Column) -> Column:
 def with_ordinal(rows: DataFrame, time: str, key: str) -> DataFrame:
     """``rows`` with their ordinal by time, then key, over the whole table; rows without a time come last.
 
-    Rows are numbered within an hour, and a running sum over the hours' counts is added, so that no task
-    sees more than an hour and none sorts the whole table. Rows without a time, or with one that can't be read, are one
-    such group.
+    So do rows with a time that can't be read. They are dealt by what is written there and by key, so no task gets
+    all of them; see ``order.numbered``.
     """
     moment = F.col(time).try_cast("timestamp")
     hour = F.coalesce(F.date_format(moment, "yyyyMMddHH"), F.lit("~"))
-    dated = rows.withColumn("__hour", hour)
-    hours = dated.groupBy("__hour").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hours.select("__hour", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__hour").orderBy(time, key)
-    return dated.join(offsets, "__hour").withColumn("ordinal", F.col("__before") + F.row_number().over(within)).drop("__hour", "__before")
+    return order.numbered(rows, [hour, F.col(time), F.col(key)], "ordinal")
 
 
 def mean_improvement(history: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequarry.functions import fixed, text, vectors
+from casequarry.operators import likeness
 
 MIN_SIMILARITY = 0.35
 
@@ -51,31 +52,11 @@ def above_threshold(hits: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame
 def common_words(queries: DataFrame, cases: DataFrame, least: float = 0.0) -> DataFrame:
     """query_id, entry_id, seq, score: Jaccard likeness of the distinct words, where it is over 0 and at least ``least``.
 
-    Two sets of this likeness have a word in common among the rarest ``size - ceil(least * size) + 1`` of
-    either, so only those are indexed: a word that most texts hold is in no index unless a text has
-    little else, and no hot word pairs all with all. Sizes that can't reach the likeness are ruled out in
-    the join, and candidates are compared by their whole sets.
+    Every pair, so as many rows as there are; ``likeness.most_alike`` gives the best of each query.
     """
-    asked = queries.select("query_id", text.tokens(F.col("description")).alias("q_words")).withColumn("q_size", F.size("q_words")).where("q_size > 0")
-    stored = cases.select("entry_id", "seq", text.tokens(F.col("description")).alias("words")).withColumn("size", F.size("words")).where("size > 0")
-    often = stored.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-    def rarest(rows: DataFrame, key: list[str], words: str, size: str) -> DataFrame:
-        first = F.col(size) - F.greatest(F.ceil(F.lit(least) * F.col(size) - F.lit(1e-9)), F.lit(1)) + 1
-        each = rows.select(*key, size, F.explode(words).alias("word"))
-        if least <= 0:
-            return each
-        listed = each.join(often, "word", "left").groupBy(*key, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by"))
-        return listed.select(*key, size, F.explode(F.transform(F.slice("by", F.lit(1), first.cast("int")), lambda x: x["word"])).alias("word"))
-
-    left, right = rarest(asked, ["query_id"], "q_words", "q_size"), rarest(stored, ["entry_id", "seq"], "words", "size")
-    able = F.least("size", "q_size") >= F.greatest("size", "q_size") * F.lit(least) - F.lit(1e-9)
-    met = right.join(left, "word").where(able).select("query_id", "entry_id", "seq").distinct()
-    # sets are fetched once a candidate, not once a word
-    pairs = met.join(stored, ["entry_id", "seq"]).join(asked, "query_id")
-    common = F.size(F.array_intersect("q_words", "words"))
-    scored = pairs.select("query_id", "entry_id", "seq", (common / (F.col("q_size") + F.col("size") - common)).alias("score"))
-    return scored.where((F.col("score") >= least) & (F.col("score") > 0)).distinct()
+    q_classes, s_classes, q_members, s_members = likeness.classes(queries, cases)
+    found = likeness.scored(q_classes, s_classes, least)
+    return found.join(q_members, "q_key").join(s_members, "s_key").select("query_id", "entry_id", "seq", "score")
 
 
 def jaccard_search(cases: DataFrame, query: str, k: int = 3) -> DataFrame:
@@ -132,7 +113,7 @@ def cascade(queries: DataFrame, cases: DataFrame, k: int = 3, least: float = MIN
     scored = vector_hits(rest, cases, k)
     semantic = scored.where(F.col("score") >= least).withColumn("match_type", F.lit("semantic"))
     unmet = rest.join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    worded = best_of_each(common_words(unmet, cases, least - 0.0005), k).withColumn("score", F.round("score", 3))
+    worded = likeness.most_alike(unmet, cases, k, least - 0.0005).withColumn("score", F.round("score", 3))
     worded = worded.where(F.col("score") >= least).withColumn("match_type", F.lit("text_keyword"))
     columns = ["query_id", "entry_id", "rank", "score", "match_type"]
     return exact.select(columns).unionByName(semantic.select(columns)).unionByName(worded.select(columns))

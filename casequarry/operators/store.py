@@ -1,7 +1,7 @@
 """The case store as pure transformations: each takes tables and returns the new state of one.
 
-Plain Parquet has no MERGE; ``sources.tables.replace`` writes the new state beside the old one and
-moves a pointer.
+Plain Parquet has no MERGE; ``sources.versions`` lays the rows that change over the others, as a version that
+one writer alone can take.
 """
 
 from __future__ import annotations
@@ -111,6 +111,17 @@ def upsert(cases: DataFrame, batch: DataFrame, now: str) -> DataFrame:
     return old.unionByName(met.where("__last_seq IS NULL").select(*[(created | missing)[c].alias(c) for c in cases.columns]))
 
 
+def upserted(cases: DataFrame, batch: DataFrame, now: str) -> DataFrame:
+    """The rows that storing ``batch`` into ``cases`` adds or changes, and no others; see ``upsert``.
+
+    Only entries of the batch's hashes are looked at, so what comes out follows the batch.
+    """
+    keys = batch.select(image_key("batch").alias("__met")).distinct()
+    touched = cases.withColumn("__was", F.coalesce("status", F.lit(""))).join(keys, image_key("case") == F.col("__met"), "left_semi")
+    unchanged = (F.col("__was") == "superseded") & ~F.col("updated_at").eqNullSafe(F.lit(now))
+    return upsert(touched, batch, now).where(~F.coalesce(unchanged, F.lit(False))).drop("__was")
+
+
 def reviewed(cases: DataFrame, files: DataFrame) -> DataFrame:
     """Reviewed cases (image_path, corrected, ...) with whether their image is among ``files`` (path), and the text to store."""
     there = files.select(F.col("path").alias("__path")).distinct().withColumn("__there", F.lit(True))

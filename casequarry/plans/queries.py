@@ -121,7 +121,7 @@ def q07_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = vector.select("v_id", F.when(F.col("label") > 2, F.col("image_vec")).alias("image_vec"), F.when(F.col("label") > 6, F.col("text_vec")).alias("text_vec"))
     items = items.join(given, F.col("query_id") == F.col("v_id"), "left").drop("v_id")
     queries = items.unionByName(known, allowMissingColumns=True)
-    return retrieval.cascade(queries, cases, k=3, least=0.05).withColumn("score", F.round("score", 6))
+    return retrieval.cascade(queries, cases, k=3).withColumn("score", F.round("score", 6))
 
 
 def q08_keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,8 +531,8 @@ ORACLE_SQL = {
         worded AS (SELECT q.query_id, c.entry_id, len(list_intersect(q.words, c.words)) / len(list_distinct(list_concat(q.words, c.words))) AS score FROM unmet q JOIN stored c ON list_has_any(q.words, c.words)),
         shared AS (SELECT query_id, entry_id, round(score, 3) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS rank FROM worded)
         SELECT query_id, entry_id, 1 AS rank, 1.0::DOUBLE AS score, 'exact_hash' AS match_type FROM exact
-        UNION ALL SELECT query_id, entry_id, rank, round(score, 6), 'semantic' FROM near WHERE rank <= 3 AND score >= 0.05
-        UNION ALL SELECT query_id, entry_id, rank, score, 'text_keyword' FROM shared WHERE rank <= 3 AND score >= 0.05""",
+        UNION ALL SELECT query_id, entry_id, rank, round(score, 6), 'semantic' FROM near WHERE rank <= 3 AND score >= 0.35
+        UNION ALL SELECT query_id, entry_id, rank, score, 'text_keyword' FROM shared WHERE rank <= 3 AND score >= 0.35""",
     "q08_keyword_rules": f"""WITH {_rules_sql()},
         lowered AS (SELECT doc_id, lower(array_to_string(list_filter(string_split(text, chr(10)), lambda line: NOT ({_NEGATED})), chr(10))) AS t, lower(source) AS n, doc_id % 7 AS k FROM documents),
         met AS (SELECT doc_id, ord, process_id, process_name, k, list_filter(seen, lambda w: contains(t, lower(w))) AS s, list_filter(noted, lambda w: contains(n, lower(w))) AS b FROM lowered, rules),

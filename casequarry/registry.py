@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from casequarry.plans import more, queries
+from casequarry.plans import durable, more, queries, search
 
-QUERIES = queries.QUERIES | more.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | more.ORACLE_SQL
+QUERIES = queries.QUERIES | more.QUERIES | durable.QUERIES | search.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | more.ORACLE_SQL | durable.ORACLE_SQL | search.ORACLE_SQL

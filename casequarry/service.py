@@ -1,7 +1,9 @@
 """A case store in a folder, and the verbs on it, for users who want an object rather than functions.
 
 ``cases``, ``vectors``, ``corrections`` and ``shadow`` are tables of Parquet below the folder. Cases and
-vectors are replaced as a whole by a new state; corrections and the shadow log are appended to.
+vectors are versioned (``sources.versions``): several users may save at once, and a save writes what it changes.
+The vectors follow the cases: an index update embeds what changed since the version of the cases that the vectors
+have seen, whoever changed it. Corrections and the shadow log are appended to.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from casequarry.functions import text
 from casequarry.operators import analysis, evaluate, providers, retrieval, rules, store
-from casequarry.sources import tables
+from casequarry.sources import tables, versions
 
 CASES = (
     "entry_id string, seq long, image_hash string, description string, tags array<string>, timestamp string, updated_at string, version_count int,"
@@ -30,12 +32,29 @@ SHADOW = "seq long, image_path string, description string, predicted array<strin
 class CaseStore:
     def __init__(self, spark: SparkSession, folder: str, embedder: providers.Factory):
         self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder
-
-    def _state(self, name: str, schema: str, pointed: bool) -> DataFrame:
-        """A table of the store; empty if it was never written. What can't be read is an error."""
+        self._cases = versions.VersionedTable(spark, f"{self.folder}/cases", CASES, ["entry_id", "seq"])
+        self._vectors = versions.VersionedTable(spark, f"{self.folder}/vectors", VECTORS, ["entry_id"])
+        self._adopt()
+
+    def _adopt(self) -> None:
+        """Take over a store whose states were replaced as a whole, once."""
+        if self._cases.latest().version:
+            return
+        for name, table, schema in (("vectors", self._vectors, VECTORS), ("cases", self._cases, CASES)):
+            try:
+                found = tables.current(self.spark, f"{self.folder}/{name}")
+            except AnalysisException as error:
+                if not tables.is_missing(error):
+                    raise
+                continue
+            empty = self.spark.createDataFrame([], schema)
+            table.replace(found.select(*[F.col(c) for c in empty.columns if c in found.columns]).unionByName(empty, allowMissingColumns=True), source=1 if name == "vectors" else 0)
+
+    def _log(self, name: str, schema: str) -> DataFrame:
+        """A table that is only appended to; empty if it was never written. What can't be read is an error."""
         path, empty = f"{self.folder}/{name}", self.spark.createDataFrame([], schema)
         try:
-            found = tables.current(self.spark, path) if pointed else self.spark.read.schema(schema).parquet(path)
+            found = self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if tables.is_missing(error):
                 return empty
@@ -43,16 +62,16 @@ class CaseStore:
         return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
 
     def cases(self) -> DataFrame:
-        return self._state("cases", CASES, True)
+        return self._cases.read()
 
     def vectors(self) -> DataFrame:
-        return self._state("vectors", VECTORS, True)
+        return self._vectors.read()
 
     def corrections(self) -> DataFrame:
-        return self._state("corrections", CORRECTIONS, False)
+        return self._log("corrections", CORRECTIONS)
 
     def shadow(self) -> DataFrame:
-        return self._state("shadow", SHADOW, False)
+        return self._log("shadow", SHADOW)
 
     def searchable(self) -> DataFrame:
         """Cases with their vectors, in the form that retrieval takes; superseded ones are kept for hashes."""
@@ -60,24 +79,45 @@ class CaseStore:
 
     def save(self, batch: DataFrame, now: str) -> None:
         """Store cases (entry_id, seq, image_hash, description, tags, and any other of the store's columns), and index them."""
-        before = self.cases()
-        columns = [c for c in batch.columns if c in before.columns]
-        tables.replace(store.upsert(before, batch.select(*columns), now), f"{self.folder}/cases")
-        self.index(now)
+        given = batch.select(*[c for c in batch.columns if c in self._cases.schema.names])
+        hashes = given.where(F.trim(F.coalesce("image_hash", F.lit(""))) != "").select("image_hash").distinct()
+
+        def change(cases: DataFrame, at: versions.Commit) -> versions.Change:
+            return versions.Change(rows=store.upserted(cases, given, now), reads=hashes)
+
+        self._cases.update(change)
+        self.index()
 
     def describe(self, patches: DataFrame, now: str) -> None:
         """New descriptions (entry_id, description) of stored cases; they are their reasoning too."""
-        tables.replace(store.describe(self.cases(), patches, now), f"{self.folder}/cases")
-        self.index(now)
-
-    def index(self, now: str) -> None:
-        """Embed the visible cases that were stored or changed at ``now``; all other vectors stay, but those of superseded cases."""
-        visible = store.indexable(self.cases())
-        at = self.cases().where((F.col("updated_at") == now) | (F.col("timestamp") == now)).select("entry_id")
-        vectors = self.vectors().join(visible.select("entry_id"), "entry_id", "left_semi")
-        embedded = providers.apply(visible.join(at, "entry_id", "left_semi"), "description", self.embedder, "text_vec", "array<double>")
-        changed = embedded.join(vectors.select("entry_id", "image_vec"), "entry_id", "left").select("entry_id", F.col("seq").alias("ordinal"), "image_vec", "text_vec")
-        tables.replace(vectors.join(at, "entry_id", "left_anti").unionByName(changed), f"{self.folder}/vectors")
+
+        def change(cases: DataFrame, at: versions.Commit) -> versions.Change:
+            met = cases.join(patches.select("entry_id").distinct(), "entry_id", "left_semi")
+            return versions.Change(rows=store.describe(met, patches, now), reads=patches.select("entry_id"))
+
+        self._cases.update(change)
+        self.index()
+
+    def index(self) -> None:
+        """Embed the visible cases that were changed since the index was last brought up; vectors of cases that are gone or superseded go.
+
+        All other vectors stay as they are, and image vectors stay in any case. Then both tables are compacted if it is time.
+        """
+        upto = self._cases.latest()
+
+        def change(vectors: DataFrame, at: versions.Commit) -> versions.Change | None:
+            if at.source >= upto.version:
+                return None
+            ids = self._cases.changed(at.source, upto).select("entry_id").where("entry_id IS NOT NULL").distinct()
+            visible = store.indexable(self._cases.read(upto)).join(ids, "entry_id", "left_semi")
+            embedded = providers.apply(visible, "description", self.embedder, "text_vec", "array<double>")
+            rows = embedded.join(vectors.select("entry_id", "image_vec"), "entry_id", "left").select("entry_id", F.col("seq").alias("ordinal"), "image_vec", "text_vec")
+            gone = vectors.select("entry_id").join(ids, "entry_id", "left_semi").join(visible.select("entry_id"), "entry_id", "left_anti")
+            return versions.Change(rows=rows, gone=gone, source=upto.version)
+
+        self._vectors.update(change)
+        self._cases.compact()
+        self._vectors.compact()
 
     def review(self, records: DataFrame, files: DataFrame, now: str) -> DataFrame:
         """Save reviewed cases: entry_id, seq, image_path, image_hash, corrected, bom_context, first_text, second_text.
@@ -101,16 +141,21 @@ class CaseStore:
         return store.metric_history(self.cases())
 
     def delete(self, ids: DataFrame) -> None:
-        tables.replace(store.delete(self.cases(), ids), f"{self.folder}/cases")
-        tables.replace(store.delete(self.vectors(), ids), f"{self.folder}/vectors")
+        """Delete cases (entry_id), and their vectors with them."""
+
+        def change(cases: DataFrame, at: versions.Commit) -> versions.Change:
+            return versions.Change(gone=cases.join(ids.select("entry_id").distinct(), "entry_id", "left_semi").select("entry_id", "seq"), reads=ids.select("entry_id"))
+
+        self._cases.update(change)
+        self.index()
 
     def rebuild(self) -> int:
         """Embed every visible case anew; image vectors that are there stay. Returns how many there are."""
-        texts = store.indexable(self.cases())
-        embedded = providers.apply(texts, "description", self.embedder, "text_vec", "array<double>")
+        upto = self._cases.latest()
+        embedded = providers.apply(store.indexable(self._cases.read(upto)), "description", self.embedder, "text_vec", "array<double>")
         images = self.vectors().select("entry_id", "image_vec")
         new = embedded.join(images, "entry_id", "left").select("entry_id", F.col("seq").alias("ordinal"), "image_vec", "text_vec")
-        tables.replace(new, f"{self.folder}/vectors")
+        self._vectors.replace(new, source=upto.version)
         return self.vectors().count()
 
     def similar(self, queries: DataFrame, k: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def setting(name: str, default: str = "") -> str:
@@ -31,3 +31,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir's, or the context's.
+
+    Without one, a local session uses a folder below its warehouse; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return shared
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that all executors share, so that a lost one repeats no work (and no request).
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

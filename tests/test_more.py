@@ -92,7 +92,13 @@ def test_a_state_that_can_t_be_read_is_an_error(spark, tmp_path):
     for part in (tmp_path / "cases" / second.rsplit("/", 1)[1]).glob("part-*"):
         part.write_bytes(b"broken")
     with pytest.raises(Exception, match="footer"):  # of the reader, whatever its class
-        box.cases().count()
+        CaseStore(spark, str(tmp_path), providers.stand_in_embedder(4)).cases().count()
+    other = CaseStore(spark, str(tmp_path / "other"), providers.stand_in_embedder(4))
+    other.save(spark.createDataFrame([("a", 1, "h", "text", [])], BATCH), "t1")
+    for part in (tmp_path / "other" / "cases" / "layers").rglob("part-*"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception, match="footer|Parquet"):
+        other.cases().count()
 
 
 def test_providers_are_asked_again_and_given_up(spark):
