@@ -127,10 +127,13 @@ class VersionedTable:
     def read(self, commit: Commit | None = None) -> DataFrame:
         """The rows of a version, by default of the newest."""
         commit = commit or self.latest()
-        base = self._rows([layer for layer in commit.layers if layer.base]).drop("__gone")
+        below = [layer for layer in commit.layers if layer.base]
+        base = self._rows(below).drop("__gone")
         over = self._newest([layer for layer in commit.layers if not layer.base])
         if over is None:
             return base
+        if not below:
+            return over.where("NOT __gone").drop("__gone")
         return base.join(self._keys(over), self._same(base), "left_anti").unionByName(over.where("NOT __gone").drop("__gone"))
 
     def changed(self, after: int, commit: Commit) -> DataFrame:
