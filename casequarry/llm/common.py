@@ -16,6 +16,11 @@ def columns_of(names: list[str]) -> list[Column]:
     return [F.col("`{}`".format(name.replace("`", "``"))) for name in names]
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns, those that hold maps as JSON, since Spark hashes no maps."""
+    return [F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column for field, column in zip(df.schema, columns_of(df.columns), strict=True)]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A name like each of ``names`` that no column of ``df`` has, upper or lower case."""
     taken = {column.lower() for column in df.columns}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.llm.common import columns_of, cut, fresh
+from casequarry.llm.common import cut, fresh, hashable
 from casequarry.llm.components import components
 from casequarry.llm.simhash import SEED, majority, shingle_hashes
 
@@ -268,6 +268,6 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     repeated = judged.where(F.col("stays") & (F.col("rows") > 1))
     if repeated.isEmpty():
         return left
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*columns_of(docs.columns)))
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*hashable(docs)))
     once = among(left, repeated, "left_semi").withColumn(number, F.row_number().over(again)).where(F.col(number) == 1).drop(number)
     return among(left, repeated, "left_anti").unionByName(once)

@@ -157,7 +157,7 @@ def plain_chunks(text):
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
 
 
-def plain_line_dedup(texts):
+def plain_line_dedup(texts, with_chunks=True):
     """text, chunks, removed chunks, removed lines of each text, the first of equal pieces being kept."""
     seen, out = set(), []
     for text in texts:
@@ -165,21 +165,41 @@ def plain_line_dedup(texts):
             out.append((None, 0, 0, 0))
             continue
         lines, chunks = text.split("\n"), plain_chunks(text)
-        found = {c for c in chunks if c[1] >= 2} | {(i, 2) for i in range(len(lines) - 1)}
-        found |= {(i, 1) for i, line in enumerate(lines) if len(WORD.findall(line)) > 50}
-        gone, removed = set(), 0
+        says = [i for i, line in enumerate(lines) if re.search(r"[^ \t\n\x0b\f\r]", line)]
+        found = {(s, n) for s, n in chunks if sum(s <= i < s + n for i in says) >= 2}
+        found |= {(i, j - i + 1) for i, j in zip(says, says[1:])} | {(i, 1) for i, line in enumerate(lines) if len(WORD.findall(line)) > 50}
+        hits = set()
         for start, n in sorted(found):
             piece = "\n".join(lines[start : start + n])
-            if not re.search(r"[^ \t\n\x0b\f\r]", piece):
-                continue
             if piece in seen:
-                gone |= set(range(start, start + n))
-                removed += (start, n) in chunks
+                hits.add((start, n))
             seen.add(piece)
-        out.append(("\n".join(line for i, line in enumerate(lines) if i not in gone), len(chunks), removed, len(gone)))
+        covered, gone, run = {i for s, n in hits for i in range(s, s + n)}, set(), []
+        for i in range(len(lines) + 1):
+            if i in covered:
+                run.append(i)
+            elif run:
+                chunk = with_chunks and any(c in hits and run[0] <= c[0] <= run[-1] for c in chunks)
+                if chunk or len(WORD.findall("\n".join(lines[j] for j in run))) > 50:
+                    gone |= set(run)
+                run = []
+        out.append(("\n".join(line for i, line in enumerate(lines) if i not in gone), len(chunks), sum(c in hits for c in chunks), len(gone)))
     return out
 
 
+def test_chunks_decide(spark, small):
+    texts = [d["text"] for d in sorted(rows_of(small), key=lambda d: d["doc_id"])]
+    assert plain_line_dedup(texts) != plain_line_dedup(texts, with_chunks=False)
+
+
+def test_line_dedup_keeps_headings_blank_lines_and_maps(spark):
+    passage = "\n\n".join(f"paragraph {i} " + "word " * 9 for i in range(6))
+    texts = ["Intro\n\nalpha", "Intro\n\nbeta", "a\n\n\n\nb", "c\n\n\n\nd", "x\n" + passage + "\ny", "z\n" + passage, "Re\nHi\nthere", "Re\nHi\nyou"]
+    docs = spark.createDataFrame([(i, t, {"k": [i]}) for i, t in enumerate(texts)] * 2, "doc_id long, text string, extra map<string,array<int>>")
+    found = [r["text"] for r in line_dedup.deduplicated(docs.dropDuplicates(["doc_id"])).orderBy("doc_id").collect()]
+    assert found == [r[0] for r in plain_line_dedup(texts)] and found[:5] == texts[:5] and found[5] == "z" and line_dedup.deduplicated(docs).count() == 16
+
+
 def test_line_dedup(spark, folder):
     found = by_id(queries.op3_line_dedup(spark, folder))
     docs = sorted(rows_of(folder), key=lambda d: d["doc_id"])
