@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequarry.operators import likeness
+from casequarry.operators import keywords, likeness
 from casequarry.plans.queries import documents
 from casequarry.sources.tables import spread, table
 
@@ -19,7 +19,15 @@ def q66_alike_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "entry_id", "rank", F.round("score", 9).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (q66_alike_by_words,)}
+def q67_keyword_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as rules, whose keywords are their words of five letters or more: which rules every document meets."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))
+    catalogue = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.posexplode(words).alias("ord", "keyword"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return keywords.rules_met(docs, "doc_id", "text", catalogue)
+
+
+QUERIES = {f.__name__: f for f in (q66_alike_by_words, q67_keyword_catalogue)}
 
 ORACLE_SQL = {
     "q66_alike_by_words": """WITH sets AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{4,}'), lambda w: lower(w))) AS words FROM documents),
@@ -29,4 +37,12 @@ ORACLE_SQL = {
         scored AS (SELECT query_id, entry_id, common::DOUBLE / (sizes - common) AS score FROM pairs),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS rank FROM scored WHERE score >= 0.35::DOUBLE)
         SELECT query_id, entry_id, rank, round(score, 9) AS score FROM ranked WHERE rank <= 3""",
+    "q67_keyword_catalogue": """WITH words AS (SELECT item_id AS rule_id, regexp_extract_all(text, '[A-Za-z]{5,}') AS w FROM benchmark),
+        spelt AS (SELECT rule_id, unnest(w) AS keyword, generate_subscripts(w, 1) AS i FROM words),
+        catalogue AS (SELECT rule_id, keyword, min(i) AS ord FROM spelt GROUP BY rule_id, keyword),
+        known AS (SELECT DISTINCT lower(keyword) AS k FROM catalogue),
+        texts AS (SELECT doc_id, lower(text) AS t FROM documents),
+        hits AS (SELECT doc_id, k FROM texts JOIN known ON contains(t, k)),
+        met AS (SELECT doc_id, rule_id, count(*) AS n_hits, list(keyword ORDER BY ord) AS written FROM hits JOIN catalogue ON lower(keyword) = k GROUP BY doc_id, rule_id)
+        SELECT doc_id, rule_id, n_hits, array_to_string(written[1:3], '、') AS clues FROM met""",
 }

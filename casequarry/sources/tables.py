@@ -87,6 +87,17 @@ def rule_catalogue(spark: SparkSession, path: str) -> list[tuple[str, str, list[
     return rules
 
 
+def rule_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a JSON object as a table: rule_id, name, channel (vlm, bom), ord, keyword; one row a keyword, and none on the driver.
+
+    ``ord`` is a keyword's place in its list. A missing file is an error; a rule without keywords has no rows.
+    """
+    parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{RULE}>")).alias("rule_id", "r"))
+    channels = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"r.trigger_{c}").alias("keywords")) for c in ("vlm", "bom")])
+    each = parsed.select("rule_id", F.coalesce("r.name", F.lit("")).alias("name"), F.inline(channels))
+    return each.select("rule_id", "name", "channel", F.posexplode("keywords").alias("ord", "keyword"))
+
+
 def listing(spark: SparkSession, folder: str, suffixes: Sequence[str] = ("jpg", "jpeg", "png", "pdf")) -> DataFrame:
     """path, name, length of a folder's files of these suffixes, by name; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length")
