@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casequarry.functions import fixed, text
 from casequarry.operators import analysis, boxes, evaluate, groups, reports, rules, store
-from casequarry.plans.queries import DOCS_SQL, documents
+from casequarry.plans.queries import _NOTES_SQL, DOCS_SQL, documents
 from casequarry.sources.tables import table
 
 NOW = "2026-02-01T00:00:00"
@@ -65,7 +65,10 @@ def q45_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q46_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.agents(spark).groupBy("domain").agg(F.count("*").alias("n_codes"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
+    """The agents' candidate codes that parts carry: a letter by their key and a number by their size."""
+    code = F.concat(F.substring(F.lit("CDEFHIKOQ"), F.col("p_partkey").cast("int") % 9 + 1, F.lit(1)), F.lpad((F.col("p_size") % 30).cast("string"), 2, "0"))
+    met = table(spark, sf_dir, "part").select("p_partkey", code.alias("code")).join(F.broadcast(analysis.agents(spark)), "code")
+    return met.groupBy("domain", "code").agg(F.count("*").alias("n_parts"), F.min("p_partkey").alias("first_part"))
 
 
 def q47_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,7 @@ def q49_title_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("turn") * 37 + F.col("conv_id")) % 100, (F.col("conv_id") * 53 + F.col("turn") * 7) % 80
     corner = lambda dx, dy: F.array((x + dx).cast("double"), (y + dy).cast("double"))
     lines = table(spark, sf_dir, "conversations").select(
-        "conv_id", F.col("turn").alias("line"), F.col("role").alias("text"), ((F.col("turn") % 10) / 10).alias("confidence"), F.lit(100).alias("w0"), F.lit(80).alias("h0"),
+        "conv_id", F.col("turn").alias("line"), "text", ((F.col("turn") % 10) / 10).alias("confidence"), F.lit(100).alias("w0"), F.lit(80).alias("h0"),
         F.array(corner(0, 0), corner(9, 0), corner(9, 4), corner(0, 4)).alias("polygon"),
     )
     found = boxes.title_block(lines, "conv_id", "w0", "h0", share=0.5, least=0.1)
@@ -209,10 +212,11 @@ ORACLE_SQL = {
     "q43_entry_ids": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_type AS entry_id FROM events",
     "q44_confirmed_symbols": """SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS symbols, string_agg(DISTINCT '[CV-CONFIRMED] ' || role, ',' ORDER BY '[CV-CONFIRMED] ' || role) AS anchors FROM conversations GROUP BY conv_id""",
     "q45_feature_counts": "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) > 0 AS has_bends, len(regexp_extract_all(text, '@'))::INT AS hole_count FROM documents",
-    "q46_agents": f"SELECT domain, count(*) AS n_codes, min(code) AS first_code, max(code) AS last_code FROM (VALUES {_AGENTS}) v(domain, code) GROUP BY domain",
+    "q46_agents": f"""SELECT domain, v.code, count(*) AS n_parts, min(p_partkey) AS first_part FROM (VALUES {_AGENTS}) v(domain, code)
+        JOIN part ON v.code = substr('CDEFHIKOQ', (p_partkey % 9)::INT + 1, 1) || lpad((p_size % 30)::VARCHAR, 2, '0') GROUP BY domain, v.code""",
     "q47_requests": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment WHEN c_nationkey > 3 THEN c_name ELSE '' END AS notes FROM customer",
     "q48_named_symbol": "SELECT conv_id, count(*) FILTER (role = 'user') > 0 AS found, count(*) FILTER (role = 'user')::INT AS n FROM conversations GROUP BY conv_id",
-    "q49_title_block": """SELECT conv_id, 50 AS x, 40 AS y, string_agg(role, ',' ORDER BY turn, role) AS texts, 0 AS n_notes FROM conversations
+    "q49_title_block": f"""SELECT conv_id, 50 AS x, 40 AS y, string_agg(text, ',' ORDER BY turn, text) AS texts, count(*) FILTER ({_NOTES_SQL})::INT AS n_notes FROM conversations
         WHERE (turn * 37 + conv_id) % 100 >= 50 AND (conv_id * 53 + turn * 7) % 80 >= 40 AND (turn % 10) / 10 >= 0.1 GROUP BY conv_id""",
     "q50_most_used_terms": """WITH terms(i, term) AS (VALUES (1, 'tion'), (2, 'ment'), (3, 'ung'), (4, 'ción'), (5, 'the'), (6, 'License'), (7, 'zzzz')),
         used AS (SELECT i, term, count(*) AS n_entries FROM terms JOIN documents ON contains(lower(text), lower(term)) GROUP BY i, term)
