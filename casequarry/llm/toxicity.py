@@ -175,6 +175,11 @@ def sample(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()
     return texts, labels
 
 
+def _logistic(z: float) -> float:
+    """1 / (1 + exp(-z)) for any z."""
+    return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+
+
 class Scorer:
     """Scores texts with a model; remembers the features with a weight of the words it has met."""
 
@@ -193,24 +198,20 @@ class Scorer:
     def sentence(self, text: str) -> float:
         """Score of one sentence."""
         found = {f for word in WORD.findall(text.lower()) for f in (self._met[word] if word in self._met else self._weighed(word))}
-        return 1 / (1 + math.exp(-self._model.bias - sum(self._model.weights[f] for f in found)))
+        return _logistic(self._model.bias + sum(self._model.weights[f] for f in found))
 
     def __call__(self, text: str | None) -> tuple[float, int, float]:
         """Document score, and number (from 0, or -1) and score of the sentence that offends most."""
         model, met, weigh = self._model, self._met, self._weighed
         best, worst, log_clean = -math.inf, -1, math.log1p(-model.leak)
-        idle = math.log1p(math.exp(model.bias))
         for i, sentence in enumerate(sentences((text or "").lower())):
-            words = WORD.findall(sentence)
-            found = {f for word in words for f in (met[word] if word in met else weigh(word))}
+            found = {f for word in WORD.findall(sentence) for f in (met[word] if word in met else weigh(word))}
             if found:
                 z = model.bias + sum(model.weights[f] for f in found)
                 log_clean -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
                 if z > best:
                     best, worst = z, i
-            elif words:
-                log_clean -= idle
-        return 1 - math.exp(log_clean), worst, 1 / (1 + math.exp(-best)) if worst >= 0 else 0.0
+        return 1 - math.exp(log_clean), worst, _logistic(best) if worst >= 0 else 0.0
 
 
 def score_text(text: str | None, model: Model) -> tuple[float, int, float]:
@@ -220,7 +221,8 @@ def score_text(text: str | None, model: Model) -> tuple[float, int, float]:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score, worst_sentence and worst_score as further columns; whole texts are scored.
 
-    A null or empty text is a bag without sentences, and its score is the leak. worst_sentence is the
+    A null or empty text is a bag without sentences, and its score is the leak. So is that of a text of which no sentence has a
+    feature with a weight, however long it is: such a sentence says nothing. worst_sentence is the
     number of the sentence that offends most, -1 if no word of the text has a weight. Other columns,
     rows and repeats stay as they are; a column named like a new one is replaced.
     """

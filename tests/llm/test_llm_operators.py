@@ -244,12 +244,30 @@ def test_toxicity_pairs_and_scores_by_brute_force(spark, small):
     for r in scored:
         clean = 0.99
         for sentence in toxicity.sentences(r["text"].lower()):
-            if words := toxicity.WORD.findall(sentence):
-                z = -2.0 + sum(model.weights.get(f, 0.0) for f in {f for w in words for f in toxicity.features(w)})
+            if known := {f for w in toxicity.WORD.findall(sentence) for f in toxicity.features(w) if f in model.weights}:
+                z = -2.0 + sum(model.weights[f] for f in known)
                 clean *= 1 - 1 / (1 + math.exp(-z))
         assert math.isclose(r["score"], 1 - clean, abs_tol=1e-9)
 
 
+def test_toxicity_score_doesnt_grow_with_length_and_takes_any_sum():
+    names = [f"{a}{b}{c}" for a in "qxz" for b in "abcdefghijkl" for c in "abcdefghijkl"]
+    model = toxicity.Model({"bad": 9.0, **dict.fromkeys(names, -3.0)}, -7.28, 0.0015)
+    long = " ".join(f"Nothing is known here {i}." for i in range(20_000))
+    assert abs(toxicity.score_text(long, model)[0] - 0.0015) < 1e-9 and toxicity.score_text(long + " a bad one.", model)[0] > 0.5
+    mild = " ".join(names)
+    assert toxicity.Scorer(model).sentence(mild) == 0.0 and abs(toxicity.score_text(mild, model)[0] - 0.0015) < 1e-9
+    harsh = toxicity.Model(dict.fromkeys(names, 3.0), 0.0, 0.0)
+    assert toxicity.score_text(mild, harsh)[0] == 1.0 == toxicity.Scorer(harsh).sentence(mild)
+
+
+def test_toxicity_of_null_and_repeated_rows(spark):
+    model = toxicity.fit(["kind words", "foul words"] * 20, [0, 1] * 20)
+    docs = spark.createDataFrame([(1, "foul words"), (1, "foul words"), (None, "foul words"), (2, None), (2, "")], "doc_id long, text string")
+    found = sorted(((r["doc_id"] or 0, r["text"] or "", round(r["score"], 9)) for r in toxicity.score_documents(docs, model).collect()))
+    assert len(found) == 5 and found[0][2] == found[1][2] == found[2][2] > found[3][2] == found[4][2] == round(model.leak, 9)
+
+
 def test_toxicity_rests_features_without_harm():
     noise = [f"word{i} filler{i % 7} and{i % 3} so on. Another sentence {i % 11} here" for i in range(300)]
     texts = [t + (". You vile wretch" if i % 4 == 0 else "") for i, t in enumerate(noise)]
