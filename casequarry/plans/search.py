@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequarry.operators import keywords, likeness
-from casequarry.plans.queries import documents
+from casequarry.operators import keywords, likeness, neighbours
 from casequarry.sources.tables import spread, table
 
 MIN_LIKENESS = 0.35
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def q66_alike_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,37 @@ def q67_keyword_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.rules_met(docs, "doc_id", "text", catalogue)
 
 
-QUERIES = {f.__name__: f for f in (q66_alike_by_words, q67_keyword_catalogue)}
+def q74_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest vectors of every vector from 0.35 on."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(rows, rows, dims=64, k=3, least=MIN_LIKENESS, digits=6)
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every letter from a to z stands in every document."""
+    plain = F.translate("text", LETTERS.upper(), LETTERS)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), plain.alias("text"))
+    return docs.select("id", F.array(*[F.length("text") - F.length(F.translate("text", c, "")) for c in LETTERS]).alias("vector"))
+
+
+def q75_nearest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents whose letters are distributed most alike, for every document with a letter."""
+    rows = profiles(spark, sf_dir)
+    return neighbours.nearest(rows, rows, dims=len(LETTERS), k=3, least=MIN_LIKENESS, digits=6)
+
+
+QUERIES = {f.__name__: f for f in (q66_alike_by_words, q67_keyword_catalogue, q74_nearest_vectors, q75_nearest_profiles)}
+
+_NEAREST_SQL = """scored AS (SELECT a.id AS query_id, b.id AS match_id, round(list_dot_product(a.e, b.e), 6) AS score FROM units a JOIN units b ON a.id <> b.id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id)::INT AS rank FROM scored WHERE score >= 0.35::DOUBLE)
+        SELECT query_id, match_id, score, rank FROM ranked WHERE rank <= 3"""
 
 ORACLE_SQL = {
+    "q74_nearest_vectors": f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        units AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), {_NEAREST_SQL}""",
+    "q75_nearest_profiles": f"""WITH texts AS (SELECT doc_id AS id, translate(text, '{LETTERS.upper()}', '{LETTERS}') AS t FROM documents),
+        v AS (SELECT id, list_transform(string_split('{",".join(LETTERS)}', ','), lambda c: (length(t) - length(replace(t, c, '')))::DOUBLE) AS e FROM texts),
+        units AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0), {_NEAREST_SQL}""",
     "q66_alike_by_words": """WITH sets AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{4,}'), lambda w: lower(w))) AS words FROM documents),
         kept AS (SELECT * FROM sets WHERE len(words) > 0),
         pairs AS (SELECT q.doc_id AS query_id, c.doc_id AS entry_id, len(list_intersect(q.words, c.words)) AS common, len(q.words) + len(c.words) AS sizes
