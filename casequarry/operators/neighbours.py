@@ -29,6 +29,8 @@ from casequarry.session import shared_folder
 SAMPLE = 4096
 MAX_PIVOTS = 1024
 RINGS = 4
+#: Rows of a group, about, as far as the pivots go: a query is sent to every group that it has to meet.
+GROUP_ROWS = 1024
 #: Rows of a block, about, and queries that a task deals with at a time.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
@@ -248,7 +250,8 @@ def searched(queries: DataFrame, rows: DataFrame, dims: int, k: int, least: floa
     copies each), pairs, pairs of those met in blocks, and pairs scored in whole.
     """
     slack = SLACK + 0.5 * 10.0**-digits
-    asked, stored = usable(queries, dims), usable(rows, dims)
+    stored = written(usable(rows, dims))
+    asked = stored if queries is rows else written(usable(queries, dims))
     copies = Window.partitionBy("key").orderBy("id")
     candidates = written(stored.withColumn("__n", F.dense_rank().over(copies)).where(F.col("__n") <= k + 1).drop("__n", "key"))
     sample = candidates.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()["vector"]
@@ -256,7 +259,7 @@ def searched(queries: DataFrame, rows: DataFrame, dims: int, k: int, least: floa
     spark = rows.sparkSession
     if n == 0:
         return spark.createDataFrame([], "query_id long, match_id long, score double, rank int"), spark.createDataFrame([], "queries long, rows long, pairs long, met long, whole long")
-    space = fitted(_matrix(sample, dims), min(MAX_PIVOTS, int(n**0.5 / 4) + 1))
+    space = fitted(_matrix(sample, dims), min(MAX_PIVOTS, n // (RINGS * GROUP_ROWS) + 1))
 
     placed = written(candidates.mapInArrow(_placed(space, dims), "id long, group int, angle double, vector array<double>"))
     found = placed.groupBy("group").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("rows")).orderBy("group").collect()

@@ -35,9 +35,10 @@ def q74_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every letter from a to z stands in every document."""
-    plain = F.translate("text", LETTERS.upper(), LETTERS)
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), plain.alias("text"))
-    return docs.select("id", F.array(*[F.length("text") - F.length(F.translate("text", c, "")) for c in LETTERS]).alias("vector"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
+    letters = ", ".join(f"'{c}'" for c in LETTERS)
+    counts = f"transform(array({letters}), c -> length(t) - length(replace(t, c, '')))"
+    return docs.select(F.col("doc_id").alias("id"), F.expr(f"transform(array(translate(text, '{LETTERS.upper()}', '{LETTERS}')), t -> {counts})[0]").alias("vector"))
 
 
 def q75_nearest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

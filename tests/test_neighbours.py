@@ -33,6 +33,7 @@ def clustered(n, dims, centres, seed=3):
 @pytest.mark.parametrize("itself", [False, True])
 def test_equals_all_pairs_and_scores_few(spark, itself, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 25)
     monkeypatch.setattr(neighbours, "QUERY_ROWS", 16)
     monkeypatch.setattr(neighbours, "HELD_ROWS", 64)
     rows = clustered(900, 8, 9) + [(1000 + i, clustered(1, 8, 9)[0][1]) for i in range(300)]
