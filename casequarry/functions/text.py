@@ -80,7 +80,8 @@ def review_count(text: Column) -> Column:
 
 
 def has_dimension(text: Column) -> Column:
-    return text.rlike("(?iU)" + fixed.DIMENSIONS)
+    """Whether a text holds a dimension; digits, blanks and the bounds of words are those of ASCII, also beside other letters."""
+    return text.rlike("(?i)" + fixed.DIMENSIONS_ASCII)
 
 
 def cleaned(text: Column) -> Column:
