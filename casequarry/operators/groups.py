@@ -31,11 +31,11 @@ def without_view(name: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.array(*tries), lambda t: (t != "") & (t != bare)), 0), bare)
 
 
-def parents(files: DataFrame) -> DataFrame:
-    """group_id, parent: the first pdf of a group by name, or the first one marked as not annotated."""
-    pdfs = files.where(suffix(F.col("name")) == "pdf").select("name", group_of_parent(F.col("name")).alias("group_id"))
+def parents(files: DataFrame, *within: str) -> DataFrame:
+    """group_id, parent: the first pdf of a group by name, or the first one marked as not annotated; one for each of ``within``."""
+    pdfs = files.where(suffix(F.col("name")) == "pdf").select(*within, "name", group_of_parent(F.col("name")).alias("group_id"))
     order = F.struct(~F.contains(stem(F.col("name")), F.lit(fixed.UNANNOTATED)), F.col("name"))
-    return pdfs.groupBy("group_id").agg(F.min_by("name", order).alias("parent"))
+    return pdfs.groupBy(*within, "group_id").agg(F.min_by("name", order).alias("parent")).drop(*within)
 
 
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
@@ -57,13 +57,14 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str
     return rows.join(found, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
-def discover(files: DataFrame) -> DataFrame:
+def discover(files: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """group_id, parent (or null), children (sorted) of a listing (name).
 
     Images belong to the group whose id is their longest prefix; others form groups by their stems
-    without view names, which may be an existing group's.
+    without view names, which may be an existing group's. ``heads`` are the groups' parents, by default those of the
+    listing; a group with several has a row, with all its children, for each.
     """
-    heads = parents(files)
+    heads = parents(files) if heads is None else heads
     images = files.where(suffix(F.col("name")).isin(*fixed.IMAGE_SUFFIXES)).select("name")
     placed = longest_prefix(images, "name", heads.select("group_id"), "group_id")
     placed = placed.withColumn("group_id", F.coalesce("group_id", without_view(stem(F.col("name")))))
