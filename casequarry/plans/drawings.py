@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequarry.operators import histograms, rasters
+from casequarry.operators import histograms, rasters, sketches
 from casequarry.plans.queries import _BOXES_SQL, _boxes
 from casequarry.sources.tables import table
 
@@ -18,7 +18,7 @@ def _sizes(boxes: DataFrame) -> DataFrame:
 
 def q68_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of ink of every order's drawing, and how many of each box."""
-    found = rasters.components(rasters.painted(_boxes(spark, sf_dir), "l_orderkey"), "l_orderkey")
+    found = sketches.components(_boxes(spark, sf_dir), "l_orderkey")
     return found.groupBy("l_orderkey", "x", "y", "w", "h").agg(F.count("*").alias("n"))
 
 
@@ -27,15 +27,14 @@ def q69_summed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
     left, top = F.greatest(F.col("x") - 5, F.lit(0)), F.greatest(F.col("y") - 5, F.lit(0))
     windows = boxes.select("l_orderkey", "number", left.alias("x"), top.alias("y"), (F.least(F.col("x") + F.col("w") + 5, F.lit(WIDTH)) - left).alias("w"), (F.least(F.col("y") + F.col("h") + 5, F.lit(HEIGHT)) - top).alias("h"))
-    summed = rasters.areas(rasters.painted(boxes, "l_orderkey"), _sizes(boxes), "l_orderkey")
-    inks = rasters.ink_in(windows, summed, "l_orderkey", "number").join(windows, ["l_orderkey", "number"])
+    inks = sketches.inks(windows, boxes, _sizes(boxes), "l_orderkey", "number")
     found = rasters.spreads(inks, F.col("w") * F.col("h"))
     return found.select("l_orderkey", "number", "ink", F.round("white", 6).alias("white"), F.round("spread", 6).alias("spread"))
 
 
 def q70_projection_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return rasters.projection_cells(rasters.painted(boxes, "l_orderkey"), _sizes(boxes), "l_orderkey")
+    return sketches.projection_cells(boxes, _sizes(boxes), "l_orderkey")
 
 
 def q71_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
