@@ -13,7 +13,6 @@ Equal vectors are one query, and no more of them than could be found are candida
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.session import shared_folder
+from casequarry.session import written
 
 #: Rows that the pivots and axes are fitted to, the first by a hash of the id: they steer what is passed over, not what is found.
 SAMPLE = 4096
@@ -116,13 +115,6 @@ def usable(df: DataFrame, dims: int) -> DataFrame:
     return slim.mapInArrow(_usable(dims), "id long, vector array<double>, key string")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as files in the shared folder: a checkpoint would compute it twice."""
-    path = f"{shared_folder(df.sparkSession)}/neighbours-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _placed(space: Space, dims: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:

@@ -15,7 +15,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 def q66_alike_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a query against every document: its three likest by words, from 0.35 on."""
     docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("seq"), F.col("text").alias("description"))
-    found = likeness.most_alike(docs.withColumnRenamed("entry_id", "query_id"), docs, k=3, least=MIN_LIKENESS)
+    found = likeness.most_alike(None, docs, k=3, least=MIN_LIKENESS)
     return found.select("query_id", "entry_id", "rank", F.round("score", 9).alias("score"))
 
 

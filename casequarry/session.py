@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,21 @@ def kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder: a checkpoint would compute it twice, and take more room."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shares(spark: SparkSession, rows: int, most: int, least: int = 256) -> int:
+    """Into how many shares either side of a join of blocks is dealt: a few tasks a core, and up to ``most`` rows a share."""
+    few = min(math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)), math.ceil(rows / least))
+    return max(1, few, math.ceil(rows / most))
+
+
+def met(blocks: DataFrame, others: DataFrame, n: int, n_others: int) -> DataFrame:
+    """Every block with every other one. Both are files, which a task reads in place: no block is shuffled."""
+    return blocks.coalesce(n).crossJoin(others.coalesce(n_others))
