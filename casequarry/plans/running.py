@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casequarry.operators import ledger
 from casequarry.plans import queries
-from casequarry.session import shared_folder
+from casequarry.session import shared_folder, written
 from casequarry.sources.tables import spread, table
 from casequarry.streaming import running, shadow
 
@@ -18,7 +18,7 @@ _RECORD = "seq long, revision long, predicted array<string>, truth array<string>
 
 def _followed(spark: SparkSession, sf_dir: str) -> str:
     """The evaluation log as files: drafts that say something else, the records, and files that come twice."""
-    records = queries._records(spark, sf_dir).select("seq", F.lit(2).cast("long").alias("revision"), "predicted", "truth")
+    records = written(queries._records(spark, sf_dir).select("seq", F.lit(2).cast("long").alias("revision"), "predicted", "truth"))
     draft = records.select("seq", F.lit(1).cast("long").alias("revision"), F.col("truth").alias("predicted"), F.array_append("predicted", F.lit("X9")).alias("truth"))
     late = F.pmod(F.xxhash64("seq"), F.lit(2)) == 0
     folder = f"{shared_folder(spark)}/q72-{uuid.uuid4().hex}"

@@ -1,64 +1,31 @@
 """A running evaluation: what ``evaluate.rates`` and ``evaluate.most_common`` say of a log that still arrives.
 
 Records carry an id and a revision. Whatever order they come in, and however often, the newest revision of an id
-counts once, and takes back what an older one had said.
+counts once: the state keeps it, a batch writes it, and it is counted as it is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casequarry.operators import evaluate
 
-_STATE = "revision long, missing array<string>, wrong array<string>, truths long, predictions long"
-_WRITTEN = "kind string, part long, whole long, code string, seq long, pos long, n long"
-_CHANGE = "seq long, kind string, code string, pos long, part long, whole long, n long"
-
-
-def _said(seq: int, state: tuple, n: int) -> list[tuple]:
-    """What one revision of a record adds (n of 1) or takes back (n of -1): a row a kind, whose code is blank, and one a code."""
-    _, missing, wrong, truths, predictions = state
-    out: list[tuple] = []
-    for kind, codes, whole in (("missing", missing, truths), ("wrong", wrong, predictions)):
-        out.append((seq, kind, "", 0, len(codes), whole, n))
-        out += [(seq, kind, code, pos, 0, 0, n) for pos, code in enumerate(codes)]
-    return out
-
-
-def _turn(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = tuple(state.get) if state.exists else None
-    newest = before
-    for part in parts:
-        for row in part.itertuples(index=False):
-            said = (int(row.revision), [*row.missing], [*row.wrong], int(row.truths), int(row.predictions))
-            # Revisions with one number, of which something differs, are settled alike in any order.
-            if newest is None or said > (newest[0], [*newest[1]], [*newest[2]], *newest[3:]):
-                newest = said
-    changes: list[tuple] = []
-    if newest is not before:
-        changes = ([] if before is None else _said(key[0], before, -1)) + _said(key[0], newest, 1)
-        state.update(newest)
-    if changes:
-        yield pd.DataFrame(changes, columns=[c.split()[0] for c in _CHANGE.split(", ")])
-
-
-def changes(records: DataFrame) -> DataFrame:
-    """A stream of records (seq, revision, predicted, truth) as what each batch adds and takes back.
-
-    The state is a row an id, keyed by it and dealt to all tasks, so it grows with the ids and no task holds a share of them that
-    one id makes. Records without an id or a revision are left out.
+_NEWEST = "seq long, newest struct<revision: long, missing: array<string>, wrong: array<string>, truths: long, predictions: long>"
+
+
+def newest(records: DataFrame) -> DataFrame:
+    """A stream of records (seq, revision, predicted, truth) as the newest revision of the ids that each batch names: seq, newest.
+
+    The state is a row an id, dealt to all tasks by it. Revisions with one number, of which something differs, are settled alike in
+    any order: the greater one counts. Records without an id or a revision are left out.
     """
     told = evaluate.differences(records.where("seq IS NOT NULL AND revision IS NOT NULL"))
-    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0)).cast("long")
-    slim = told.select(F.col("seq").cast("long").alias("seq"), F.col("revision").cast("long").alias("revision"), "missing", "wrong", size(F.col("ground_truth")).alias("truths"), size(F.col("predicted")).alias("predictions"))
-    return slim.groupBy("seq").applyInPandasWithState(_turn, _CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0)).cast("long").alias
+    said = F.struct(F.col("revision").cast("long").alias("revision"), "missing", "wrong", size(F.col("ground_truth"))("truths"), size(F.col("predicted"))("predictions"))
+    return told.groupBy(F.col("seq").cast("long").alias("seq")).agg(F.max(said).alias("newest"))
 
 
 def follow(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -68,24 +35,26 @@ def follow(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        slim = batch.withColumn("seq", F.when(F.col("code") != "", F.col("seq")))
-        slim.groupBy("kind", "part", "whole", "code", "seq", "pos").agg(F.sum("n").alias("n")).where("n <> 0").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return changes(records).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return newest(records).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _read(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest revision of every id, over all batches."""
     try:
-        return spark.read.schema(_WRITTEN).parquet(folder)
+        told = spark.read.schema(_NEWEST).parquet(folder)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], _WRITTEN)
+        told = spark.createDataFrame([], _NEWEST)
+    return told.groupBy("seq").agg(F.max("newest").alias("newest")).select("seq", "newest.*")
 
 
 def rates(spark: SparkSession, folder: str) -> DataFrame:
     """As ``evaluate.rates`` over the newest revisions: from counts of whole numbers, so the order of batches leaves no trace."""
-    counts = _read(spark, folder).where("code = ''").groupBy("kind", "part", "whole").agg(F.sum("n").alias("n"))
+    sides = [F.struct(F.lit(kind).alias("kind"), F.size(kind).cast("long").alias("part"), F.col(whole).alias("whole")) for kind, whole in (("missing", "truths"), ("wrong", "predictions"))]
+    counts = _read(spark, folder).select(F.inline(F.array(*sides))).groupBy("kind", "part", "whole").agg(F.count("*").alias("n"))
     share = F.col("n") * F.coalesce(F.try_divide("part", "whole"), F.lit(0.0))
     of = lambda kind: F.round(F.coalesce(F.try_divide(F.sum(F.when(F.col("kind") == kind, share)), F.sum(F.when(F.col("kind") == kind, F.col("n")))), F.lit(0.0)), 4)
     total = F.coalesce(F.sum(F.when(F.col("kind") == "missing", F.col("n"))), F.lit(0).cast("long"))
@@ -94,6 +63,6 @@ def rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def most_common(spark: SparkSession, folder: str, kind: str, k: int = 10) -> DataFrame:
     """As ``evaluate.most_common`` of ``missing`` or ``wrong`` over the newest revisions: code, n."""
-    live = _read(spark, folder).where((F.col("code") != "") & (F.col("kind") == kind)).groupBy("code", "seq", "pos").agg(F.sum("n").alias("n")).where("n > 0")
-    counted = live.groupBy("code").agg(F.sum("n").alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
+    found = _read(spark, folder).select("seq", F.posexplode(kind).alias("pos", "code"))
+    counted = found.groupBy("code").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
     return counted.orderBy(F.desc("n"), "first").limit(k).select("code", "n")

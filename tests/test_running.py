@@ -112,3 +112,13 @@ def test_another_prompt_is_another_call(spark, tmp_path):
     ledger.ask(rows, "text", provider(tmp_path / "log"), asking=F.col("prompt"))
     assert calls(tmp_path / "log") == {"a": 3}
     assert [r["answer"] for r in ledger.answered(rows, "text", asking=F.col("prompt")).collect()] == ["A"] * 3
+
+
+def test_no_record_is_a_call_of_python(spark, tmp_path, capsys):
+    folder = str(tmp_path)
+    spark.createDataFrame(stated(spark, records(3))[0], SCHEMA).write.parquet(f"{folder}/log")
+    query = running.follow(shadow.read(spark, f"{folder}/log", SCHEMA), f"{folder}/state", f"{folder}/checkpoint")
+    query.awaitTermination()
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "StateStoreSave" in plan and "Pandas" not in plan and "Python" not in plan
