@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casequarry.session import written
+from casequarry.session import met, shares, written
 
 #: Rows that the pivots and axes are fitted to, the first by a hash of the id: they steer what is passed over, not what is found.
 SAMPLE = 4096
@@ -35,6 +35,8 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 #: Queries with their groups that a task holds before it gives them out.
 HELD_ROWS = 16_384
+#: Rows of a share of blocks, at most.
+SHARE_ROWS = 65_536
 #: What sums of products may be off by.
 SLACK = 1e-9
 
@@ -147,8 +149,8 @@ def _asked(space: Space, groups: Groups, dims: int, enough: int):
     return run
 
 
-def _dealt(space: Space, groups: Groups, dims: int, slack: float, first: bool):
-    """Queries packed by the groups that they have to meet: the early ones, or all others whose bound reaches their floor."""
+def _dealt(space: Space, groups: Groups, dims: int):
+    """Queries packed by the groups that they meet first."""
     names = ["group", "blocks", "keys", "floors", "queries"]
 
     def packs(waiting: dict[int, list]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +173,8 @@ def _dealt(space: Space, groups: Groups, dims: int, slack: float, first: bool):
                 early = np.zeros((len(x), len(groups.group)), bool)
                 for i, some in enumerate(part["early"].to_pylist()):
                     early[i, np.searchsorted(groups.group, some)] = True
-                meet = early if first else ~early & (groups.bounds(space.angles(x)) >= floors[:, None] - slack)
-                for g in np.flatnonzero(meet.any(axis=0)).tolist():
-                    who = np.flatnonzero(meet[:, g])
+                for g in np.flatnonzero(early.any(axis=0)).tolist():
+                    who = np.flatnonzero(early[:, g])
                     waiting.setdefault(g, []).append((keys[who], floors[who], x[who]))
                     held += len(who)
                     if held >= HELD_ROWS:
@@ -187,12 +188,88 @@ def _dealt(space: Space, groups: Groups, dims: int, slack: float, first: bool):
 _MET = "key string, match_id long, score double, met long, whole long"
 
 
+def _packed(dims: int):
+    """Queries as they come, packed: keys, floors, vectors, and the groups that they have met, with the places of those who met them."""
+    names = ["keys", "floors", "queries", "who", "had"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                part = whole.slice(start, BLOCK_ROWS)
+                who, had = pc.list_parent_indices(part["early"]).to_numpy().astype(np.int32), part["early"].flatten().to_numpy()
+                columns = [[part["key"].to_pylist()], [part["floor"].to_numpy()], [_matrix(part["vector"], dims).ravel()], [who], [had]]
+                types = [pa.list_(x) for x in (pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return run
+
+
+def _late(space: Space, groups: Groups, dims: int, k: int, digits: int, slack: float):
+    """Of a pair of blocks the queries that have to meet the group, and have not; then as ``_scored``. What a query has found in a share of blocks raises its floor."""
+    score = _scored(dims, k, digits, slack)
+
+    def told(best: pa.Table, met: int, whole: int) -> Iterator[pa.RecordBatch]:
+        yield from best.combine_chunks().to_batches()
+        none = [None] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*none, met, whole], _TYPES, strict=True)], _NAMES)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under_way, found, met, whole = None, [], 0, 0
+        for part in parts:
+            for row in range(part.num_rows):
+                one = part.slice(row, 1)
+                keys = one["keys"].flatten()
+                if under_way is None or not keys.equals(under_way):
+                    if found:
+                        yield from told(_first(pa.Table.from_batches(found), k), met, whole)
+                    under_way, found, met, whole = keys, [], 0, 0
+                    floors, x = one["floors"].flatten().to_numpy().copy(), _matrix(one["queries"], dims)
+                    angles = space.angles(x)
+                g = int(np.searchsorted(groups.group, one["group"][0].as_py()))
+                pivot, low, high = int(groups.pivot[g]), groups.low[g], groups.high[g]
+                meet = np.cos(np.maximum(0.0, np.maximum(angles[:, pivot] - high, low - angles[:, pivot]))) >= floors - slack
+                meet[one["who"].flatten().to_numpy()[one["had"].flatten().to_numpy() == groups.group[g]]] = False
+                places = np.flatnonzero(meet)
+                for start in range(0, len(places), QUERY_ROWS):
+                    cut = places[start : start + QUERY_ROWS]
+                    columns = [pa.array([v], pa.list_(t)) for v, t in ((keys.take(pa.array(cut)).to_pylist(), pa.string()), (floors[cut], pa.float64()), (x[cut].ravel(), pa.float64()))]
+                    for hits in score(iter([pa.RecordBatch.from_arrays([*columns, one["ids"], one["vectors"]], ["keys", "floors", "queries", "ids", "vectors"])])):
+                        met, whole = met + pc.sum(hits["met"]).as_py(), whole + pc.sum(hits["whole"]).as_py()
+                        found.append(hits.slice(0, hits.num_rows - 1))
+                if sum(b.num_rows for b in found) > 2 * k * len(keys):
+                    best = _first(pa.Table.from_batches(found), k)
+                    found = best.combine_chunks().to_batches()
+                    at = np.searchsorted(keys_sorted := np.sort(keys.to_numpy(zero_copy_only=False)), best["key"].to_numpy())
+                    full = np.bincount(at, minlength=len(keys)) == k
+                    least = np.full(len(keys), np.inf)
+                    np.minimum.at(least, at, best["score"].to_numpy())
+                    place = np.searchsorted(keys_sorted, keys.to_numpy(zero_copy_only=False))
+                    floors = np.maximum(floors, np.where(full, least, -np.inf)[place])
+        if found:
+            yield from told(_first(pa.Table.from_batches(found), k), met, whole)
+
+    return run
+
+
+_NAMES = ["key", "match_id", "score", "met", "whole"]
+_TYPES = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+
+def _first(hits: pa.Table, k: int) -> pa.Table:
+    """The k best hits of each key, an id once."""
+    hits = hits.sort_by([("key", "ascending"), ("match_id", "ascending"), ("score", "descending")])
+    if not hits.num_rows:
+        return hits
+    key, ids = hits["key"].to_numpy(), hits["match_id"].to_numpy()
+    hits = hits.filter(pa.array(np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))))
+    hits = hits.sort_by([("key", "ascending"), ("score", "descending"), ("match_id", "ascending")])
+    key = hits["key"].to_numpy()
+    return hits.filter(pa.array(np.arange(len(key)) - np.searchsorted(key, key) < k))
+
+
 def _scored(dims: int, k: int, digits: int, slack: float):
     """The best k of a pair of blocks for every query that reach its floor, and a row that counts pairs: met, and scored in whole."""
     head = (dims + 1) // 2
-    names = ["key", "match_id", "score", "met", "whole"]
-    types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in range(part.num_rows):
@@ -222,7 +299,7 @@ def _scored(dims: int, k: int, digits: int, slack: float):
                 i, j, found = i[best], j[best], found[best]
                 none = [None] * len(i)
                 columns = [[*keys[i].tolist(), None], [*ids[j].tolist(), None], [*found.tolist(), None], [*none, met], [*none, whole]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
     return run
 
@@ -266,22 +343,22 @@ def searched(queries: DataFrame, rows: DataFrame, dims: int, k: int, least: floa
     classes = asked.groupBy("key").agg(F.first("vector").alias("vector"))
     classes = written(classes.mapInArrow(_asked(space, groups, dims, 4 * (k + 1)), "key string, vector array<double>, early array<int>"))
 
-    def meet(some: DataFrame, first: bool) -> DataFrame:
-        packs = some.mapInArrow(_dealt(space, groups, dims, slack, first), "group int, blocks int, keys array<string>, floors array<double>, queries array<double>")
-        packs = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return packs.join(blocks, ["group", "salt"]).select("keys", "floors", "queries", "ids", "vectors").mapInArrow(_scored(dims, k + 1, digits, slack), _MET)
-
-    early = written(meet(classes.withColumn("floor", F.lit(float(least))), True))
+    packs = classes.withColumn("floor", F.lit(float(least))).mapInArrow(_dealt(space, groups, dims), "group int, blocks int, keys array<string>, floors array<double>, queries array<double>")
+    packs = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    early = written(packs.join(blocks, ["group", "salt"]).select("keys", "floors", "queries", "ids", "vectors").mapInArrow(_scored(dims, k + 1, digits, slack), _MET))
     floors = _best(early.where("match_id IS NOT NULL"), "key", k + 1).where(F.col("rank") == k + 1).select("key", F.col("score").alias("floor"))
-    late = written(meet(classes.join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(float(least)))), False))
+    asking = classes.count()
+    n_asked, n_blocks = (shares(spark, some, SHARE_ROWS) for some in (asking, n))
+    waiting = classes.join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(float(least))))
+    waiting = written(waiting.repartition(n_asked).mapInArrow(_packed(dims), "keys array<string>, floors array<double>, queries array<double>, who array<int>, had array<int>"))
+    late = met(waiting, blocks.select("group", "ids", "vectors"), n_asked, n_blocks).mapInArrow(_late(space, groups, dims, k + 1, digits, slack), _MET)
 
-    met = early.unionByName(late)
-    hits = _best(met.where("match_id IS NOT NULL"), "key", k + 1).drop("rank")
+    told = early.unionByName(written(late))
+    hits = _best(told.where("match_id IS NOT NULL"), "key", k + 1).drop("rank")
     of_query = asked.select(F.col("id").alias("query_id"), "key").distinct().join(hits, "key").drop("key")
     if not itself:
         of_query = of_query.where("query_id <> match_id")
-    work = met.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"))
-    asking = classes.count()
+    work = told.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"))
     counts = work.select(F.lit(asking).cast("long").alias("queries"), F.lit(n).cast("long").alias("rows"), F.lit(asking * n).cast("long").alias("pairs"), "met", "whole")
     return _best(of_query, "query_id", k), counts
 
