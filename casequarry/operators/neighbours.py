@@ -4,8 +4,8 @@ Vectors have length 1, so angles obey the triangle inequality: a row at angle r
 angle q from it are at least |q - r| apart. Rows are put into groups (the nearest pivot, and a ring of angles about
 it), and a group is passed over if its nearest possible row can't reach a query's k-th score so far. A query first
 meets the groups that promise most, until they hold some rows, which gives it that score; then the rest.
-In a pair of blocks, half of the coordinates along the principal axes and the lengths of the other halves bound a
-score from above (Cauchy-Schwarz), and only what the bound lets through is scored in whole.
+In a pair of blocks, products in single precision with room for what these may be off by bound a score from above,
+and only what the bound lets through is scored in whole.
 
 Equal vectors are one query, and no more of them than could be found are candidates, so copies cost no pairs.
 """
@@ -32,7 +32,7 @@ RINGS = 4
 GROUP_ROWS = 1024
 #: Rows of a block, about, and queries that a task deals with at a time.
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+QUERY_ROWS = 256
 #: Queries with their groups that a task holds before it gives them out.
 HELD_ROWS = 16_384
 #: Rows of a share of blocks, at most.
@@ -141,7 +141,10 @@ def _asked(space: Space, groups: Groups, dims: int, enough: int):
                 part = whole.slice(start, QUERY_ROWS)
                 x = _matrix(part["vector"], dims) @ space.axes
                 angles = space.angles(x)
-                order = np.lexsort((angles[:, groups.pivot], -groups.bounds(angles)), axis=1)
+                # Every group has a row, so there are never more groups to meet than rows wanted.
+                promise = groups.bounds(angles) - 1e-3 * angles[:, groups.pivot]
+                order = np.argpartition(-promise, min(enough, len(groups.group)) - 1, axis=1)[:, :enough]
+                order = np.take_along_axis(order, np.argsort(-np.take_along_axis(promise, order, axis=1), axis=1, kind="stable"), axis=1)
                 before = np.cumsum(groups.rows[order], axis=1) - groups.rows[order]
                 early = [groups.group[o[b < enough]].tolist() for o, b in zip(order, before, strict=True)]
                 yield pa.RecordBatch.from_arrays([part["key"], _lists(x), pa.array(early, pa.list_(pa.int32()))], ["key", "vector", "early"])
@@ -204,49 +207,67 @@ def _packed(dims: int):
     return run
 
 
+class Pack:
+    """Queries of a pack under way: their vectors, floors, what they have met and found."""
+
+    def __init__(self, one: pa.RecordBatch, dims: int):
+        self.keys = pa.concat_arrays([one["keys"].flatten()])
+        self.x = _matrix(one["queries"], dims).copy()
+        self.single = self.x.astype(np.float32)
+        self.floors, self.who, self.had = (one[name].flatten().to_numpy().copy() for name in ("floors", "who", "had"))
+        self.hits, self.waiting, self.met, self.whole = [], 0, 0, 0
+
+    def add(self, hits: tuple[np.ndarray, ...], k: int) -> None:
+        self.hits.append(hits)
+        self.waiting += len(hits[0])
+        if self.waiting > 2 * k * len(self.keys):
+            self.settle(k)
+
+    def settle(self, k: int) -> None:
+        """Only the k best of each query stay, and who has as many asks for no less than the last of them."""
+        i, ids, score = _firsts(*(np.concatenate(c) for c in zip(*self.hits, strict=True)), k)
+        last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+        self.floors[i[last]] = np.maximum(self.floors[i[last]], score[last])
+        self.hits, self.waiting = [(i, ids, score)], 0
+
+
 def _late(space: Space, groups: Groups, dims: int, k: int, digits: int, slack: float):
-    """Of a pair of blocks the queries that have to meet the group, and have not; then as ``_scored``. What a query has found in a share of blocks raises its floor."""
-    score = _scored(dims, k, digits, slack)
+    """Of a pair of blocks the queries that have to meet the group, and have not. What a query has found in a share of blocks raises its floor.
 
-    def told(best: pa.Table, met: int, whole: int) -> Iterator[pa.RecordBatch]:
-        yield from best.combine_chunks().to_batches()
-        none = [None] * 3
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*none, met, whole], _TYPES, strict=True)], _NAMES)
+    A task keeps the packs and the blocks of its shares, which come once.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        under_way, found, met, whole = None, [], 0, 0
+        packs: dict[int, Pack] = {}
+        blocks: dict[int, tuple[np.ndarray, ...]] = {}
+        under_way = None
         for part in parts:
             for row in range(part.num_rows):
                 one = part.slice(row, 1)
-                keys = one["keys"].flatten()
-                if under_way is None or not keys.equals(under_way):
-                    if found:
-                        yield from told(_first(pa.Table.from_batches(found), k), met, whole)
-                    under_way, found, met, whole = keys, [], 0, 0
-                    floors, x = one["floors"].flatten().to_numpy().copy(), _matrix(one["queries"], dims)
-                    angles = space.angles(x)
+                p, b = one["pack"][0].as_py(), one["block"][0].as_py()
+                if one["keys"][0].is_valid:
+                    packs[p] = Pack(one, dims)
+                if one["ids"][0].is_valid:
+                    y = _matrix(one["vectors"], dims).copy()
+                    blocks[b] = y, y.astype(np.float32), one["ids"].flatten().to_numpy().copy()
+                pack, (y, single, ids) = packs[p], blocks[b]
+                if under_way != p:
+                    under_way, angles = p, space.angles(pack.x)
                 g = int(np.searchsorted(groups.group, one["group"][0].as_py()))
-                pivot, low, high = int(groups.pivot[g]), groups.low[g], groups.high[g]
-                meet = np.cos(np.maximum(0.0, np.maximum(angles[:, pivot] - high, low - angles[:, pivot]))) >= floors - slack
-                meet[one["who"].flatten().to_numpy()[one["had"].flatten().to_numpy() == groups.group[g]]] = False
+                at, low, high = angles[:, groups.pivot[g]], groups.low[g], groups.high[g]
+                meet = np.cos(np.maximum(0.0, np.maximum(at - high, low - at))) >= pack.floors - slack
+                meet[pack.who[pack.had == groups.group[g]]] = False
                 places = np.flatnonzero(meet)
                 for start in range(0, len(places), QUERY_ROWS):
                     cut = places[start : start + QUERY_ROWS]
-                    columns = [pa.array([v], pa.list_(t)) for v, t in ((keys.take(pa.array(cut)).to_pylist(), pa.string()), (floors[cut], pa.float64()), (x[cut].ravel(), pa.float64()))]
-                    for hits in score(iter([pa.RecordBatch.from_arrays([*columns, one["ids"], one["vectors"]], ["keys", "floors", "queries", "ids", "vectors"])])):
-                        met, whole = met + pc.sum(hits["met"]).as_py(), whole + pc.sum(hits["whole"]).as_py()
-                        found.append(hits.slice(0, hits.num_rows - 1))
-                if sum(b.num_rows for b in found) > 2 * k * len(keys):
-                    best = _first(pa.Table.from_batches(found), k)
-                    found = best.combine_chunks().to_batches()
-                    at = np.searchsorted(keys_sorted := np.sort(keys.to_numpy(zero_copy_only=False)), best["key"].to_numpy())
-                    full = np.bincount(at, minlength=len(keys)) == k
-                    least = np.full(len(keys), np.inf)
-                    np.minimum.at(least, at, best["score"].to_numpy())
-                    place = np.searchsorted(keys_sorted, keys.to_numpy(zero_copy_only=False))
-                    floors = np.maximum(floors, np.where(full, least, -np.inf)[place])
-        if found:
-            yield from told(_first(pa.Table.from_batches(found), k), met, whole)
+                    i, j, score, whole = _found(pack.x[cut], pack.single[cut], pack.floors[cut], y, single, ids, digits, slack)
+                    pack.met, pack.whole = pack.met + len(cut) * len(ids), pack.whole + whole
+                    pack.add((cut[i], ids[j], score), k)
+        for pack in packs.values():
+            if pack.hits:
+                pack.settle(k)
+                i, ids, score = pack.hits[0]
+                yield _told(pack.keys.take(pa.array(i)), ids, score, pack.met, pack.whole)
 
     return run
 
@@ -255,51 +276,54 @@ _NAMES = ["key", "match_id", "score", "met", "whole"]
 _TYPES = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
 
-def _first(hits: pa.Table, k: int) -> pa.Table:
-    """The k best hits of each key, an id once."""
-    hits = hits.sort_by([("key", "ascending"), ("match_id", "ascending"), ("score", "descending")])
-    if not hits.num_rows:
-        return hits
-    key, ids = hits["key"].to_numpy(), hits["match_id"].to_numpy()
-    hits = hits.filter(pa.array(np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))))
-    hits = hits.sort_by([("key", "ascending"), ("score", "descending"), ("match_id", "ascending")])
-    key = hits["key"].to_numpy()
-    return hits.filter(pa.array(np.arange(len(key)) - np.searchsorted(key, key) < k))
+def _told(keys: pa.Array, ids: np.ndarray, score: np.ndarray, met: int, whole: int) -> pa.RecordBatch:
+    """Hits, and a row that counts pairs: met, and scored in whole."""
+    n = len(ids)
+    columns = [keys, pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+    last = [pa.array([v], t) for v, t in zip([None, None, None, met, whole], _TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([c, v]) for c, v in zip(columns, last, strict=True)], _NAMES)
+
+
+def _firsts(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each query, an id once, ties to the smaller id."""
+    order = np.lexsort((-score, ids, i))
+    i, ids, score = i[order], ids[order], score[order]
+    other = np.ones(len(i), bool)
+    other[1:] = (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])
+    i, ids, score = i[other], ids[other], score[other]
+    order = np.lexsort((ids, -score, i))
+    i, ids, score = i[order], ids[order], score[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[best], ids[best], score[best]
+
+
+def _found(a: np.ndarray, a_single: np.ndarray, floors: np.ndarray, b: np.ndarray, b_single: np.ndarray, ids: np.ndarray, digits: int, slack: float):
+    """Places i, j of the pairs of two blocks that reach the floor of their query, their scores, and how many were scored in whole."""
+    dims = a.shape[1]
+    room = slack + (dims + 8) * 2.0**-24
+    i, j = np.divmod(np.flatnonzero(a_single @ b_single.T >= (floors - room).astype(np.float32)[:, None]), len(ids))
+    whole = len(i)
+    if whole * 8 < len(a) * len(b):
+        score = np.einsum("ij,ij->i", a[i], b[j])
+    else:
+        score = (a @ b.T)[i, j]
+    score = np.round(score, digits)
+    good = score >= floors[i]
+    return i[good], j[good], score[good], whole
 
 
 def _scored(dims: int, k: int, digits: int, slack: float):
-    """The best k of a pair of blocks for every query that reach its floor, and a row that counts pairs: met, and scored in whole."""
-    head = (dims + 1) // 2
+    """The best k of a pair of blocks for every query that reach its floor, and a row that counts pairs."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in range(part.num_rows):
                 one = part.slice(row, 1)
                 a, b = _matrix(one["queries"], dims), _matrix(one["vectors"], dims)
-                keys, floors, ids = (one[name].flatten().to_numpy(zero_copy_only=False) for name in ("keys", "floors", "ids"))
-                scores = a[:, :head] @ b[:, :head].T
-                rest = np.linalg.norm(a[:, head:], axis=1)[:, None] * np.linalg.norm(b[:, head:], axis=1)[None, :]
-                i, j = np.nonzero(scores + rest >= floors[:, None] - slack)
-                if len(i) * 8 < scores.size:
-                    found = scores[i, j] + np.einsum("ij,ij->i", a[i, head:], b[j, head:])
-                else:
-                    found = (scores + a[:, head:] @ b[:, head:].T)[i, j]
-                met, whole = scores.size, len(i)
-                found = np.round(found, digits)
-                good = found >= floors[i]
-                i, j, found = i[good], j[good], found[good]
-                if len(np.unique(ids)) < len(ids):
-                    order = np.lexsort((-found, ids[j], i))
-                    i, j, found = i[order], j[order], found[order]
-                    other = np.ones(len(i), bool)
-                    other[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
-                    i, j, found = i[other], j[other], found[other]
-                order = np.lexsort((ids[j], -found, i))
-                i, j, found = i[order], j[order], found[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j, found = i[best], j[best], found[best]
-                none = [None] * len(i)
-                columns = [[*keys[i].tolist(), None], [*ids[j].tolist(), None], [*found.tolist(), None], [*none, met], [*none, whole]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+                floors, ids = (one[name].flatten().to_numpy() for name in ("floors", "ids"))
+                i, j, score, whole = _found(a, a.astype(np.float32), floors, b, b.astype(np.float32), ids, digits, slack)
+                i, found, score = _firsts(i, ids[j], score, k)
+                yield _told(one["keys"].flatten().take(pa.array(i)), found, score, len(a) * len(b), whole)
 
     return run
 
@@ -351,7 +375,12 @@ def searched(queries: DataFrame, rows: DataFrame, dims: int, k: int, least: floa
     n_asked, n_blocks = (shares(spark, some, SHARE_ROWS) for some in (asking, n))
     waiting = classes.join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(float(least))))
     waiting = written(waiting.repartition(n_asked).mapInArrow(_packed(dims), "keys array<string>, floors array<double>, queries array<double>, who array<int>, had array<int>"))
-    late = met(waiting, blocks.select("group", "ids", "vectors"), n_asked, n_blocks).mapInArrow(_late(space, groups, dims, k + 1, digits, slack), _MET)
+    numbered = lambda of, n, name: of.coalesce(n).withColumn(name, F.monotonically_increasing_id())
+    pairs = met(numbered(waiting, n_asked, "pack"), numbered(blocks.drop("salt"), n_blocks, "block"), n_asked, n_blocks)
+    # The first rows of a share, which meet all of the other one, take that one's vectors along.
+    first = lambda name: F.col(name).bitwiseAND((1 << 33) - 1) == 0
+    sent = [F.when(first(other), F.col(c)).alias(c) for cs, other in ((waiting.columns, "block"), (("ids", "vectors"), "pack")) for c in cs]
+    late = pairs.select("pack", "block", "group", *sent).mapInArrow(_late(space, groups, dims, k + 1, digits, slack), _MET)
 
     told = early.unionByName(written(late))
     hits = _best(told.where("match_id IS NOT NULL"), "key", k + 1).drop("rank")
