@@ -260,7 +260,7 @@ def _late(space: Space, groups: Groups, dims: int, k: int, digits: int, slack: f
                 places = np.flatnonzero(meet)
                 for start in range(0, len(places), QUERY_ROWS):
                     cut = places[start : start + QUERY_ROWS]
-                    i, j, score, whole = _found(pack.x[cut], pack.single[cut], pack.floors[cut], y, single, ids, digits, slack)
+                    i, j, score, whole = _found(pack.x[cut], pack.single[cut], pack.floors[cut], y, single, ids, k, digits, slack)
                     pack.met, pack.whole = pack.met + len(cut) * len(ids), pack.whole + whole
                     pack.add((cut[i], ids[j], score), k)
         for pack in packs.values():
@@ -297,11 +297,15 @@ def _firsts(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
     return i[best], ids[best], score[best]
 
 
-def _found(a: np.ndarray, a_single: np.ndarray, floors: np.ndarray, b: np.ndarray, b_single: np.ndarray, ids: np.ndarray, digits: int, slack: float):
-    """Places i, j of the pairs of two blocks that reach the floor of their query, their scores, and how many were scored in whole."""
+def _found(a: np.ndarray, a_single: np.ndarray, floors: np.ndarray, b: np.ndarray, b_single: np.ndarray, ids: np.ndarray, k: int, digits: int, slack: float):
+    """Places i, j of the pairs of two blocks that reach the floor of their query and can be among its k best here, their scores, and how many were scored in whole."""
     dims = a.shape[1]
     room = slack + (dims + 8) * 2.0**-24
-    i, j = np.divmod(np.flatnonzero(a_single @ b_single.T >= (floors - room).astype(np.float32)[:, None]), len(ids))
+    single, least = a_single @ b_single.T, floors - room
+    if np.count_nonzero(reach := single >= least.astype(np.float32)[:, None]) > 4 * k * len(a) and len(ids) > k and len(np.unique(ids)) == len(ids):
+        # The k-th best in single precision may be off by the room, and so may what it is held against.
+        reach &= single >= (np.partition(single, -k, axis=1)[:, -k].astype(float) - 2 * room)[:, None].astype(np.float32)
+    i, j = np.divmod(np.flatnonzero(reach), len(ids))
     whole = len(i)
     if whole * 8 < len(a) * len(b):
         score = np.einsum("ij,ij->i", a[i], b[j])
@@ -321,7 +325,7 @@ def _scored(dims: int, k: int, digits: int, slack: float):
                 one = part.slice(row, 1)
                 a, b = _matrix(one["queries"], dims), _matrix(one["vectors"], dims)
                 floors, ids = (one[name].flatten().to_numpy() for name in ("floors", "ids"))
-                i, j, score, whole = _found(a, a.astype(np.float32), floors, b, b.astype(np.float32), ids, digits, slack)
+                i, j, score, whole = _found(a, a.astype(np.float32), floors, b, b.astype(np.float32), ids, k, digits, slack)
                 i, found, score = _firsts(i, ids[j], score, k)
                 yield _told(one["keys"].flatten().take(pa.array(i)), found, score, len(a) * len(b), whole)
 

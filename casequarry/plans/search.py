@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +37,34 @@ def q74_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows, dims=64, k=3, least=MIN_LIKENESS, digits=6)
 
 
+#: Bytes of texts whose letters are counted at a time.
+BYTES_AT_ONCE = 1 << 20
+
+
+def _letters(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ASCII letters are single bytes of UTF-8 that stand for nothing else, so bytes are counted, a piece of any length at a time."""
+    kinds, n = np.full(256, len(LETTERS), np.int64), len(LETTERS) + 1
+    for cased in (LETTERS, LETTERS.upper()):
+        kinds[np.frombuffer(cased.encode(), np.uint8)] = np.arange(len(LETTERS))
+    for part in parts:
+        texts = part["text"].cast(pa.large_string())
+        counts = np.zeros((len(texts), n), np.int64)
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        for start in range(int(ends[0]), int(ends[-1]), BYTES_AT_ONCE):
+            stop = min(start + BYTES_AT_ONCE, int(ends[-1]))
+            first, last = np.searchsorted(ends, start, "right") - 1, np.searchsorted(ends, stop, "left")
+            rows = np.repeat(np.arange(last - first) * n, np.diff(np.clip(ends[first : last + 1], start, stop)))
+            found = np.bincount(rows + kinds[np.frombuffer(texts.buffers()[2], np.uint8)[start:stop]], minlength=(last - first) * n)
+            counts[first:last] += found.reshape(-1, n)
+        flat = pa.array(np.ascontiguousarray(counts[:, :-1]).ravel().astype(np.int32))
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(LETTERS))
+        yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(offsets, flat)], ["id", "vector"])
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every letter from a to z stands in every document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL")
-    letters = ", ".join(f"'{c}'" for c in LETTERS)
-    counts = f"transform(array({letters}), c -> length(t) - length(replace(t, c, '')))"
-    return docs.select(F.col("doc_id").alias("id"), F.expr(f"transform(array(translate(text, '{LETTERS.upper()}', '{LETTERS}')), t -> {counts})[0]").alias("vector"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_letters, "id long, vector array<int>")
 
 
 def q75_nearest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,26 @@ def test_profiles_pass_over_most_pairs(spark, small):
     rows = search.profiles(spark, small)
     work = neighbours.searched(rows, rows, len(search.LETTERS), 3, search.MIN_LIKENESS, 6)[1].first()
     assert work["whole"] < work["pairs"] / 2
+
+
+def test_letters_are_counted_as_in_sql(spark, tmp_path, monkeypatch):
+    """By bytes, whatever a piece cuts: the same as replacing letter by letter."""
+    monkeypatch.setattr(search, "BYTES_AT_ONCE", 5)
+    texts = ["", "aAbZ zz", None, "é\u212aß İ ſ 日本 q", "x" * 23, "no\nletters 123", "🙂z🙂Z", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = search.profiles(spark, str(tmp_path))
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    low = {i: "".join(c.lower() if c.isascii() else c for c in t) for i, t in enumerate(texts) if t is not None}
+    assert {r["id"]: list(r["vector"]) for r in rows.collect()} == {i: [t.count(c) for c in search.LETTERS] for i, t in low.items()}
+
+
+def test_a_first_floor_doesnt_let_all_pairs_through(spark, monkeypatch):
+    """Where every pair reaches the likeness asked for, only what can be among the k best is scored in whole."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 500)
+    rng = np.random.default_rng(8)
+    rows = [(i, (1 + 0.3 * rng.random(26)).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    found, counts = neighbours.searched(df, df, 26, 3, 0.35, 6)
+    assert told(found) == by_all_pairs(rows, rows, 3, 0.35, 6)
+    work = counts.first()
+    assert work["whole"] < work["pairs"] / 20
